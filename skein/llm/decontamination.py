@@ -92,7 +92,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     need = need.withColumn("at", F.col("start") + F.col("j"))
     there = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("at").alias("a"), F.col("h").alias("g"), F.col("k").alias("l"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("t")) & (F.col("at") == F.col("a")) & (F.col("h") == F.col("g")) & (F.col("k") == F.col("l"))
-    whole = need.join(there, same).groupBy(*key, "start", "n", "window", "m").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("j").cast("int"))).alias("seen"), F.first("item_ids").alias("item_ids"))
+    whole = need.join(there, same).groupBy(*key, "start", "n", "window", "m").agg(F.bit_or(F.expr("shiftleft(1L, int(j))")).alias("seen"), F.first("item_ids").alias("item_ids"))
     return whole.filter(F.bit_count("seen") == F.col("m")).select(*key, "start", "n", "item_ids")
 
 
