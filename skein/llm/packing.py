@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import store
+from skein.llm.linear import inverse as invert
 from skein.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -114,21 +115,6 @@ def _first_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
     return patterns, x
 
 
-def _inverse(matrix: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan with row swaps; for some hundred rows no threaded library is wanted."""
-    n = len(matrix)
-    both = np.hstack([matrix.astype(float), np.eye(n)])
-    for i in range(n):
-        pivot = i + int(np.abs(both[i:, i]).argmax())
-        both[[i, pivot]] = both[[pivot, i]]
-        both[i] /= both[i, i]
-        factor = both[:, i].copy()
-        factor[i] = 0
-        rows = np.flatnonzero(factor)
-        both[rows] -= factor[rows, None] * both[i]
-    return both[:, n:]
-
-
 #: A dual bound proves the plan to be within this share of the optimum when generation ends.
 GAP = 1e-4
 
@@ -139,7 +125,7 @@ def generate_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
     ``sizes`` ascend.  The revised simplex method swaps one pattern of the basis each round.
     """
     patterns, x = _first_patterns(sizes, demand, capacity)
-    inverse = _inverse(patterns)
+    inverse = invert(patterns)
     for turn in range(rounds):
         value, new = _best_pattern(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + GAP:
@@ -151,7 +137,7 @@ def generate_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
         x[out] = ratio[out]
         patterns[:, out] = new
         if turn % 200 == 199:
-            inverse = _inverse(patterns)  # clears rounding errors
+            inverse = invert(patterns)  # clears rounding errors
         else:
             pivot = inverse[out] / step[out]
             inverse -= np.outer(step, pivot)
