@@ -1,7 +1,62 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
-ORACLE_SQL = None
+"""A training corpus from ``documents``: five stages, each a function of (spark, docs, sf_dir).
 
+Each stage's result is written and read again before the next, so a lost executor costs
+one stage's tasks at most, and no stage computes an earlier one anew.  All stages but the last
+return the columns of their input.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
+from skein.llm.common import store
+
+
+def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality policy rejects go."""
+    return quality_rules.apply_policy(docs, "full-1")
+
+
+def _unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by n-gram Jaccard similarity, directly or through others, the smallest doc_id stays."""
+    return jaccard_join.keep_first(docs)
+
+
+def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark items go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", _rules),
+    ("ngram_jaccard", _unlike),
+    ("decontamination", _clean),
+    ("secret_scans", _masked),
+    ("packing", _packed),
+]
+
+#: Column generation and tokenizers have no SQL form; tests compare with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store(docs, name)
+    return docs

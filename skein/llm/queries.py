@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, decontamination, packing, quality_model, quality_rules, secret_scan, sql, token_counts, token_files, url_rules
+from skein.llm import chat, decontamination, jaccard_join, packing, quality_model, quality_rules, secret_scan, sql, token_counts, token_files, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(_table(spark, sf_dir, "conversations"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_ngram_jaccard, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts)}
 ORACLE_SQL = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op2_quality_rules": sql.QUALITY_RULES,
