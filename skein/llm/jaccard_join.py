@@ -32,10 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACES, let, lower_ascii, split_words, store
+from skein.llm.common import store
 from skein.llm.graph import components, release
 
 SHINGLE = 5
@@ -46,17 +46,35 @@ FIRST, GROWTH = 6, 8
 BLOCK = 16
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the distinct shingles (array of long, empty without words)."""
+class _Hashes(dict):
+    """64-bit hashes of words; the first million different ones are remembered."""
 
-    def of(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - SHINGLE)
-        many = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
-        one = F.array(F.xxhash64(w))
-        none = F.array().cast("array<bigint>")
-        return F.when(F.size(w) >= SHINGLE, F.array_distinct(many)).when(F.size(w) > 0, one).otherwise(none)
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 1_000_000:
+            self[word] = h
+        return h
 
-    return let(split_words(lower_ascii(F.coalesce(text, F.lit(""))), SPACES), of)
+
+_HASHES = _Hashes()
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text.
+
+    ``bytes`` lower-case A-Z alone and split at the ASCII blanks of the contract.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    width = min(SHINGLE, len(h))
+    total = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(_FACTOR) + h[k : len(h) - width + 1 + k]
+        total ^= total >> np.uint64(29)
+    return np.unique(total.view(np.int64))
 
 
 def _prefix_length(n: int) -> int:
@@ -74,11 +92,12 @@ def links_at(o: str, n: str, m: str) -> str:
 def _count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
-        h = b.column("set").flatten().to_numpy(zero_copy_only=False)
-        total += np.bincount(h & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
+        for k in range(0, len(b), 256):
+            sets = [shingles(t.as_py()) for t in b.column("text")[k : k + 256]]
+            total += np.bincount(np.concatenate(sets) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
     if total.any():
-        parts = total.reshape(256, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(list(parts), pa.list_(pa.int64()))], names=["chunk", "counts"])
+        parts = total.astype(np.int32).reshape(256, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(list(parts), pa.list_(pa.int32()))], names=["chunk", "counts"])
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,33 +109,28 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": list(total), "counts": list(total.values())})
 
 
-def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For each sketch cell 0, or the bits of its count where this is twice the mean or more."""
-    parts = sets.mapInArrow(_count_part, "chunk long, counts array<long>")
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """Counts of the sketch's cells over all documents, at most 65535."""
+    parts = docs.select("text").mapInArrow(_count_part, "chunk long, counts array<int>")
     summed = parts.repartition("chunk").mapInPandas(_add, "chunk long, counts array<long>").collect()  # 256 rows, 2 ** SKETCH_BITS counts
     counts = np.zeros((256, (1 << SKETCH_BITS) // 256), np.int64)
     for r in summed:
         counts[r["chunk"]] += r["counts"]
-    counts = counts.ravel()
-    bits = np.ceil(np.log2(counts + 1)).astype(np.uint8)
-    return np.where(counts >= 2 * counts.mean() + 8, bits, 0).astype(np.uint8)
-
-
-def _ordered(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return x[np.lexsort((x, classes[x & ((1 << SKETCH_BITS) - 1)]))]
+    return np.minimum(counts.ravel(), 65535).astype(np.uint16)
 
 
-def _keyed(classes: np.ndarray):
-    """doc_id, text_hash, node (128 bits of the set), n, prefix."""
+def _keyed(order: np.ndarray):
+    """doc_id, text_hash, node (128 bits of the set), n, prefix: the tokens of the rarest cells."""
+    cells = (1 << SKETCH_BITS) - 1
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes, prefixes = [], [], []
-            for x in b.column("set"):
-                s = np.sort(x.values.to_numpy(zero_copy_only=False))
+            for text in b.column("text"):
+                s = shingles(text.as_py())
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefixes.append(_ordered(s, classes)[: _prefix_length(len(s))] if len(s) else s)
+                prefixes.append(s[np.argsort(order[s & cells], kind="stable")[: _prefix_length(len(s))]] if len(s) else s)
             columns = [b.column("doc_id"), b.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n", "prefix"])
 
@@ -125,7 +139,7 @@ def _keyed(classes: np.ndarray):
 
 def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in b.column("set")]
+        sets = [shingles(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
 
@@ -189,9 +203,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's class (doc_id, text_hash, node, n), and node, root of the classes that link with others."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.col("text")).alias("set"))
-    order = frequency_classes(own.select("set"))
+    order = frequencies(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = store(own.mapInArrow(_keyed(order), f"doc_id {kind}, text_hash long, node binary, n long, prefix array<long>"), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "prefix")).alias("r")
     classes = store(rows.filter("n > 0").groupBy("node").agg(first).select("node", "r.doc_id", "r.text_hash", "r.n", "r.prefix"), "classes")
@@ -200,7 +214,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     active = store(entries.select("node").distinct(), "active")
     picked = classes.join(active, "node", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     texts = docs.join(picked, docs["doc_id"].eqNullSafe(picked["d"]) & F.xxhash64(docs["text"]).eqNullSafe(picked["t"]), "left_semi")
-    sets = texts.select(shingles(F.col("text")).alias("set")).mapInArrow(_node_sets, "node binary, set array<long>").dropDuplicates(["node"])
+    sets = texts.select("text").mapInArrow(_node_sets, "node binary, set array<long>").dropDuplicates(["node"])
     sets = store(sets.join(classes.select("node", "prefix"), "node"), "active-sets")
     release(spark)
 
