@@ -1,11 +1,10 @@
-"""Queries over the harness tables, by the inventory's ids, with their DuckDB twins."""
+"""All queries over the harness tables, by the inventory's ids, with their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skein.plans import aggregates, flagship, kernels, relations, streams
+from skein.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "flagship_nearest_view"
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "flagship", "kernels", "relations", "streams"]
