@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir`` (or, where that is unset, in a temporary folder of this machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/skein"
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def _store(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from skein.operators.storage import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,13 +14,13 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread along links and are then followed once more (their own label's label), so
     rounds grow with the logarithm of the longest chain.
     """
-    both = _store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = _store(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         nearer = labels.join(spread, labels["node"] == spread["a"]).select("node", "root", F.least("root", "near").alias("new"))
         hop = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        new = _store(nearer.join(hop, "new", "left").select("node", F.col("root").alias("was"), F.least("new", "far").alias("root")))
+        new = stored(nearer.join(hop, "new", "left").select("node", F.col("root").alias("was"), F.least("new", "far").alias("root")))
         labels = new.select("node", "root")
         if new.filter("was <> root").isEmpty():
             return labels

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.graph import shared_path
+from skein.operators.storage import shared_path
 from skein.plans.registry import Tables, query
 from skein.streaming import feeds
 
