@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of frames that nothing refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)  # the cleaner removes files in a thread of its own
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -26,20 +26,21 @@ judged each by its own text; other columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import store
+from skein.llm.common import discard, small_batches, store
 from skein.llm.graph import components, release
 
 SHINGLE = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Sets that probe a list in the first round; each round takes ``GROWTH`` times as many.
 FIRST, GROWTH = 6, 8
 #: Positions of one block of an index list.
@@ -47,11 +48,11 @@ BLOCK = 16
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; the first million different ones are remembered."""
+    """64-bit hashes of words; the first 200,000 different ones are remembered."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -90,33 +91,50 @@ def links_at(o: str, n: str, m: str) -> str:
 
 
 def _count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total, cells = np.zeros(1 << SKETCH_BITS, np.int32), (1 << SKETCH_BITS) - 1
+    held: list[np.ndarray] = []
+    n = 0
+
+    def add() -> None:
+        nonlocal total
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.int32)
+            held.clear()
+
     for b in batches:
-        for k in range(0, len(b), 256):
-            sets = [shingles(t.as_py()) for t in b.column("text")[k : k + 256]]
-            total += np.bincount(np.concatenate(sets) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
+        for t in b.column("text"):
+            held.append(shingles(t.as_py()) & cells)
+            n += len(held[-1])
+            if n > 1 << 20:
+                add()
+                n = 0
+    add()
     if total.any():
-        parts = total.astype(np.int32).reshape(256, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(list(parts), pa.list_(pa.int32()))], names=["chunk", "counts"])
+        parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(_CHUNKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS)), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+
+
+_CHUNKS = 256
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for c, x in zip(b["chunk"], b["counts"], strict=True):
-            total[c] = total[c] + x if c in total else np.array(x)
+            counts = np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
+            total[c] = total[c] + counts if c in total else counts
     if total:
-        yield pd.DataFrame({"chunk": list(total), "counts": list(total.values())})
+        yield pd.DataFrame({"chunk": list(total), "counts": [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in total.values()]})
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
     """Counts of the sketch's cells over all documents, at most 65535."""
-    parts = docs.select("text").mapInArrow(_count_part, "chunk long, counts array<int>")
-    summed = parts.repartition("chunk").mapInPandas(_add, "chunk long, counts array<long>").collect()  # 256 rows, 2 ** SKETCH_BITS counts
-    counts = np.zeros((256, (1 << SKETCH_BITS) // 256), np.int64)
+    schema = "chunk long, counts binary"
+    summed = docs.select("text").mapInArrow(_count_part, schema).repartition("chunk").mapInPandas(_add, schema).collect()  # 2 ** SKETCH_BITS counts in all
+    counts = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.uint16)
     for r in summed:
-        counts[r["chunk"]] += r["counts"]
-    return np.minimum(counts.ravel(), 65535).astype(np.uint16)
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.uint16)
+    return counts.ravel()
 
 
 def _keyed(order: np.ndarray):
@@ -147,12 +165,12 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """Entries of index lists with two sets or more: token, node, n, at, band, block, m (sets in the list), u (a fixed random number of the set)."""
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    sizes = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    u = F.expr("(xxhash64(node) & 4503599627370495L) / 4503599627370496D")
+    """Entries of index lists with two sets or more (a set is in a list once, and in as many lists as its prefix has tokens, so no list has a large part of all entries): token, id, n, at, band, block, m (sets in the list), u (a fixed random number of the set)."""
+    entries = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    listed = entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1")
+    u = F.expr("(xxhash64(id) & 4503599627370495L) / 4503599627370496D")
     band = F.floor(F.log(1.25, F.col("n")))
-    return entries.join(sizes, "token").select("token", "node", "n", "at", band.alias("band"), F.floor(F.col("at") / BLOCK).alias("block"), "m", u.alias("u"))
+    return listed.select("token", "id", "n", "at", band.alias("band"), F.floor(F.col("at") / BLOCK).alias("block"), "m", u.alias("u"))
 
 
 _FIT = "4 * {m} <= 5 * {n} and 4 * {n} <= 5 * {m}"
@@ -163,16 +181,18 @@ def _candidates(entries: DataFrame, low: float, high: float) -> DataFrame:
 
     ``entries`` have comp besides the columns of ``_lists``.
     """
-    open_ = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    entries = entries.join(open_, "token", "left_semi")
+    entries = entries.filter(F.col("m") > low)  # the others have probed in full
+    if low:
+        open_ = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+        entries = entries.join(open_, "token", "left_semi")
     place = F.col("u") * F.col("m")
-    probes = entries.filter((place >= low) & (place < high)).select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pc"))
+    probes = entries.filter((place >= low) & (place < high)).select("token", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pc"))
     blocks = entries.groupBy("token", "band", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("at").alias("at0"), F.max("at").alias("at1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     may = "4 * pn <= 5 * n1 and 4 * n0 <= 5 * pn and 9 * (least(pat, at1) + 1 + least(pn - pat, n1 - at0) - 1) >= 4 * (pn + n0) and (c0 <> pc or c1 <> pc)"
     asked = probes.join(blocks, "token").filter(may).select("token", "band", "block", "p", "pn", "pat", "pc")
     fits = _FIT.format(n="n", m="pn") + " and 9 * (least(pat, at) + least(pn - pat, n - at)) >= 4 * (pn + n) and comp <> pc"
     found = asked.join(entries, ["token", "band", "block"]).filter(fits)
-    return found.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    return found.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
 
 
 def _decided(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -189,77 +209,111 @@ def _decided(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return bound.filter(f"ob is null or {links_at(most, 'na', 'nb')}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, o: overlaps of the pairs that prefixes don't rule out."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("prefix").alias(f"p{s}"), F.size("set").cast("long").alias(f"n{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
+def _near(pairs: DataFrame, active: DataFrame) -> DataFrame:
+    """a, b, na, nb of the pairs that their prefixes don't rule out.
+
+    Common elements up to the end of either prefix are common to both prefixes; beyond it
+    there are no more than that set has left.
+    """
+    side = lambda s: active.select(F.col("id").alias(s), F.col("prefix").alias(f"p{s}"), F.col("n").alias(f"n{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     rest = "greatest(na - size(pa), nb - size(pb))"
-    near = near.filter(links_at(f"size(array_intersect(pa, pb)) + {rest}", "na", "nb")).select("a", "b", "na", "nb")
-    whole = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"s{s}"))
+    return both.filter(links_at(f"size(array_intersect(pa, pb)) + {rest}", "na", "nb")).select("a", "b", "na", "nb")
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, o: the overlaps of whole sets."""
+    whole = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
     both = near.join(whole("a"), "a").join(whole("b"), "b")
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
 
 
+#: Sets whose texts are picked out by a broadcast of their ids (some 50 bytes each); beyond, the join shuffles.
+BROADCAST_SETS = 200_000
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, set of the wanted classes (id), from the text of one document each."""
+    picked = store(classes.join(wanted, "id").select("id", "node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "picked")
+    keys = F.broadcast(picked) if picked.count() <= BROADCAST_SETS else picked
+    texts = docs.join(keys.select("d", "t").distinct(), docs["doc_id"].eqNullSafe(F.col("d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("t")), "left_semi")
+    made = texts.select("text").mapInArrow(_node_sets, "node binary, set array<long>")
+    named = made.join(F.broadcast(picked) if picked.count() <= BROADCAST_SETS else picked, "node").select("id", "set")
+    return named.dropDuplicates(["id"])
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's class (doc_id, text_hash, node, n), and node, root of the classes that link with others."""
+    with small_batches(docs.sparkSession):
+        return _link_classes(docs)
+
+
+def _link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     order = frequencies(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = store(own.mapInArrow(_keyed(order), f"doc_id {kind}, text_hash long, node binary, n long, prefix array<long>"), "sets")
+    full = store(own.mapInArrow(_keyed(order), f"doc_id {kind}, text_hash long, node binary, n long, prefix array<long>"), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "prefix")).alias("r")
-    classes = store(rows.filter("n > 0").groupBy("node").agg(first).select("node", "r.doc_id", "r.text_hash", "r.n", "r.prefix"), "classes")
-    entries = store(_lists(classes), "lists")
+    named = full.filter("n > 0").groupBy("node").agg(first).select("node", "r.doc_id", "r.text_hash", "r.n", "r.prefix")
+    classes = store(named.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = store(full.drop("prefix"), "rows")
+    discard(full)
     release(spark)
-    active = store(entries.select("node").distinct(), "active")
-    picked = classes.join(active, "node", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    texts = docs.join(picked, docs["doc_id"].eqNullSafe(picked["d"]) & F.xxhash64(docs["text"]).eqNullSafe(picked["t"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_node_sets, "node binary, set array<long>").dropDuplicates(["node"])
-    sets = store(sets.join(classes.select("node", "prefix"), "node"), "active-sets")
+    entries = store(_lists(classes), "lists")
     release(spark)
+    active = store(classes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "n", "prefix"), "active")
 
-    labels = store(active.select("node", F.col("node").alias("comp")), "labels")
-    known, longest, low, high = None, entries.agg(F.max("m")).first()[0] or 0, 0, FIRST
+    labels = store(active.select("id", F.col("id").alias("comp")), "labels")
+    known = sets = None
+    longest, low, high = entries.agg(F.max("m")).first()[0] or 0, 0, FIRST
     while low < longest:
-        named = entries.join(labels, "node")
+        named = entries.filter(F.col("m") > low).join(labels, "id") if low else entries.withColumn("comp", F.col("id"))
         pairs = store(_candidates(named, low, high), "pairs")
+        release(spark)
         if known is not None:
             tested = known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = store(_decided(pairs.join(tested, ["a", "b"], "left_anti"), known), "pairs")
-        found = store(_verified(pairs, sets), "overlaps")
+            pairs = _decided(pairs.join(tested, ["a", "b"], "left_anti"), known)
+        near = store(_near(pairs, active), "near")
+        needed = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        new = _sets_of(docs, classes, needed if sets is None else needed.join(sets, "id", "left_anti"))
+        new = store(new, "whole-sets")
+        sets = new if sets is None else sets.unionByName(new)
+        found = store(_verified(near, sets), "overlaps")
         release(spark)
         both = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "o", F.col("na").alias("nx"), F.col("nb").alias("ny"))
         both = both.unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "o", F.col("nb").alias("nx"), F.col("na").alias("ny")))
         known = both if known is None else known.unionByName(both)
         links = found.filter(links_at("o", "na", "nb")).select("a", "b")
         if not links.isEmpty():
-            of = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
+            of = lambda s: labels.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}"))
             merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            new = labels.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
-            labels = store(new.select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+            moved = labels.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
+            labels = store(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
         low, high = high, high * GROWTH
-    return rows.select("doc_id", "text_hash", "node", "n"), labels.select("node", F.col("comp").alias("root"))
+    roots = labels.filter("id <> comp").unionByName(labels.filter("id <> comp").select(F.col("comp").alias("id"), "comp").distinct())
+    return rows, classes.select("node", "id").join(roots, "id").select("node", F.col("comp").alias("root"))
 
 
 def assigned(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
+    """doc_id, text_hash, n_shingles, root (a name of the component, null for empty sets), component_id for each row of ``docs``."""
     rows, roots = link_classes(docs)
-    linked = rows.filter("n > 0").join(roots, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
+    linked = rows.filter("n > 0").join(roots, "node", "left").select("doc_id", "text_hash", "n", F.coalesce(F.col("root").cast("string"), F.hex("node")).alias("root"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    whole = linked.join(least, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    whole = linked.join(least, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", "component_id")
+    return whole.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("string").alias("root"), F.col("doc_id").alias("component_id")))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Contract rows: doc_id, n_shingles, component_id."""
-    return assigned(docs).drop("text_hash")
+    return assigned(docs).drop("text_hash", "root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (of equal ids the smallest hash, then one row)."""
     found = store(assigned(docs.select("doc_id", "text")), "assigned")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    linked = found.filter("n_shingles > 0").groupBy("component_id").agg(first.alias("r")).select("r.doc_id", "r.text_hash")
+    linked = found.filter("n_shingles > 0").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.text_hash")
     empty = found.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()
     stays = linked.unionByName(empty).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(stays["_t"]), "left_semi")
