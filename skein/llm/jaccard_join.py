@@ -242,6 +242,79 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     return named.dropDuplicates(["id"])
 
 
+# ---- long lists, block against block
+
+#: Sets in a list above which its sets are compared in blocks and no pairs are written.
+LONG = 200
+#: Most sets and most elements of a block, on average.
+BLOCK_SETS, BLOCK_ELEMENTS = 256, 400_000
+
+
+def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of two blocks (or within one), as many as tie them together.
+
+    The overlaps of one set with all others follow from those of the set before it: only the
+    elements that one has and the other lacks are looked up.
+    """
+    sets = [np.asarray(x, np.int64) for x in rows["set"]]
+    comp, side, n = rows["comp"].to_numpy(), rows["side"].to_numpy(), np.array([len(x) for x in sets])
+    others = np.flatnonzero(side == side.max())
+    tokens = np.concatenate([sets[i] for i in others])
+    order = np.argsort(tokens, kind="stable")
+    tokens, where = tokens[order], np.repeat(np.arange(len(others)), n[others])[order]
+    cuts = np.flatnonzero(np.diff(tokens, prepend=tokens[0] - 1 if len(tokens) else 0))
+    index = dict(zip(tokens[cuts].tolist(), np.split(where, cuts[1:]), strict=True))
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    links, before, counts = [], np.zeros(0, np.int64), np.zeros(len(others), np.int64)
+    for p in np.flatnonzero(side == side.min()).tolist():
+        gone, new = np.setdiff1d(before, sets[p], assume_unique=True), np.setdiff1d(sets[p], before, assume_unique=True)
+        if len(gone) + len(new) > len(sets[p]):
+            counts[:], gone, new = 0, gone[:0], sets[p]
+        for t in gone.tolist():
+            if t in index:
+                counts[index[t]] -= 1
+        for t in new.tolist():
+            if t in index:
+                counts[index[t]] += 1
+        before = sets[p]
+        for x in others[np.flatnonzero(9 * counts >= 4 * (n[p] + n[others]))].tolist():
+            a, b = find(comp[p]), find(comp[x])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((max(a, b), min(a, b)))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _long_list_links(entries: DataFrame, labels: DataFrame, sets_of) -> DataFrame:
+    """Links (a, b: components) between all sets that have a long list in common.
+
+    Sets are cut into blocks near their smallest token in such a list, so near copies come
+    together; each two blocks with a list in common are compared in one task of bounded size.
+    """
+    open_ = entries.join(labels, "id")
+    several = open_.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    listed = store(entries.join(several, "token", "left_semi").select("token", "id", "n", "u"), "long-lists")
+    nodes = listed.groupBy("id", "n", "u").agg(F.min(F.xxhash64("token")).alias("s"))
+    total = nodes.count()
+    part = F.floor((F.col("s") / F.lit(2.0**64) + 0.5) * max(1, -(-total // BLOCK_SETS))).alias("part")
+    nodes = nodes.select("id", "n", "u", part)
+    sizes = nodes.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("subs"))
+    block = F.concat_ws(".", F.col("part").cast("string"), F.floor(F.col("u") * F.col("subs")).cast("string")).alias("blk")
+    placed = store(nodes.join(sizes, "part").select("id", block), "blocks")
+    met = listed.join(placed, "id").select("token", "blk").distinct()
+    pairs = met.join(met.withColumnRenamed("blk", "other"), "token").filter("blk <= other").select("blk", "other").distinct()
+    named = placed.join(labels, "id").join(sets_of(placed.select("id")), "id").select("id", "comp", "set", "blk")
+    each = pairs.select("blk", "other", F.explode(F.array_distinct(F.array(F.struct(F.col("blk").alias("b"), F.lit(0).alias("side")), F.struct(F.col("other").alias("b"), F.when(F.col("blk") == F.col("other"), 0).otherwise(1).alias("side"))))).alias("m"))
+    rows = each.select("blk", "other", "m.side", F.col("m.b").alias("b")).join(named.withColumnRenamed("blk", "b"), "b").select("blk", "other", "side", "comp", "set")
+    return rows.groupBy("blk", "other").applyInPandas(_block_links, "a long, b long")
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's class (doc_id, text_hash, node, n), and node, root of the classes that link with others."""
     with small_batches(docs.sparkSession):
@@ -266,30 +339,43 @@ def _link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     labels = store(active.select("id", F.col("id").alias("comp")), "labels")
     known = sets = None
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        """The sets that are there, after those that were missing are made."""
+        nonlocal sets
+        new = store(_sets_of(docs, classes, wanted if sets is None else wanted.join(sets, "id", "left_anti")), "whole-sets")
+        sets = new if sets is None else sets.unionByName(new)
+        return sets
+
+    def merge(links: DataFrame) -> DataFrame:
+        """Labels after links (a, b) between components."""
+        if links.isEmpty():
+            return labels
+        merged = components(links)
+        moved = labels.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
+        return store(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+
     longest, low, high = entries.agg(F.max("m")).first()[0] or 0, 0, FIRST
-    while low < longest:
-        named = entries.filter(F.col("m") > low).join(labels, "id") if low else entries.withColumn("comp", F.col("id"))
+    while low < min(longest, LONG):
+        lists = entries.filter((F.col("m") > low) & (F.col("m") <= LONG)) if low else entries
+        named = lists.join(labels, "id") if low else lists.withColumn("comp", F.col("id"))
         pairs = store(_candidates(named, low, high), "pairs")
         release(spark)
         if known is not None:
             tested = known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             pairs = _decided(pairs.join(tested, ["a", "b"], "left_anti"), known)
         near = store(_near(pairs, active), "near")
-        needed = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        new = _sets_of(docs, classes, needed if sets is None else needed.join(sets, "id", "left_anti"))
-        new = store(new, "whole-sets")
-        sets = new if sets is None else sets.unionByName(new)
-        found = store(_verified(near, sets), "overlaps")
+        found = store(_verified(near, whole(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "overlaps")
         release(spark)
         both = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "o", F.col("na").alias("nx"), F.col("nb").alias("ny"))
         both = both.unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "o", F.col("nb").alias("nx"), F.col("na").alias("ny")))
         known = both if known is None else known.unionByName(both)
-        links = found.filter(links_at("o", "na", "nb")).select("a", "b")
-        if not links.isEmpty():
-            of = lambda s: labels.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}"))
-            merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            moved = labels.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
-            labels = store(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+        of = lambda s: labels.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}"))  # noqa: E731, B023
+        links = found.filter(links_at("o", "na", "nb")).select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        labels = merge(store(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links"))
+        if low == 0 and longest > LONG:
+            labels = merge(store(_long_list_links(entries.filter(F.col("m") > LONG), labels, whole), "links"))
+            release(spark)
         low, high = high, high * GROWTH
     roots = labels.filter("id <> comp").unionByName(labels.filter("id <> comp").select(F.col("comp").alias("id"), "comp").distinct())
     return rows, classes.select("node", "id").join(roots, "id").select("node", F.col("comp").alias("root"))

@@ -54,9 +54,11 @@ def test_awkward_documents(docs, no_docs):
     assert jaccard_join.report(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("edits", [2, 6])
-def test_group_of_near_copies(spark, edits):
-    """Copies that mostly link through a few others, beside documents that share one passage."""
+@pytest.mark.parametrize("edits, long, sets", [(2, 200, 256), (6, 200, 256), (5, 10, 256), (6, 6, 8)])
+def test_group_of_near_copies(spark, monkeypatch, edits, long, sets):
+    """Copies that mostly link through a few others, beside documents that share one passage; with lists in blocks too."""
+    monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", sets)
     rng = random.Random(edits)
     base, shared = words(rng, 150).split(), words(rng, 40)
     rows = []
