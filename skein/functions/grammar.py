@@ -12,6 +12,20 @@ KNOWN_SUFFIXES = (
 )
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
+# Series that are outrights although their tickers look like fixtures.
+OUTRIGHT_PREFIXES = (
+    "KXJOIN", "KXNEXTTEAM", "KXNEXTMANAGER", "KXMANAGERSOUT", "KXCOACHOUT", "KXCOACHONDATE", "KXMLBTRADE", "KXNFLTRADE", "KXSOCCERTRANSFER",
+    "KXF1RETIRE", "KXARODGRETIRE", "KXKELCERETIRE", "KXLBJRETIRE", "KXPERSONUNRETIRE", "KXSOCCERPLAY", "KXPLAYWC", "KXPGACURRY", "KXPGATIGER",
+    "KXSCOTTIESLAM", "KXLAMINEYAMAL", "KXBRYSONCOURSERECORDS", "KXFURYJOSHUA", "KXFLOYDTYSONFIGHT", "KXMCGREGORFIGHTNEXT", "KXCALCFO", "KXSORONDO",
+    "KXGRANDSLAMJ", "KXGRANDSLAM", "KXNYKCOACH", "KXCARDPRESENCE", "KXSPORTSOWNERLBJ", "KXNBAATTEND", "KXSHAI20PTREC", "KXNBA2KCOVER", "KXNDJOINCONF",
+    "KXDONATEMRBEAST", "KXCOVEREA", "KXPGAMAJORWIN", "KX1STHOMEGAME", "KXRELOCATION", "KXNBASEATTLE", "KXSONICS", "KXCITYNBA", "KXNBATEAM",
+    "KXFIFAUSPULL", "KXWCIRAN", "KXWCLOCATION", "KXWCMESSIRONALDO", "KXWCROUND", "KXWCSQUAD", "KXWCGROUP", "KXSTARTINGQB", "KXNBARETURN",
+    "KXNBADRAFT", "KXNFLDRAFT", "KXNBAPLAYOFF", "KXMLBTB", "KXMLBHR", "KXMLBHRR", "KXNBASTL", "KXEUROVISIONISRAELBAN", "KXPIZZASCORE",
+    "KXCOLLEGEGAMEDAYGUEST", "KXWSOPENTRANTS", "KXQUADRUPLEDOUBLE", "KXARSENALCUPS", "KXPAVIAPRESEASON", "KXMLSJOIN", "KXRANKLISTFF", "KXOWGRRANK",
+    "KXCHESSFIDERATING", "KXLIVOCCUR", "KXWNBADELAY", "KXWNBAGAMESPLAYED", "KXWNBADRAFT", "KXMARMAD", "KXNCAAMBNEXTCOACH", "KXSTEPHDEAL",
+)
+OUTRIGHT_PARTS = ("MENTION",)
+
 _DATE = r"(\d{2})([A-Z]{3})(\d{2})"
 FIELDS = ("kind", "date", "time", "abbr_block", "leg_n", "handle", "year", "round_n")
 
@@ -32,6 +46,17 @@ def after_series(event: Column, series: Column) -> Column:
     return F.coalesce(F.when(rest.startswith("-"), F.substr(rest, F.lit(2))), glued, plain)
 
 
+def is_outright(base: Column) -> Column:
+    """A series that begins with an outright's prefix or has an outright's part."""
+    s = F.upper(F.coalesce(base, F.lit("")))
+    return s.rlike(f"^({'|'.join(OUTRIGHT_PREFIXES)})") | s.rlike("|".join(OUTRIGHT_PARTS))
+
+
+def ticker(event: Column, series: Column) -> Column:
+    """the identity of an event of a series (both are computed columns, so keep them small)."""
+    return identity(after_series(event, series), is_outright(split_suffix(series)["base"]))
+
+
 def short_date(yy: Column, mmm: Column, dd: Column) -> Column:
     """``26 MAY 07`` as a date of this century; null where there is none."""
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(mmm))

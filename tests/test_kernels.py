@@ -34,6 +34,13 @@ def test_identity(spark, event, series, outright, kind, fields):
         assert found[k] == v
 
 
+def test_outright_series(spark):
+    for series, want in {"KXJOINCLUB": True, "KXFOXMENTION": True, "KXUCLGAME": False, "": False, None: False}.items():
+        assert value(spark, grammar.is_outright(F.lit(series).cast("string"))) is want
+    found = value(spark, grammar.ticker(F.lit("KXMLBHR-26MAY05JUDGE"), F.lit("KXMLBHR")))
+    assert (found.kind, found.handle) == ("outright", "JUDGE")
+
+
 def test_suffix_order(spark):
     for series, want in {"KXEPLGAME": ("KXEPL", "GAME"), "KXUCLTCORNERS": ("KXUCL", "TCORNERS"), "GAME": ("GAME", ""), "KXNBA1H": ("KXNBA", "1H"), None: ("", "")}.items():
         assert tuple(value(spark, grammar.split_suffix(F.lit(series).cast("string")))) == want
