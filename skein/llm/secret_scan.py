@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over candidates.
 
 Patterns find the base spans, which always stay.  Further candidates are long runs of key
-characters with letters and digits outside of base spans.  A network in numpy reads each
+characters with letters and digits, unless base spans cover them wholly.  A network in numpy reads each
 candidate with its surroundings: character embeddings, one convolution, maxima over the
 candidate and over its surroundings, two dense layers.  It is trained on labelled findings
 (a generated set of fixed seed unless others are given, of which at most ``FINDINGS``
@@ -53,11 +53,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Runs of key characters that no base span touches."""
-    runs = [m.span() for m in _CANDIDATE.finditer(text)]
-    if not base or not runs:
-        return runs
-    return [(i, j) for i, j in runs if not any(s < j and i < e for s, _, e in base)]
+    """Runs of key characters that base spans, sorted, do not cover wholly."""
+    left, reach, k = [], 0, 0
+    for i, j in (m.span() for m in _CANDIDATE.finditer(text)):
+        reach = max(reach, i)  # base spans cover the text from i to here
+        while k < len(base) and base[k][0] <= reach:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach < j:
+            left.append((i, j))
+    return left
 
 
 # ---- the network

@@ -110,6 +110,21 @@ def test_secret_spans(spark, docs):
     assert secret_scan.report(df.limit(0), net).count() == 0
 
 
+def test_candidates_beside_base_spans(spark):
+    text = "access: 1234567890123456789-AbCdEfGhIjKlMnOpQrStUvWxYz0123456789ABCD next"
+    assert base(text) == [(8, 2, 27)] and secret_scan.candidates(text, base(text)) == [(8, 68)]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    net = secret_scan.fit(spark)
+    assert secret_scan.report(df, net).first().spans == "hex:8:27,model:8:68"
+    assert secret_scan.redact(df, net).first().text == "access: [secret] next"
+    rng = random.Random(8)
+    for _ in range(500):
+        text = "".join(rng.choice(("token=", "AKIA", "A1b2C3d4E5", "0123456789abcdef", "-", "/", " ", ".")) for _ in range(rng.randrange(12)))
+        covered = {x for s, _, e in base(text) for x in range(s, e)}
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert secret_scan.candidates(text, base(text)) == [(i, j) for i, j in runs if not covered.issuperset(range(i, j))]
+
+
 def test_network_generalises():
     known = secret_scan.labelled_findings()
     net = secret_scan.train(np.stack([secret_scan.window(t, i, j) for t, i, j, _ in known]), np.array([y for *_, y in known], float))
