@@ -3,10 +3,13 @@
 Patterns find the base spans, which always stay.  Further candidates are long runs of key
 characters with letters and digits, unless base spans cover them wholly.  A network in numpy reads each
 candidate with its surroundings: character embeddings, one convolution, maxima over the
-candidate and over its surroundings, two dense layers.  It is trained on labelled findings
-(a generated set of fixed seed unless others are given, of which at most ``FINDINGS``
-are used); Platt scaling calibrates it on findings apart, and the threshold is the highest
-that keeps the recall there at ``RECALL``.
+candidate and over its surroundings, two dense layers.  A candidate of more than ``INSIDE``
+characters is read in overlapping views, over the whole and over its long parts between
+separators; its largest probability counts, and the whole candidate is the span.  The network
+is trained on labelled findings (a generated set of fixed seed unless others are given, of which
+at most ``FINDINGS`` are used), on the surest view of a key and on all views of others; Platt
+scaling calibrates it on findings apart, and the threshold is the highest that keeps the recall
+there at ``RECALL``.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end
 exclusive; overlapping spans of different kinds all stay; repeated rows are scanned one by
@@ -16,6 +19,7 @@ one; an empty table gives no rows; other columns pass through ``redact`` unchang
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -35,7 +39,7 @@ KINDS = ("assign", "access", "hex", "model")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _KEY = "A-Za-z0-9+/_=-"
-_CANDIDATE = re.compile(rf"(?<![{_KEY}])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Za-z])[{_KEY}]{{20,}}")
+_CANDIDATE, *_PARTS = [re.compile(rf"(?<![{k}])(?=[{k}]*[0-9])(?=[{k}]*[A-Za-z])[{k}]{{20,}}") for k in (_KEY, "A-Za-z0-9+_-", "A-Za-z0-9+")]
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -68,6 +72,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
 # ---- the network
 
 BEFORE, INSIDE, AFTER = 24, 48, 12
+STEP = 12
 LENGTH = BEFORE + INSIDE + AFTER
 EMBED, WIDTH, FILTERS, DENSE = 12, 5, 24, 24
 FINDINGS = 20_000
@@ -75,11 +80,20 @@ RECALL = 0.98
 _SYMBOLS = {c: i + 2 for i, c in enumerate(string.printable[:95])}  # 0: nothing there; 1: any other character
 
 
+def views(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Spans of at most ``INSIDE`` characters that together show all of a candidate."""
+    spans = {(start, stop): None}
+    if stop - start > INSIDE:
+        spans |= dict.fromkeys(m.span() for part in _PARTS for m in part.finditer(text, start, stop))
+    for i, j in spans:
+        for at in (*range(i, j - INSIDE, STEP), max(i, j - INSIDE)):
+            yield at, min(at + INSIDE, j)
+
+
 def window(text: str, start: int, stop: int) -> np.ndarray:
-    """Codes of a candidate and its surroundings; of a very long one, its two ends."""
+    """Codes of a view and its surroundings; a span of more than ``INSIDE`` characters is for ``views`` to cut."""
+    stop = min(stop, start + INSIDE)
     inside = text[start:stop]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-INSIDE // 2 :]
     before = text[max(0, start - BEFORE) : start]
     codes = np.zeros(LENGTH, np.int64)
     for at, part in ((BEFORE - len(before), before), (BEFORE, inside), (BEFORE + INSIDE, text[stop : stop + AFTER])):
@@ -145,17 +159,32 @@ def _new_network(rng: np.random.Generator) -> Network:
     return Network(rng.normal(0, 0.3, (97, EMBED)), he(WIDTH * EMBED, FILTERS), np.zeros(FILTERS), he(3 * FILTERS, DENSE), np.zeros(DENSE), he(DENSE, 1)[:, 0], np.zeros(1))
 
 
-def train(codes: np.ndarray, labels: np.ndarray, rounds: int = 5, batch: int = 64, seed: int = 11) -> Network:
-    """Adam on three quarters of the findings; calibration and threshold on the others."""
+def _raw(net: Network, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([net.forward(codes[at : at + 512])[0] for at in range(0, len(codes), 512)])
+
+
+def train(codes: np.ndarray, labels: np.ndarray, rounds: int = 5, batch: int = 64, seed: int = 11, of: np.ndarray | None = None) -> Network:
+    """Adam on three quarters of the findings; calibration and threshold on the others.
+
+    ``of``: the finding of each view in ``codes``, ascending; without it each has one view.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(codes))[:FINDINGS]
+    first = np.searchsorted(np.arange(len(codes)) if of is None else of, np.arange(len(labels) + 1))
+    of = np.repeat(np.arange(len(labels)), np.diff(first))
+    order = rng.permutation(len(labels))[:FINDINGS]
     apart, own = order[: len(order) // 4], order[len(order) // 4 :]
+    shown = lambda findings: np.concatenate([np.arange(first[f], first[f + 1]) for f in findings])
     net = _new_network(rng)
     mean, square, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
     for _ in range(rounds):
-        rng.shuffle(own)
-        for at in range(0, len(own), batch):
-            c, y = codes[own[at : at + batch]], labels[own[at : at + batch]]
+        used = shown(own)
+        if len(used) > len(own):  # of a key its surest view
+            raw = np.full(len(codes), -np.inf)
+            raw[used] = _raw(net, codes[used])
+            used = np.concatenate([shown(own[labels[own] == 0]), [first[f] + raw[first[f] : first[f + 1]].argmax() for f in own[labels[own] == 1]]]).astype(int)
+        rng.shuffle(used)
+        for at in range(0, len(used), batch):
+            c, y = codes[used[at : at + batch]], labels[of[used[at : at + batch]]]
             raw, kept = net.forward(c)
             slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(c)
             step += 1
@@ -163,12 +192,13 @@ def train(codes: np.ndarray, labels: np.ndarray, rounds: int = 5, batch: int = 6
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    raw, y = net.forward(codes[apart])[0], labels[apart]
+    ends = np.cumsum([0, *(first[apart + 1] - first[apart])])[:-1]
+    raw, y = np.maximum.reduceat(_raw(net, codes[shown(apart)]), ends), labels[apart]
     for _ in range(200):  # Platt scaling by gradient steps
         off = 1 / (1 + np.exp(-np.clip(net.scale * raw + net.offset, -30, 30))) - y
         net.scale -= 0.1 * float((off * raw).mean() + 1e-3 * net.scale)
         net.offset -= 0.1 * float(off.mean())
-    good = np.sort(net.probability(codes[apart[y == 1]]))
+    good = np.sort(1 / (1 + np.exp(-np.clip(net.scale * raw[y == 1] + net.offset, -30, 30))))
     net.threshold = float(min(0.5, good[int((1 - RECALL) * len(good))])) if len(good) else 0.5
     return net
 
@@ -205,12 +235,37 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
     return found
 
 
+def long_findings(n: int = 400, seed: int = 6) -> list[tuple[str, int, int, int]]:
+    """Generated findings in long paths: with a key among the parts, and with none."""
+    rng = np.random.default_rng(seed)
+    pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
+    word = lambda: "".join(pick(string.ascii_lowercase, 1) + pick("aeiou", 1) + pick("rnstlcm", 1) * int(rng.integers(2)) for _ in range(rng.integers(1, 5)))
+    calm = (
+        word,
+        lambda: f"v{rng.integers(9)}",
+        lambda: "-".join(word() for _ in range(3)),
+        lambda: f"{word()}_{rng.integers(2030)}",
+        lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        lambda: "".join(word().title() for _ in range(4)) + f"{rng.integers(99)}",
+        lambda: f"{rng.integers(1900, 2030)}-{rng.integers(1, 13)}-{rng.integers(1, 29)}",
+    )
+    found = []
+    for i in range(n):
+        parts = [calm[rng.integers(len(calm))]() for _ in range(int(rng.integers(7, 18)))]
+        if i % 2:
+            parts.insert(int(rng.integers(len(parts))), pick(string.ascii_letters + string.digits + "-_" * int(rng.integers(2)), int(rng.integers(24, 64))))
+        body, before = "/".join(parts) + f"/{rng.integers(99)}", word() + (" ", ": ", " =")[rng.integers(3)]
+        found.append((f"{before}{body} {word()} {word()}", len(before), len(before) + len(body), i % 2))
+    return found
+
+
 def fit(spark: SparkSession, findings: list[tuple[str, int, int, int]] | None = None) -> Network:
     """A network trained in one task; ``findings``: text, start, stop, label."""
 
     def trained(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = findings if findings is not None else labelled_findings()
-        net = train(np.stack([window(t, i, j) for t, i, j, _ in known]), np.array([y for *_, y in known], float))
+        known = findings if findings is not None else labelled_findings() + long_findings()
+        shown = [(n, i, j) for n, (text, start, stop, _) in enumerate(known) for i, j in views(text, start, stop)]
+        net = train(np.stack([window(known[n][0], i, j) for n, i, j in shown]), np.array([y for *_, y in known], float), of=np.array([n for n, *_ in shown]))
         parts = [*net.parameters(), np.array([net.scale, net.offset, net.threshold])]
         yield pd.DataFrame({"shape": [list(p.shape) for p in parts], "values": [p.ravel() for p in parts]})
 
@@ -224,16 +279,17 @@ def fit(spark: SparkSession, findings: list[tuple[str, int, int, int]] | None =
 
 def scan(texts: list[str | None], net: Network) -> list[list[Span]]:
     """All spans of each text, by start and kind."""
-    spans, asked = [], []
+    spans, runs = [], []
     for at, text in enumerate(texts):
         spans.append(base_spans(text or ""))
-        asked += [(at, i, j) for i, j in candidates(text or "", spans[-1])]
-    for k in range(0, len(asked), 512):
-        part = asked[k : k + 512]
-        sure = net.probability(np.stack([window(texts[at], i, j) for at, i, j in part])) >= net.threshold
-        for (at, i, j), yes in zip(part, sure.tolist(), strict=True):
-            if yes:
-                spans[at].append((i, 3, j))
+        runs += [(at, i, j) for i, j in candidates(text or "", spans[-1])]
+    best = np.zeros(len(runs))
+    asked = ((n, k, m) for n, (at, i, j) in enumerate(runs) for k, m in views(texts[at], i, j))
+    for part in itertools.batched(asked, 512):
+        np.maximum.at(best, [n for n, *_ in part], net.probability(np.stack([window(texts[runs[n][0]], k, m) for n, k, m in part])))
+    for (at, i, j), yes in zip(runs, (best >= net.threshold).tolist(), strict=True):
+        if yes:
+            spans[at].append((i, 3, j))
     return [sorted(s) for s in spans]
 
 

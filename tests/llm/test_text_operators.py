@@ -125,6 +125,24 @@ def test_candidates_beside_base_spans(spark):
         assert secret_scan.candidates(text, base(text)) == [(i, j) for i, j in runs if not covered.issuperset(range(i, j))]
 
 
+def test_long_candidates_are_read_whole(spark):
+    rng, key = random.Random(9), "AbC9xYz8QwErTy7UiOp6LkJh5"
+    for n in (20, 47, 48, 49, 60, 61, 500):
+        text = "".join(rng.choice("aB3/-") for _ in range(n))
+        seen = list(secret_scan.views(text, 0, n))
+        assert all(0 < j - i <= secret_scan.INSIDE for i, j in seen) and {x for i, j in seen for x in range(i, j)} == set(range(n))
+    calm = "see //host/v1/tenants/customer-portal/keys/none/archive/2023/download/quarterly-report-2024 now"
+    said = [f"//host/v1/tenants/customer-portal/keys/{key}/download/quarterly-report-2024", f"x {'report/2024-01/' * 40}{key}{'/report/2024-01' * 40} y", calm]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    net = secret_scan.fit(spark)
+    assert [r.spans for r in secret_scan.report(df, net).sort("doc_id").collect()] == [f"model:0:{len(said[0])}", f"model:2:{len(said[1]) - 2}", ""]
+    assert [r.text for r in secret_scan.redact(df, net).sort("doc_id").collect()] == ["[secret]", "x [secret] y", calm]
+    fresh = secret_scan.long_findings(600, 78)
+    found = [any(k == 3 for _, k, _ in x) for x in secret_scan.scan([t for t, *_ in fresh], net)]
+    y = np.array([y for *_, y in fresh]) == 1
+    assert np.mean(np.array(found)[y]) >= 0.97 and np.mean(np.array(found)[~y]) <= 0.05
+
+
 def test_network_generalises():
     known = secret_scan.labelled_findings()
     net = secret_scan.train(np.stack([secret_scan.window(t, i, j) for t, i, j, _ in known]), np.array([y for *_, y in known], float))
