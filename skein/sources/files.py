@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +65,38 @@ def validated(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return records.withColumn("drift", F.array_compact(F.array(*broken)))
 
 
-def key_inventory(records: DataFrame, json: str) -> DataFrame:
-    """Each top-level key with its number of records and the types seen."""
-    kind = lambda v: F.when(v.rlike(r"^\{"), "object").when(v.rlike(r"^\["), "array").when(v.rlike(r"^-?\d+(\.\d+)?$"), "number").when(v.isin("true", "false"), "boolean").otherwise("string")
-    each = records.select(F.explode(F.from_json(json, "map<string,string>")).alias("key", "value"))
-    return each.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), kind(F.col("value"))))).alias("types"))
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _paths(text: str | None) -> list[tuple[str, list[str], str | None]]:
+    """Each path of a JSON text with its types and its least plain value; what is no JSON has none."""
+    try:
+        todo = [("", json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number))] if text else []
+    except (ValueError, RecursionError):
+        return []
+    types, samples = defaultdict(set), {}
+    while todo:
+        prefix, at = todo.pop()
+        if isinstance(at, list):
+            todo += [(f"{prefix}[]", v) for v in at if isinstance(v, dict | list)]
+            continue
+        for k, v in at.items() if isinstance(at, dict) else ():
+            path = (f"{prefix}.{k}" if prefix else k).encode(errors="replace").decode()
+            types[path] |= {kind for kind, t in (("object", dict), ("array", list), ("boolean", bool), ("number", _Number)) if isinstance(v, t)} or ({"string"} if isinstance(v, str) else set())
+            if isinstance(v, dict | list):
+                todo.append((path, v))
+            elif v is not None:
+                said = str(v if isinstance(v, str) else json.dumps(v)).encode(errors="replace").decode()
+                samples[path] = min(said, samples.get(path, said))
+    return [(path, sorted(t), samples.get(path)) for path, t in types.items()]
+
+
+def key_inventory(records: DataFrame, json: str, *by: str) -> DataFrame:
+    """Each path (``a.b``, ``[]`` at a list level, at any depth and over all elements) with its number of records, the types seen and the least plain value, for each of ``by``."""
+    walk = F.udf(_paths, "array<struct<key: string, types: array<string>, sample: string>>", useArrow=True)
+    each = records.select(*by, F.inline(walk(json)))
+    return each.groupBy(*by, "key").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), F.min("sample").alias("sample"))
 
 
 def ids_in(json: Column, field: str) -> Column:

@@ -106,6 +106,18 @@ def test_list_file(spark, tmp_path):
     assert found == ["1", "2"]
 
 
+def test_key_inventory_of_nested_records(spark):
+    rows = [("tennis", '{"DATA": [{"E": {"id": "7"}}, {"E": {"id": 5, "x": null}}, 1, [{"d": true}]], "n": 2.50}'), ("tennis", '{"DATA": [], "n": 10}'), ("golf", '[{"DATA": "12"}]'), ("golf", "no json"), ("golf", None)]
+    rows.append(("deep", '{"a":' * 12 + '[0,0,0,0,0,0,{"last": "v"}]' + "}" * 12))
+    found = {(r.sport, r.key): (r.n, r.types, r["sample"]) for r in files.key_inventory(spark.createDataFrame(rows, "sport string, j string"), "j", "sport").collect()}
+    deep = {k: found.pop(k) for k in [*found] if k[0] == "deep"}
+    assert len(deep) == 13 and deep[("deep", ".".join("a" * 12) + "[].last")] == (1, ["string"], "v")
+    assert found == {
+        ("tennis", "DATA"): (2, ["array"], None), ("tennis", "DATA[].E"): (1, ["object"], None), ("tennis", "DATA[].E.id"): (1, ["number", "string"], "5"),
+        ("tennis", "DATA[].E.x"): (1, [], None), ("tennis", "DATA[][].d"): (1, ["boolean"], "true"), ("tennis", "n"): (2, ["number"], "10"), ("golf", "[].DATA"): (1, ["string"], "12"),
+    }
+
+
 def test_feed_shapes(spark):
     titles = spark.createDataFrame([(1, "s", "Will Real Madrid beat Atletico Madrid?"), (2, "s", "Nothing here")], "rec long, sport string, title string")
     games = spark.createDataFrame([(7, "s", ["real madrid", "madrid"], ["atletico madrid"]), (8, "s", ["real"], ["madrid"])], "game long, sport string, home array<string>, away array<string>")
