@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import components
+from skein.functions.text import normalize_name
 from skein.operators.joins import collision_pairs, latest
 
+# The reference's fields of a log row's detail, and how many rows it mines.
+NAME_KEYS = ("home_provider_normalized", "away_provider_normalized", "home_provider_raw", "away_provider_raw", "home_canonical", "away_canonical", "home_name", "away_name", "home", "away")
+COUNTRY_KEYS = ("home_country", "away_country", "country", "country_name", "tournament_country", "league_country", "home_country_name", "away_country_name")
+MINED = 50_000
+
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """Page numbers from 1, sizes 1 to 200; out-of-range values are moved into range."""
@@ -140,6 +146,18 @@ def markdown(rows: list, columns: list[str], title: str) -> str:
     return "\n".join(lines) + "\n"
 
 
+def mine_failures(log: DataFrame, sport: str, since: Column) -> DataFrame:
+    """Raw, normalized and country_hint of each provider name in a sport's newest failures since a time (columns reason_detail, reason_code, decided_at)."""
+    detail = log.withColumn("detail", F.try_parse_json("reason_detail"))
+    field = lambda key: F.try_variant_get("detail", f"$.{key}", "variant")
+    said = lambda key: F.when(F.schema_of_variant(field(key)) == "STRING", F.regexp_replace(F.try_variant_get("detail", f"$.{key}", "string"), r"^\s+|\s+$", ""))
+    failed = detail.filter((F.try_variant_get("detail", "$.sport", "string") == sport) & F.col("reason_code").isin("no_match", "review_queue") & (F.col("decided_at") >= since))
+    newest = failed.orderBy(F.col("decided_at").desc(), "reason_detail").limit(MINED)
+    hint = F.coalesce(*[F.nullif(said(k), F.lit("")) for k in COUNTRY_KEYS], F.lit(""))
+    names = newest.select(F.explode(F.array(*[said(k) for k in NAME_KEYS])).alias("raw"), hint.alias("country_hint"))
+    return names.select("raw", normalize_name(F.col("raw")).alias("normalized"), "country_hint").filter("normalized <> ''")
+
+
 def latest_versions(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """The latest log row of each (provider, record) of ``pairs``."""
     mine = log.join(pairs, ["provider", "record"], "left_semi")

@@ -118,6 +118,18 @@ def test_key_inventory_of_nested_records(spark):
     }
 
 
+def test_mine_failures(spark):
+    said = {k: f" {k.upper()}-é " for k in review.NAME_KEYS} | {"sport": "Tennis", review.COUNTRY_KEYS[-1]: " FR "}
+    rows = [(json.dumps(said), "no_match", 9), ('{"sport": "Tennis", "home": 5, "away": " . ", "home_name": null}', "review_queue", 9), ('{"sport": "Golf", "home": "x"}', "no_match", 9)]
+    rows += [('{"sport": "Tennis", "home": "x"}', "strict", 9), ('{"sport": "Tennis", "home": "old"}', "no_match", 1), ("no json", "no_match", 9)]
+    log = spark.createDataFrame(rows, "reason_detail string, reason_code string, decided_at long")
+    found = review.mine_failures(log, "Tennis", F.lit(5)).collect()
+    assert sorted(map(tuple, found)) == sorted((f"{k.upper()}-é", f"{k} e", "FR") for k in review.NAME_KEYS)
+    many = spark.range(60_000).select(F.format_string('{"sport": "Golf", "home": "n%d"}', "id").alias("reason_detail"), F.lit("no_match").alias("reason_code"), F.col("id").alias("decided_at"))
+    mined = review.mine_failures(many, "Golf", F.lit(5_000)).agg(F.count("*"), F.min(F.substring("raw", 2, 9).cast("int"))).first()
+    assert tuple(mined) == (50_000, 10_000)
+
+
 def test_feed_shapes(spark):
     titles = spark.createDataFrame([(1, "s", "Will Real Madrid beat Atletico Madrid?"), (2, "s", "Nothing here")], "rec long, sport string, title string")
     games = spark.createDataFrame([(7, "s", ["real madrid", "madrid"], ["atletico madrid"]), (8, "s", ["real"], ["madrid"])], "game long, sport string, home array<string>, away array<string>")
