@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import store
 from skein.llm.linear import inverse as invert
-from skein.llm.tokens import encoder, tokenizer_path
+from skein.llm.tokens import chunks, encoder, tokenizer_path
 
 CAPACITY = 2048
 UNIT = 8
@@ -45,22 +45,27 @@ def _cut(path: str, capacity: int, unit: int):
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = encoder("byte", path).encode, Counter(), TaskContext.get().partitionId()
+        e, seen, part = encoder("byte", path), np.zeros(-(-capacity // unit) + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
-            out: list[tuple] = []
-            row = []
-            for at, text in enumerate(b.column("text")):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    size = -(-length // unit)
-                    row.append(at)
-                    out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, size, part, seen[size]))
-                    seen[size] += 1
-            if out:
-                columns = [pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", "part", "nth"])
+            for at, texts in chunks(b.column("text")):
+                ids, starts, counts = e.encode(texts)
+                n = counts + 1
+                many = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), many)
+                begin = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                length = np.minimum(capacity, n[doc] - begin)
+                last = begin + length == n[doc]
+                raw, first = memoryview(ids.astype("<u4", copy=False).tobytes()), 4 * (starts[doc] + begin)
+                crcs = [zlib.crc32(end, zlib.crc32(raw[i:j])) if x else zlib.crc32(raw[i:j]) for i, j, x in zip(first.tolist(), (first + 4 * (length - last)).tolist(), last.tolist(), strict=True)]
+                size = -(-length // unit)
+                order = np.argsort(size, kind="stable")
+                before = np.concatenate([[0], np.cumsum(np.bincount(size, minlength=len(seen)))])[size[order]]
+                nth = np.empty(len(size), np.int64)
+                nth[order] = seen[size[order]] + np.arange(len(size)) - before
+                seen += np.bincount(size, minlength=len(seen))
+                columns = [begin, length, np.array(crcs, np.int64), n[doc], size, np.full(len(doc), part), nth]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", "part", "nth"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at + doc)), *map(pa.array, columns)], names=names)
 
     return pieces
 

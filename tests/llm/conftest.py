@@ -19,7 +19,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     w = base.split()
     near = [" ".join([*w[:k], "changed", *w[k + 1 :]]) for k in (10, 60, 110)]
     half = " ".join([*w[:60], *words(rng, 60).split()])
-    rows = [(1, base), (2, base), (3, near[0]), (4, near[1]), (5, near[2]), (6, half), (7, None), (8, ""), (9, " \n\t "), (10, "one two three"), (11, "One TWO three"), (12, words(rng, 20_000)), (13, "é É ſ " * 9), (1, base), (1, words(rng, 30)), (None, base), (None, None), (14, "a b c d e f g " * 40), (15, "x\n" * 30 + words(rng, 40))]
+    rows = [(1, base), (2, base), (3, near[0]), (4, near[1]), (5, near[2]), (6, half), (7, None), (8, ""), (9, " \n\t "), (10, "one two three"), (11, "One TWO three"), (12, words(rng, 20_000)), (13, "é É ſ " * 9), (1, base), (1, words(rng, 30)), (None, base), (None, None), (14, "a b c d e f g " * 40), (15, "x\n" * 30 + words(rng, 40)), (16, "one <|endoftext|> two <|startoftext|>")]
     return rows + [(20 + i, words(rng, rng.randint(1, 200))) for i in range(30)]
 
 
