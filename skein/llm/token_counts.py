@@ -6,7 +6,9 @@ context limit, how many documents exceed it and how many tokens remain after tru
 and likewise totals and quantiles.
 
 Defined cases: a null or empty text has no tokens, so only the end id (where one is
-added); an empty table gives an empty histogram; repeated rows each count.
+added); an empty table gives an empty histogram; repeated rows each count; equal lengths are
+one row, so there are no ties; a very long text is encoded on its own, whole; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.tokens import encoder, tokenizer_path
+from skein.llm.common import store
+from skein.llm.tokens import chunks, encoder, tokenizer_path
 
 #: Lengths of one block of the suffix sums; blocks are summed first.
 BLOCK = 1024
@@ -26,10 +29,10 @@ BLOCK = 1024
 
 def _lengths(kind: str, path: str, extra: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(kind, path).encode
+        e = encoder(kind, path)
         for b in batches:
-            lengths = np.fromiter((len(encode(t.as_py())) // 4 + extra for t in b.column(0)), dtype=np.int64, count=len(b))
-            length, n = np.unique(lengths, return_counts=True)
+            lengths = [e.encode(texts, counts_only=True)[2] + extra for _, texts in chunks(b.column(0))]
+            length, n = np.unique(np.concatenate([np.zeros(0, np.int64), *lengths]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["length", "n_docs"])
 
     return counted
@@ -83,5 +86,5 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """``suffix_sums`` of the whole table, a row for each different length."""
-    return suffix_sums(histogram(docs))
+    """``suffix_sums`` of the whole table, a row for each different length; texts are encoded once."""
+    return suffix_sums(store(histogram(docs), "length-histogram"))
