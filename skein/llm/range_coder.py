@@ -1,13 +1,16 @@
 """An adaptive context-mixing range coder for token ids, in independent checksummed blocks.
 
 Model.  For each id, an order-2 and an order-1 context (hashed tables of one block) each
-predict one id with a confidence, and an order-0 model predicts the rest.  The three are
-mixed with weights that adapt per pair of confidences: P(x) = w2 [x = p2] + w1 [x = p1] +
-w0 Q(x).  Q codes an id's high part and then its low byte by adaptive counts, whose sums
-are renewed every ``RENEW`` ids.  Everything starts anew in each block.
-
-Coder.  48-bit range coder with carries, 16 bits out at a time.  Blocks are independent, so
-many are coded in step as lanes of numpy arrays; the bytes do not depend on how many.
+predict one id with a confidence, and order 0 predicts every id by its share of the block's
+ids so far, as they were at the last of the ``snapshots``; what none of them has is coded
+evenly over the vocabulary.  The four are mixed with weights that adapt for each pair of
+confidences: P(x) = w2 [x = p2] + w1 [x = p1] + w0 n(x) / t + we / vocabulary.  The first of
+them that holds an id codes it.  Everything starts anew in each block.
+
+Coder.  48-bit range coder with carries, 16 bits out at a time.  Its state is kept in doubles,
+which hold whole numbers below 2 ** 53 exactly, so quotients are exact too.  Blocks are
+independent, so many are coded in step as lanes of numpy arrays, ``LANES`` at once (their
+tables stay in the processor's caches); the bytes do not depend on how many.
 """
 
 from __future__ import annotations
@@ -18,206 +21,278 @@ import numpy as np
 
 #: Ids in a block.
 BLOCK = 2048
-RENEW = 32
-_SLOTS2, _SLOTS1, _CONF = 2048, 1024, 4
-_TOP, _BITS = np.uint64(1 << 32), np.uint64(16)
-_MASK48 = np.uint64((1 << 48) - 1)
+#: Blocks that are coded in step.
+LANES = 1024
+_SLOTS2, _SLOTS1 = 1024, 512
+_TOP, _WORD, _FULL = 2.0**32, 65536.0, 2.0**48
+#: What a weight gains when its prediction held.
+_GAIN = 6.0
+_STEPS = np.array([[_GAIN] * 4, [0, _GAIN, _GAIN, _GAIN], [0, 0, _GAIN, _GAIN], [0, 0, 0, _GAIN]], np.float32)
+
+
+def snapshots(block: int) -> list[int]:
+    """Places in a block at which order 0 is renewed; they thin out as it grows."""
+    found, t = [], 16
+    while t < block:
+        found.append(t)
+        t = max(t + 16, t * 3 // 2)
+    return found
+
+
+def _first_weights() -> np.ndarray:
+    """Cumulative weights by order-2 confidence, order-1 confidence (0: nothing, 1: seen, 3: held), and whether both predict one id."""
+    rows = []
+    for at in range(32):
+        k2, k1 = at >> 3, at >> 1 & 3
+        rows.append([2 + 6 * k2 if k2 else 1, 2 + 4 * k1 if k1 else 1, 8, 4])
+    return np.cumsum(np.array(rows, np.float32), axis=1)
 
 
 class _Model:
-    def __init__(self, lanes: int, vocab: int):
-        kind = np.uint16 if vocab <= 1 << 16 else np.uint32
-        self.high = (vocab + 255) // 256
+    def __init__(self, lanes: int):
         self.at = np.arange(lanes)
-        self.p2, self.p1 = np.zeros(lanes * _SLOTS2, kind), np.zeros(lanes * _SLOTS1, kind)
-        self.k2, self.k1 = np.zeros(lanes * _SLOTS2, np.uint8), np.zeros(lanes * _SLOTS1, np.uint8)
-        k2, k1 = np.divmod(np.arange(_CONF * _CONF), _CONF)
-        first = np.stack([np.where(k2 > 0, 2 + 12 * k2, 1), np.where(k1 > 0, 2 + 8 * k1, 1), np.full(_CONF * _CONF, 16)], axis=1)
-        self.weights = np.tile(np.concatenate([first, first]).astype(np.uint32), (lanes, 1))
-        self.counts_high = np.ones((lanes, self.high), np.uint32)
-        self.counts_low = np.ones((lanes * 2, 256), np.uint32)
-        self.sums_high = np.zeros((lanes, self.high + 1), np.uint32)
-        self.sums_low = np.zeros((lanes * 2, 257), np.uint32)
-
-    def renew(self) -> None:
-        np.cumsum(self.counts_high, axis=1, out=self.sums_high[:, 1:])
-        np.cumsum(self.counts_low, axis=1, out=self.sums_low[:, 1:])
-
-    def look(self, n: int, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        """Looks up the contexts of the first ``n`` lanes; gives their mixing weights (n x 3)."""
-        at = self.at[:n]
-        h = c1 * 0x9E3779B1
-        self.i1 = at * _SLOTS1 + ((h >> 16) & (_SLOTS1 - 1))
-        self.i2 = at * _SLOTS2 + (((h + c2 * 0x85EBCA6B) >> 16) & (_SLOTS2 - 1))
-        self.g1, self.g2 = self.p1[self.i1].astype(np.int64), self.p2[self.i2].astype(np.int64)
-        self.c1, self.c2 = self.k1[self.i1], self.k2[self.i2]
-        self.row = at * (2 * _CONF * _CONF) + self.c2 * _CONF + self.c1 + (self.g1 == self.g2) * (_CONF * _CONF)
-        return self.weights[self.row]
+        self.ends_at, self.rows = self.at * 5, self.at * 32
+        self.base = np.stack([self.at * _SLOTS1, lanes * _SLOTS1 + self.at * _SLOTS2])
+        self.mask = np.array([[_SLOTS1 - 1], [_SLOTS2 - 1]], np.int32)
+        self.table = np.full(lanes * (_SLOTS1 + _SLOTS2), -4, np.int32)  # id * 4 + confidence, first all of order 1, then all of order 2
+        self.weights = np.tile(_first_weights(), (lanes, 1))
+        self.ends = np.zeros((lanes, 5))
+
+    def look(self, n: int, h: np.ndarray, t: float) -> np.ndarray:
+        """Looks up the contexts of the first ``n`` lanes (``h``: their hashes, 2 x n); gives the ends of the four shares (n x 4), of ``t`` times the weights."""
+        self.i = self.base[:, :n] + (h & self.mask)
+        self.e = self.table.take(self.i)
+        self.g = self.e >> 2
+        k = self.e & 3
+        self.row = self.rows[:n] + ((k[1] << 3) + (k[0] << 1) + (self.g[0] == self.g[1]))
+        self.w = self.weights.take(self.row, axis=0)
+        ends = self.ends[:n]
+        np.multiply(self.w, t, out=ends[:, 1:])
+        return ends
+
+    def share(self, n: int, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the share of each lane's outcome."""
+        flat, place = self.ends.ravel(), self.ends_at[:n] + outcome
+        start = flat.take(place)
+        return start, flat.take(place + 1) - start
 
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
-        self.weights[self.row, outcome] += 24
-        for predicted, conf, i, g, k in ((self.p2, self.k2, self.i2, self.g2, self.c2), (self.p1, self.k1, self.i1, self.g1, self.c1)):
-            hit = x == g
-            conf[i] = np.where(hit, np.minimum(k + 1, _CONF - 1), np.where(k > 1, k - 1, 1))
-            predicted[i] = np.where(hit | (k > 1), g, x)
+        self.w += _STEPS.take(outcome, axis=0)
+        self.weights[self.row] = self.w
+        self.table[self.i] = np.where(self.g == x, self.e | 2, x * 4 + 1)
 
-    def low_rows(self, lanes: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return lanes * 2 + (high > 0)
 
-    def learn_high(self, lanes: np.ndarray, high: np.ndarray) -> None:
-        self.counts_high[lanes, high] += 32
-
-    def learn_low(self, rows: np.ndarray, low: np.ndarray) -> None:
-        self.counts_low[rows, low] += 32
+def _hashes(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Hashes of the order-1 and order-2 contexts (a first axis of two)."""
+    h = c1 * np.int32(40503)
+    return np.stack([h >> 7, (h + c2 * np.int32(30011)) >> 6])
 
 
 class _Writer:
     def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-        self.out, self.n = np.zeros((lanes, 4 * steps + 4), np.uint16), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _FULL)
+        self.width = 4 * steps + 4
+        self.out = np.zeros(lanes * self.width, np.uint16)
+        self.first = np.arange(lanes) * self.width
+        self.next = self.first.copy()
 
     def put(self, lanes, start, size, total) -> None:
-        r = self.range[lanes] // total
-        low = self.low[lanes] + r * start
-        self._emit(lanes, low, r * size)
-
-    def _emit(self, lanes, low, size) -> None:
-        over = low > _MASK48
-        if over.any():
-            self._carry(lanes[over] if isinstance(lanes, np.ndarray) else np.flatnonzero(over))
-            low &= _MASK48
-        full = size < _TOP
-        if full.any():
-            which = lanes[full] if isinstance(lanes, np.ndarray) else np.flatnonzero(full)
-            self.out[which, self.n[which]] = low[full] >> np.uint64(32)
-            self.n[which] += 1
-            low[full] = (low[full] << _BITS) & _MASK48
-            size[full] <<= _BITS
-        self.low[lanes], self.range[lanes] = low, size
+        r = np.floor(self.range[lanes] / total)
+        low, rng = self.low[lanes] + r * start, r * size
+        (over,) = (low >= _FULL).nonzero()
+        if len(over):
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
+            low[over] -= _FULL
+        (full,) = (rng < _TOP).nonzero()
+        while len(full):
+            which, part = full if isinstance(lanes, slice) else lanes[full], low.take(full)
+            word, at = np.floor(part * (1 / _TOP)), self.next.take(which)
+            self.out[at] = word
+            self.next[which] = at + 1
+            low[full] = (part - word * _TOP) * _WORD
+            left = rng.take(full) * _WORD
+            rng[full] = left
+            full = full[left < _TOP]
+        self.low[lanes], self.range[lanes] = low, rng
 
     def _carry(self, which: np.ndarray) -> None:
-        at = self.n[which] - 1
-        while len(which):
-            self.out[which, at] += 1
-            more = self.out[which, at] == 0
-            which, at = which[more], at[more] - 1
+        at = self.next[which] - 1
+        while len(at):
+            self.out[at] += 1
+            at = at[self.out[at] == 0] - 1
 
     def close(self) -> list[bytes]:
         """One more word fixes a point inside of the last range."""
-        low = self.low + (_TOP - np.uint64(1))
-        over = np.flatnonzero(low > _MASK48)
+        low = self.low + (_TOP - 1)
+        over = np.flatnonzero(low >= _FULL)
         self._carry(over)
-        self.out[np.arange(len(low)), self.n] = (low & _MASK48) >> np.uint64(32)
-        raw = self.out.astype("<u2")
-        return [raw[i, : n + 1].tobytes() for i, n in enumerate(self.n.tolist())]
+        low[over] -= _FULL
+        self.out[self.next] = np.floor(low / _TOP)
+        raw = self.out.astype("<u2", copy=False)
+        return [raw[i : j + 1].tobytes() for i, j in zip(self.first.tolist(), self.next.tolist(), strict=True)]
 
 
 class _Reader:
     def __init__(self, payloads: list[bytes]):
         width = max(map(len, payloads)) // 2 + 4
-        self.words = np.zeros((len(payloads), width), np.uint64)
+        words = np.zeros((len(payloads), width), np.uint16)
         for i, p in enumerate(payloads):
-            self.words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.n = np.full(len(payloads), 3, np.int64)
-        w = self.words
-        self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << _BITS) | w[:, 2]
-        self.range = np.full(len(payloads), 1 << 48, np.uint64)
+            words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
+        self.words, w = words.ravel(), words[:, :3].astype(float)
+        self.next = np.arange(len(payloads)) * width + 3
+        self.code = w[:, 0] * _TOP + w[:, 1] * _WORD + w[:, 2]
+        self.range = np.full(len(payloads), _FULL)
 
     def get(self, lanes, total) -> np.ndarray:
-        self.r = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.r, total - np.uint64(1))
+        self.r = np.floor(self.range[lanes] / total)
+        return np.minimum(np.floor(self.code[lanes] / self.r), total - 1)
 
     def take(self, lanes, start, size) -> None:
         code, rng = self.code[lanes] - self.r * start, self.r * size
-        full = rng < _TOP
-        if full.any():
-            which = lanes[full] if isinstance(lanes, np.ndarray) else np.flatnonzero(full)
-            code[full] = (code[full] << _BITS) | self.words[which, np.minimum(self.n[which], self.words.shape[1] - 1)]
-            self.n[which] += 1
-            rng[full] <<= _BITS
+        (full,) = (rng < _TOP).nonzero()
+        while len(full):
+            which = full if isinstance(lanes, slice) else lanes[full]
+            at = self.next.take(which)
+            code[full] = code.take(full) * _WORD + self.words.take(at, mode="clip")
+            self.next[which] = at + 1
+            left = rng.take(full) * _WORD
+            rng[full] = left
+            full = full[left < _TOP]
         self.code[lanes], self.range[lanes] = code, rng
 
 
-def _u64(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint64)
-
-
 def _steps(sizes: np.ndarray):
     """For each place in a block the number of lanes that reach it (sizes must not ascend)."""
     return [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
 
 
-def encode_blocks(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
-    """One payload for each run of ``block`` ids (the last may be shorter)."""
-    lanes = -(-len(ids) // block)
-    if not lanes:
-        return []
-    table = np.zeros(lanes * block, np.int64)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, block).T)
-    sizes = np.full(lanes, block)
-    sizes[-1] = len(ids) - (lanes - 1) * block
-    model, out = _Model(lanes, vocab), _Writer(lanes, block)
-    c1, c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+def _dense(table: np.ndarray) -> np.ndarray:
+    """The rank of each id among the different ones of its lane (table: lanes x places)."""
+    order = np.argsort(table, axis=1, kind="stable")
+    order += np.arange(len(table))[:, None] * table.shape[1]
+    ascending = table.ravel().take(order)
+    new = np.zeros(table.shape, bool)
+    np.not_equal(ascending[:, 1:], ascending[:, :-1], out=new[:, 1:])
+    rank = np.empty(table.size, np.int32)
+    rank[order.ravel()] = np.cumsum(new, axis=1, dtype=np.int32).ravel()
+    return rank.reshape(table.shape)
+
+
+def _order0(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place (places x lanes): ids below the place's own among those of the last snapshot, and equal ones."""
+    rank = _dense(table)
+    lanes, block = rank.shape
+    kinds = int(rank.max()) + 1
+    flat = rank + np.arange(lanes)[:, None] * kinds
+    counts = np.zeros(lanes * kinds, np.int32)
+    below, equal = np.zeros((block, lanes), np.int32), np.zeros((block, lanes), np.int32)
+    marks = [0, *snapshots(block), block]
+    for i in range(1, len(marks) - 1):
+        counts += np.bincount(flat[:, marks[i - 1] : marks[i]].ravel(), minlength=lanes * kinds).astype(np.int32)
+        upto = np.cumsum(counts.reshape(lanes, kinds), axis=1, dtype=np.int32).ravel()
+        own = flat[:, marks[i] : marks[i + 1]].T
+        equal[marks[i] : marks[i + 1]] = counts.take(own)
+        below[marks[i] : marks[i + 1]] = upto.take(own) - equal[marks[i] : marks[i + 1]]
+    return below, equal
+
+
+def _encode(table: np.ndarray, sizes: np.ndarray, vocab: int) -> list[bytes]:
+    lanes, block = table.shape
+    below, equal = _order0(table)
+    table = np.ascontiguousarray(table.T, np.int32)
+    model, out, renewed, t0 = _Model(lanes), _Writer(lanes, block), set(snapshots(block)), 1.0
+    before = np.concatenate([np.zeros((2, lanes), np.int32), table])
     for t, n in enumerate(_steps(sizes)):
-        if t % RENEW == 0:
-            model.renew()
+        if t in renewed:
+            t0 = float(t)
         x, every = table[t, :n], slice(0, n)
-        w = model.look(n, c1[:n], c2[:n])
-        outcome = np.where(x == model.g2, 0, np.where(x == model.g1, 1, 2))
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, w[:, 0], w[:, 0] + w[:, 1]))
-        out.put(every, _u64(start), _u64(w[model.at[:n], outcome]), _u64(w.sum(axis=1)))
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            high, low = x[miss] >> 8, x[miss] & 255
-            s = model.sums_high
-            out.put(miss, _u64(s[miss, high]), _u64(s[miss, high + 1] - s[miss, high]), _u64(s[miss, -1]))
-            rows, s = model.low_rows(miss, high), model.sums_low
-            out.put(miss, _u64(s[rows, low]), _u64(s[rows, low + 1] - s[rows, low]), _u64(s[rows, -1]))
-            model.learn_high(miss, high)
-            model.learn_low(rows, low)
+        if t % 64 == 0:
+            hashes = _hashes(before[t + 1 : t + 65], before[t : t + 64])
+        ends = model.look(n, hashes[:, t % 64, :n], t0)
+        hit = model.g == x
+        outcome = np.where(hit[1], 0, np.where(hit[0], 1, 3 - (equal[t, :n] > 0)))
+        start, size = model.share(n, outcome)
+        (two,) = (outcome == 2).nonzero()
+        if len(two):
+            w = size[two] / t0
+            start[two] += w * below[t, two]
+            size[two] = w * equal[t, two]
+        out.put(every, start, size, ends[:, 4])
+        (rest,) = (outcome == 3).nonzero()
+        if len(rest):
+            out.put(rest, x[rest].astype(float), 1.0, float(vocab))
         model.learn(x, outcome)
-        c2[:n], c1[:n] = c1[:n], x
     return out.close()
 
 
-def decode_blocks(payloads: list[bytes], sizes: np.ndarray, vocab: int) -> np.ndarray:
-    """The ids of consecutive blocks; all but the last are equally long."""
-    if not payloads:
-        return np.zeros(0, np.int64)
+def encode_blocks(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
+    """One payload for each run of ``block`` ids (the last may be shorter)."""
+    found = []
+    for at in range(0, len(ids), LANES * block):
+        own = ids[at : at + LANES * block]
+        lanes = -(-len(own) // block)
+        table = np.zeros(lanes * block, np.uint16 if vocab <= 1 << 16 else np.int32)
+        table[: len(own)] = own
+        sizes = np.full(lanes, block)
+        sizes[-1] = len(own) - (lanes - 1) * block
+        found += _encode(table.reshape(lanes, block)[:, : sizes[0]], sizes, vocab)
+    return found
+
+
+def _snapshot(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of each lane in order, the group of equal ones of each, and the place and size of each group (places x lanes come in)."""
+    ids = np.sort(table.T, axis=1)
+    lanes, t = ids.shape
+    new = np.ones((lanes, t), bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, lanes * t))
+    group = np.cumsum(new.ravel(), dtype=np.int32) - 1
+    return ids.ravel(), group, np.stack([first % t, n]).astype(float)
+
+
+def _decode(payloads: list[bytes], sizes: np.ndarray, vocab: int) -> np.ndarray:
     lanes, block = len(payloads), int(sizes[0])
-    table = np.zeros((block, lanes), np.int64)
-    model, code = _Model(lanes, vocab), _Reader(payloads)
-    c1, c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    kind = np.uint16 if vocab <= 1 << 16 else np.uint32
+    table = np.zeros((block, lanes), kind)
+    model, code, renewed, t0 = _Model(lanes), _Reader(payloads), set(snapshots(block)), 1
+    ids, group, groups = np.zeros(lanes, kind), np.zeros(lanes, np.int32), np.array([[0.0], [1.0]])
+    c1, c2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for t, n in enumerate(_steps(sizes)):
-        if t % RENEW == 0:
-            model.renew()
+        if t in renewed:
+            t0 = t
+            ids, group, groups = _snapshot(table[:t, :n])
         every = slice(0, n)
-        w = model.look(n, c1[:n], c2[:n])
-        v = code.get(every, _u64(w.sum(axis=1)))
-        first, second = w[:, 0], w[:, 0] + w[:, 1]
-        outcome = (v >= first).astype(np.int64) + (v >= second)
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, first, second))
-        code.take(every, _u64(start), _u64(w[model.at[:n], outcome]))
-        x = np.where(outcome == 0, model.g2, model.g1)
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            s = model.sums_high
-            v = code.get(miss, _u64(s[miss, -1])).astype(np.uint32)
-            high = (s[miss, 1:] <= v[:, None]).sum(axis=1)
-            code.take(miss, _u64(s[miss, high]), _u64(s[miss, high + 1] - s[miss, high]))
-            rows, s = model.low_rows(miss, high), model.sums_low
-            v = code.get(miss, _u64(s[rows, -1])).astype(np.uint32)
-            low = (s[rows, 1:] <= v[:, None]).sum(axis=1)
-            code.take(miss, _u64(s[rows, low]), _u64(s[rows, low + 1] - s[rows, low]))
-            model.learn_high(miss, high)
-            model.learn_low(rows, low)
-            x[miss] = high << 8 | low
+        ends = model.look(n, _hashes(c1[:n], c2[:n]), float(t0))
+        v = code.get(every, ends[:, 4])
+        outcome = (v >= ends[:, 1]).astype(np.int64) + (v >= ends[:, 2]) + (v >= ends[:, 3])
+        start, size = model.share(n, outcome)
+        x = np.where(outcome == 0, model.g[1], model.g[0])
+        (two,) = (outcome == 2).nonzero()
+        if len(two):
+            w = size[two] / t0
+            place = two * t0 + ((v.take(two) - start.take(two)) / w).astype(np.int64)
+            x[two] = ids.take(place)
+            below, equal = groups.take(group.take(place), axis=1)
+            start[two] += w * below
+            size[two] = w * equal
+        code.take(every, start, size)
+        (rest,) = (outcome == 3).nonzero()
+        if len(rest):
+            literal = code.get(rest, float(vocab))
+            code.take(rest, literal, 1.0)
+            x[rest] = literal
         model.learn(x, outcome)
         table[t, :n] = x
-        c2[:n], c1[:n] = c1[:n], x
+        c1, c2 = x, c1[:n]
     return table.T.reshape(-1)[: int(sizes.sum())]
 
 
+def decode_blocks(payloads: list[bytes], sizes: np.ndarray, vocab: int) -> np.ndarray:
+    """The ids of consecutive blocks; all but the last are equally long."""
+    found = [_decode(payloads[at : at + LANES], sizes[at : at + LANES], vocab) for at in range(0, len(payloads), LANES)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint16)
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import new_path
 from skein.llm.range_coder import BLOCK, checksum, decode_blocks, encode_blocks
-from skein.llm.tokens import encoder, tokenizer_path
+from skein.llm.tokens import chunks, encoder, tokenizer_path
 
 MAGIC = b"SKNIDS1\n"
 END_ID = 1
 #: Ids after which a writer begins its next file: bounds memory and a file's rows.
-FILE_IDS = 4 << 20
+FILE_IDS = 2 << 20
 _HEAD = struct.Struct("<8sQQIIIIII")  # magic, docs, ids, vocabulary, block, blocks, index bytes, index CRC, table CRC
 
 
@@ -86,33 +86,37 @@ def _place(folder: str, name: str, raw: bytes) -> None:
 
 
 def _write(folder: str, path: str, kind: str):
-    end = np.array([END_ID], "<u4").tobytes()
-
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, number = encoder(kind, path), TaskContext.get().partitionId(), 0
-        vocab = e.tokenizer.get_vocab_size()
         names: list[str | None] = []
-        raws: list[bytes] = []
+        parts: list[np.ndarray] = []  # a document's ids without the end id
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
-            lengths = np.array([len(r) // 4 for r in raws], np.int64)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+            ids = np.full(int(lengths.sum()), END_ID, np.uint32)
+            inside = np.ones(len(ids), bool)
+            inside[np.cumsum(lengths) - 1] = False
+            ids[inside] = np.concatenate(parts)
             file = f"part-{part:06d}-{number:06d}.ids"
-            _place(folder, file, pack_file(names, lengths, np.frombuffer(b"".join(raws), "<u4").astype(np.int64), vocab))
+            _place(folder, file, pack_file(names, lengths, ids, e.vocab))
             row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([file]), pa.array([len(names)]), pa.array([int(lengths.sum())])], names=["part", "number", "file", "n_docs", "n_ids"])
             names.clear()
-            raws.clear()
+            parts.clear()
             held, number = 0, number + 1
             return row
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                names.append(doc.as_py())
-                raws.append(e.encode(text.as_py()) + end)
-                held += len(raws[-1]) // 4
-                if held >= FILE_IDS:
-                    yield flush()
+            own = b.column("doc_id").to_pylist()
+            for at, texts in chunks(b.column("text")):
+                ids, starts, counts = e.encode(texts)
+                for i, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+                    names.append(own[at + i])
+                    parts.append(ids[start : start + n])
+                    held += n + 1
+                    if held >= FILE_IDS:
+                        yield flush()
         if names:
             yield flush()
 
