@@ -5,8 +5,9 @@ measurements it used.  A policy is a versioned mask over these bits, so changing
 or asking what a rule costs (``ablation``) never reads the texts again.
 
 Defined cases: a null text has no words and fails ``few_words``; an empty table gives an
-empty ledger; repeated rows are judged one by one; further columns pass through unless
-they bear a name of the ledger, which then wins.
+empty ledger; repeated rows are judged one by one; a very long text is judged whole.  In
+``measure`` and ``ledger`` further columns pass through unless they bear the name of a
+measurement, which then wins; ``apply_policy`` and ``report`` never mix theirs with a table's.
 """
 
 from __future__ import annotations
@@ -39,13 +40,19 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("symbols", "10 * n_symbols > 4 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
+    Rule("few_letters", "5 * n_letters < 3 * word_chars"),
+    Rule("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
+    Rule("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
+    Rule("repeated_line_chars", "10 * dup_line_chars > 3 * line_chars"),
 )
 
 #: Versioned policies: names of the rules that reject.
 POLICIES = {
     "base-1": ("few_words", "repeated_words"),
-    "full-1": tuple(r.name for r in RULES),
+    "full-1": ("few_words", "repeated_words", "word_length", "symbols", "repeated_lines"),
+    "full-2": tuple(r.name for r in RULES[:9]),
 }
+POLICY = "full-2"
 BASE = POLICIES["base-1"]
 
 
@@ -70,8 +77,15 @@ def _covered(hashes: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores before it as no column of ``taken`` has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    """``docs`` with the measurements (long): words, characters, symbols, letters, lines of several kinds, repeated words."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def repeats(w: Column) -> Column:
@@ -79,21 +93,36 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.size(w).alias("n_words"), F.when(F.size(w) <= WINDOW, 0).otherwise(_covered(windows)).alias("n_repeat_words"))
 
     def lines(x: Column) -> Column:
-        return F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
-
+        chars = lambda a: F.length(F.array_join(a, ""))
+        own = let(F.array_distinct(x), lambda d: F.struct((F.size(x) - F.size(d)).alias("n_dup_lines"), (chars(x) - chars(d)).alias("dup_line_chars")))
+        return F.struct(
+            F.size(x).alias("n_lines"),
+            chars(x).alias("line_chars"),
+            own.alias("own"),
+            F.size(F.filter(x, lambda v: v.rlike(f"^[{SPACES}]*[-*•]"))).alias("n_bullet_lines"),
+            F.size(F.filter(x, lambda v: v.rlike(rf"(\.\.\.|…)[{SPACES}]*$"))).alias("n_ellipsis_lines"),
+        )
+
+    w, x = _fresh("_words", docs.columns), _fresh("_lines", docs.columns)
     of_words = let(split_words(body, SPACES), repeats)
-    of_lines = let(F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACES}]")), lines)
+    of_lines = let(F.filter(F.split(body, "\n"), lambda v: v.rlike(f"[^{SPACES}]")), lines)
     blank = F.length(F.regexp_replace(body, f"[^{SPACES}]+", ""))
+    left = lambda kept: F.length(F.regexp_replace(body, f"[^{kept}]+", ""))
     measured = {
-        "n_words": F.col("_words.n_words"),
+        "n_words": F.col(f"{w}.n_words"),
         "word_chars": F.length(body) - blank,
         "n_symbols": F.length(body) - F.length(F.regexp_replace(body, f"[{SYMBOLS}]+", "")),
-        "n_lines": F.col("_lines.n_lines"),
-        "n_dup_lines": F.col("_lines.n_dup_lines"),
-        "n_repeat_words": F.col("_words.n_repeat_words"),
+        "n_letters": left(r"\p{L}"),
+        "n_lines": F.col(f"{x}.n_lines"),
+        "line_chars": F.col(f"{x}.line_chars"),
+        "n_dup_lines": F.col(f"{x}.own.n_dup_lines"),
+        "dup_line_chars": F.col(f"{x}.own.dup_line_chars"),
+        "n_bullet_lines": F.col(f"{x}.n_bullet_lines"),
+        "n_ellipsis_lines": F.col(f"{x}.n_ellipsis_lines"),
+        "n_repeat_words": F.col(f"{w}.n_repeat_words"),
     }
-    found = docs.withColumns({"_words": of_words, "_lines": of_lines})
-    return found.withColumns({k: v.cast("long") for k, v in measured.items()}).drop("_words", "_lines")
+    found = docs.withColumns({w: of_words, x: of_lines})
+    return found.withColumns({k: v.cast("long") for k, v in measured.items()}).drop(w, x)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -107,12 +136,14 @@ def rejected(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
 
 
-def apply_policy(docs: DataFrame, policy: str = "full-1", text: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with their own columns alone."""
-    return ledger(docs, text).filter(~rejected(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def apply_policy(docs: DataFrame, policy: str = POLICY, text: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with their own columns alone, as they were."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = ledger(whole, f"row.`{text}`").filter(~rejected(policy))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def ablation(led: DataFrame, policy: str = "full-1") -> DataFrame:
+def ablation(led: DataFrame, policy: str = POLICY) -> DataFrame:
     """For each rule of the policy: documents that fail it, and those that fail no other (rule, n_failed, n_only).
 
     The ledger is first counted by its bits (2 ** rules groups at most), then read bit by bit.
@@ -125,7 +156,7 @@ def ablation(led: DataFrame, policy: str = "full-1") -> DataFrame:
     return each.groupBy(F.col("r.rule").alias("rule")).agg(count(hit)("n_failed"), count(F.col("bits") == F.col("r.bit"))("n_only"))
 
 
-def report(docs: DataFrame, policy: str = "full-1") -> DataFrame:
+def report(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """Contract rows of ``documents``: doc_id, measurements, base_failed, kept; and fail_bits."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
     found = ledger(docs.select("doc_id", "text"))

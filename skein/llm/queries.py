@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,10 +56,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_ngram_jaccard, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_ngram_jaccard, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts, quality_ablation)}
 ORACLE_SQL = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op2_quality_rules": sql.QUALITY_RULES,
+    "quality_ablation": sql.QUALITY_ABLATION,
     "op4_chat_formatting": sql.CHAT,
+    "op5_ngram_jaccard": sql.NGRAM_JACCARD,
     "op7_url_filters": sql.URL_RULES,
 }

@@ -36,12 +36,18 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + 5))
 m AS (
   SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
-    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, length(array_to_string(l, '')) AS line_chars,
+    length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), '')) AS dup_line_chars,
+    length(regexp_replace(body, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN rep USING (r)),
 bits AS (
   SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > 4 * n_words THEN 8 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END AS fail_bits
+    + CASE WHEN 10 * n_symbols > 4 * n_words THEN 8 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END
+    + CASE WHEN 5 * n_letters < 3 * word_chars THEN 32 ELSE 0 END + CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 64 ELSE 0 END
+    + CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 128 ELSE 0 END + CASE WHEN 10 * dup_line_chars > 3 * line_chars THEN 256 ELSE 0 END AS fail_bits
   FROM m)
 """
 
@@ -52,6 +58,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM bits
 """
 
+QUALITY_ABLATION = f"""
+WITH {_MEASURES.format(source="documents")},
+rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('word_length', 4), ('symbols', 8), ('repeated_lines', 16), ('few_letters', 32), ('bullet_lines', 64), ('ellipsis_lines', 128), ('repeated_line_chars', 256))
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM rules LEFT JOIN bits ON true GROUP BY rule
+"""
+
 _ESC = r"replace(replace(replace({}, '\', '\\'), '<', '\<'), '>', '\>')"
 
 CHAT = rf"""
@@ -68,6 +80,23 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 FROM a
 """
 
+NGRAM_JACCARD = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS o FROM g x JOIN g y USING (g) WHERE x.r <> y.r GROUP BY ALL) p
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * o >= 80 * (na.n + nb.n - o)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(doc_id) AS m FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least ON least.a = d.r
+"""
+
 URL_RULES = r"""
 WITH rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 p AS (
