@@ -1,11 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
-from skein.llm import decontamination, quality_rules
-from tests.llm.conftest import texts
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import decontamination, jaccard_join, quality_rules
+from tests.llm.conftest import texts, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,6 +47,23 @@ def test_policy_and_ablation(docs, no_docs):
     assert quality_rules.report(no_docs).count() == 0
 
 
+def test_columns_of_the_tables_own(spark, docs):
+    """Columns that bear names of the operators come through as they were."""
+    clash = docs.select("doc_id", "text", *[F.lit(-99).alias(c) for c in ("_words", "_lines", "n_words", "fail_bits", "row", "key", "bad", "d", "t", "_d", "_t", "node", "start")])
+    kept = quality_rules.apply_policy(clash)
+    assert kept.columns == clash.columns
+    assert {tuple(r)[2:] for r in kept.collect()} == {(-99,) * 13}
+    assert kept.count() == quality_rules.apply_policy(docs).count()
+    assert quality_rules.apply_policy(docs, "full-1").filter("doc_id = 12").count() == 1
+    bench = spark.createDataFrame([("q1", "one two three", 5)], "item_id string, text string, window int")
+    clean = decontamination.decontaminate(clash, bench)
+    assert clean.columns == clash.columns and {tuple(r)[2:] for r in clean.collect()} == {(-99,) * 13}
+    assert clean.count() == docs.count() - 2
+    kept = jaccard_join.keep_first(clash)
+    assert kept.columns == clash.columns and {tuple(r)[2:] for r in kept.collect()} == {(-99,) * 13}
+    assert jaccard_join.report(clash).count() == docs.count()
+
+
 def brute(doc_rows, item_rows):
     items = [(str(i or ""), ITEM_WORD.findall((t or "").translate(LOWER))) for i, t in item_rows]
     out = []
@@ -58,7 +80,12 @@ def brute(doc_rows, item_rows):
     return Counter(out)
 
 
-def test_contamination(spark, docs, no_docs):
+@pytest.mark.parametrize("bounds", [None, 0])
+def test_contamination(spark, docs, no_docs, monkeypatch, bounds):
+    """With what is broadcast, and with all joins shuffled."""
+    if bounds is not None:
+        for name in ("BROADCAST_SHINGLES", "BROADCAST_WINDOWS", "BROADCAST_DOCS"):
+            monkeypatch.setattr(decontamination, name, bounds)
     rows = texts()
     long = ITEM_WORD.findall(rows[0][1])
     items = [("q1", " ".join(long[5:40])), ("q2", " ".join(long[20:30]).upper()), ("q3", "one two"), ("q4", None), ("q5", "!!"), (None, "b c d"), ("q1", " ".join(long[70:90])), ("q6", " ".join(long[5:40])), ("q7", "never seen words at all in any of these documents here today yes")]
@@ -70,3 +97,18 @@ def test_contamination(spark, docs, no_docs):
     assert clean.count() == found.filter("not contaminated").count()
     assert decontamination.report(no_docs, bench).count() == 0
     assert decontamination.report(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_very_long_text(spark):
+    """A text full of item words takes time in proportion to its length."""
+    rng = random.Random(1)
+    item = words(rng, 40)
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    took = []
+    for n in (500, 8000):
+        text = " ".join([item] * n)
+        began = time.time()
+        row = decontamination.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).first()
+        took.append(time.time() - began)
+        assert (row.n_words, row.n_hit, row.n_items) == (40 * n, 40 * n, 1)
+    assert took[1] < 5 * took[0] + 8

@@ -37,6 +37,11 @@ def test_layouts_become_turns():
         json.dumps({"prompt": "q", "response": "a"}): [("user", "q"), ("assistant", "a")],
         json.dumps({"instruction": "i", "input": "", "output": "o"}): [("user", "i"), ("assistant", "o")],
         json.dumps({"messages": []}): [],
+        json.dumps({"messages": "hello"}): None,
+        json.dumps({"messages": None}): None,
+        json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}): None,
+        json.dumps({"messages": [{"role": "user", "content": None}]}): [("user", "")],
+        json.dumps({"role": "user", "text": "q"}): [("user", "q")],
         json.dumps({"odd": 1}): None,
         "no json": None,
         None: None,
@@ -82,8 +87,9 @@ def test_url_rules(spark, monkeypatch):
     want = Counter((i, *verdict(u)) for i, u in enumerate([*urls, *urls[:9]]))
     got = lambda: Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, rules).collect())
     assert got() == want
-    monkeypatch.setattr(url_rules, "BLOCK", 2)
-    assert got() == want
+    for size in (1, 2, 4):
+        monkeypatch.setattr(url_rules, "BLOCK", size)
+        assert got() == want
     assert url_rules.judge(df.limit(0)).count() == 0
 
 
@@ -309,6 +315,16 @@ def test_quality_scores(spark):
     assert {r.score for r in quality_model.report(df, known.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_held_out_labels(spark):
+    """A floor for the real labels of the third that training does not see."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_model.report(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = sorted(r.score for r in rows if r.quality == 1), [r.score for r in rows if r.quality == 0]
+    auc = np.mean([(np.searchsorted(good, x, "left") + np.searchsorted(good, x, "right")) / 2 for x in bad])
+    assert len(rows) > 1000 and 1 - auc / len(good) >= 0.98
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.97
+
+
 def test_linear_helpers():
     rng = np.random.default_rng(1)
     m = rng.normal(size=(40, 40))
