@@ -6,10 +6,15 @@ text).  The template then writes ``<turn role>``, a line break, the text, ``</tu
 line break for each turn.  In roles and texts a backslash comes before each backslash,
 ``<`` and ``>``, so no control string can stand inside, and the text is read back exactly.
 
+Rows by turn are records of one turn each, formatted one by one; a conversation is what its
+rows give, in order.  It is never gathered: rows are dealt and sorted by conversation, and
+digests are carried from row to row, so a conversation of any length takes little memory.
+
 Defined cases: null roles and texts are empty; turns are ordered by turn (null first), then
 role, then text, and repeated rows stay; rows with a null conv_id form one conversation;
-a layout without a mapping has the fingerprint reported and no turns; an empty table gives
-no rows; other columns are ignored.
+a layout without a mapping, or a record whose fields are not what its mapping needs (turns
+that are no list of objects, or one that lacks a field), has the fingerprint reported and no
+turns; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +43,10 @@ def fingerprint(paths: set[str]) -> str:
 
 
 #: Layouts: the field paths, then either the list that holds turns with its role and text
-#: fields, or a turn for each single field (role, field), in order.
+#: fields (no list: the record is one turn), or a turn for each single field (role, field), in order.
 LAYOUTS = (
+    ({"role", "text"}, ("", "role", "text")),
+    ({"role", "content"}, ("", "role", "content")),
     ({"messages[].role", "messages[].content"}, ("messages", "role", "content")),
     ({"messages"}, ("messages", "role", "content")),
     ({"conversations[].from", "conversations[].value"}, ("conversations", "from", "value")),
@@ -82,8 +89,11 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]] | None]:
     said = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x)
     if isinstance(mapping[0], str):
         name, role, text = mapping
+        said_turns = value[name] if name else [value]
+        if not isinstance(said_turns, list) or not all(isinstance(t, dict) and role in t and text in t for t in said_turns):
+            return own, None
         named = (lambda x: ROLES.get(x, x)) if role != "role" else lambda x: x
-        return own, [(named(said(t[role])), said(t[text])) for t in value[name]]
+        return own, [(named(said(t[role])), said(t[text])) for t in said_turns]
     return own, [(role, said(value[field])) for role, field in mapping if field != "input" or value[field]]
 
 
@@ -119,7 +129,7 @@ def _formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """conv_id, layout, formatted, loss_spans of records (conv_id, record: JSON)."""
+    """conv_id, layout, formatted, loss_spans of records (conv_id, record: JSON), each on its own and in their order."""
     kind = records.schema["conv_id"].dataType
     named = records.select(F.col("conv_id").cast("string").alias("conv_id"), "record")
     found = named.mapInPandas(_formatted, "conv_id string, layout string, formatted string, loss_spans array<struct<start: long, stop: long>>")
@@ -127,23 +137,47 @@ def format_records(records: DataFrame) -> DataFrame:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) as one record for each conversation, in the messages layout."""
+    """Rows by turn (conv_id, turn, role, text) as records of one turn, those of a conversation one after another in one partition."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn").isNotNull().alias("known"), "turn", text("role").alias("role"), text("text").alias("content"))
-    turns = F.array_sort(F.collect_list(turn))
-    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct(said.alias("messages"))).alias("record"))
+    own = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
+    dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    return dealt.select("conv_id", F.to_json(F.struct("role", "text")).alias("record"))
+
+
+class _Digest:
+    """What is known of a conversation up to some row."""
+
+    def __init__(self, conv: str | None):
+        self.conv, self.n, self.turns, self.loss_chars, self.loss, self.chars = conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+
+    def add(self, formatted: str, spans) -> None:
+        for role, text in read(formatted):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += 1
+        for s in spans:
+            text = unescape(formatted[s["start"] : s["stop"]])
+            self.loss.update(text.encode())
+            self.loss_chars += len(text)
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    """A row for each conversation, whose records follow one another."""
+    names, now = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], None
     for b in batches:
-        rows = []
-        for conv, formatted, spans in zip(b["conv_id"], b["formatted"], b["loss_spans"], strict=True):
-            turns = read(formatted)
-            loss = "".join(unescape(formatted[s["start"] : s["stop"]]) for s in spans)
-            rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        done = []
+        for conv, formatted, spans in zip(b["conv_id"].astype(object).where(b["conv_id"].notna(), None), b["formatted"], b["loss_spans"], strict=True):
+            if now is None or now.conv != conv:
+                done += [now.row()] if now else []
+                now = _Digest(conv)
+            now.add(formatted, spans)
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if now:
+        yield pd.DataFrame([now.row()], columns=names)
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ RIDGE = 1.0
 FOLDS = 4
 BINS = 2048
 SEED = 7
+#: Tasks that sum the normal equations at most; each ships some 2 MB.
+TASKS = 512
 
 
 def _bytes_in(chars: str) -> np.ndarray:
@@ -160,7 +162,7 @@ def fit(found: DataFrame, labels: DataFrame) -> Model | None:
     model = Model(mean, scale, turn, shift, empty, empty, empty)
 
     schema = "fold long, row long, part long, values array<double>"
-    sums = train.mapInPandas(_part_sums(model), schema).withColumn("part", F.spark_partition_id().cast("long") % 64)
+    sums = train.coalesce(TASKS).mapInPandas(_part_sums(model), schema).withColumn("part", F.spark_partition_id().cast("long") % 64)
     for _ in range(2):  # first in 64 groups, then all
         sums = sums.groupBy("fold", "row", "part").applyInPandas(_sum_vectors, schema).withColumn("part", F.lit(0).cast("long"))
     total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
