@@ -85,7 +85,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def initials_compatible(short: Column, long: Column) -> Column:
     """every token of at most two letters of either side begins some longer token of the other."""
-    covered = lambda a, b: F.forall(F.filter(a, lambda t: F.length(t) <= 2), lambda s: F.exists(b, lambda t: t.startswith(s)))
+    covered = lambda a, b: F.forall(F.filter(a, lambda t: F.length(t) <= 2), lambda s: F.exists(b, lambda t: (F.length(t) > 2) & t.startswith(s)))
     return covered(short, long) & covered(long, short)
 
 

@@ -183,3 +183,28 @@ def trade(side: Column, yes_price: Column, no_price: Column, count: Column) -> D
     unit = lambda p: F.when(p > 1, p / 100).otherwise(p)
     price = F.when(side == "yes", unit(yes_price)).otherwise(unit(no_price))
     return F.struct(F.upper(side).alias("side"), F.bround(price * 100).cast("int").alias("cents"), F.bround(price * count, 2).alias("cost"))
+
+
+# Labels of an outcome without a winner.
+TIE_WORDS = ("tie", "draw", "no winner", "no result")
+
+
+def label_tokens(c: Column) -> Column:
+    """Distinct runs of three letters or digits or more, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3))
+
+
+def label_side(label: Column, home: Column, away: Column) -> Column:
+    """Home, away or tie by the tokens that a label shares with each side's names (arrays); null where neither or both share as many."""
+    own = lambda names: F.array_distinct(F.flatten(F.transform(names, label_tokens)))
+    h, a = F.size(F.array_intersect(label_tokens(label), own(home))), F.size(F.array_intersect(label_tokens(label), own(away)))
+    return F.when(F.lower(F.trim(label)).isin(*TIE_WORDS), "tie").when(h > a, "home").when(a > h, "away")
+
+
+def winner_layer(records: DataFrame, kind: str = "winner") -> DataFrame:
+    """market, side and outcome id of each label of winner markets (columns fixture, home, away: names, labels); labels that tell no side give no row."""
+    from skein.functions import domain
+
+    each = records.withColumn("label", F.explode("labels")).withColumn("side", label_side(F.col("label"), F.col("home"), F.col("away"))).filter("side is not null")
+    made = each.withColumn("market", domain.market_key(F.col("fixture"), F.lit(kind), F.create_map().cast("map<string,string>")))
+    return made.withColumn("outcome", domain.outcome_key(F.col("market"), F.col("side")))

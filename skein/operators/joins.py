@@ -74,44 +74,115 @@ def first_hit(candidates: DataFrame, index: DataFrame, record: str, weight: str,
 
 
 def similarity_policy(scored: DataFrame, record: str, candidate: str, score: str, threshold: float) -> DataFrame:
-    """State of each record: none, match (one above the threshold or one exact), or collision."""
+    """State of each record: none, match (one above the threshold or one exact), or collision; ``ids``: all above it, the best first."""
     good = scored.filter(F.col(score) >= threshold)
     found = good.groupBy(record).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(score) >= 1.0).alias("exact"),
-        F.max_by(candidate, F.struct(F.col(score), -F.col(candidate))).alias("best"),
+        F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(candidate).alias("id")))).alias("all"),
         F.max(score).alias("score"),
     )
     sole = (F.col("n") == 1) | (F.col("exact") == 1)
-    return found.select(record, F.when(sole, "match").otherwise("collision").alias("state"), F.when(sole, F.col("best")).alias("target"), "score", F.col("n").alias("n_above"))
+    ids = F.transform("all", lambda x: x["id"])
+    return found.select(record, F.when(sole, "match").otherwise("collision").alias("state"), F.when(sole, F.get(ids, F.lit(0))).alias("target"), "score", F.col("n").alias("n_above"), ids.alias("ids"))
 
 
-def trigram_top(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: float, n: int) -> DataFrame:
-    """The ``n`` most similar right rows for each left one by trigram similarity.
+def rare_first(df: DataFrame, id_: str, tokens: str, group: list[str] | None = None, common: DataFrame | None = None) -> DataFrame:
+    """id, group, tokens: each row's distinct tokens, those first that the fewest rows of the group have (of equal ones the smaller).
 
-    Pairs meet through shared trigrams in an inverted index, not through a product of both
-    sides; sizes come along, so no text is looked at again.
+    A row's own tokens are all that is gathered.  ``common``: counts (group, token, n) to rank
+    by, where two tables must agree on one order.
     """
-    side = lambda d, i, t, p: d.select(F.col(i).alias(f"{p}id"), trigrams(F.col(t)).alias("g")).select(f"{p}id", F.size("g").alias(f"{p}n"), F.explode("g").alias("gram"))
-    shared = side(left, left_id, left_text, "l").join(side(right, right_id, right_text, "r"), "gram").groupBy("lid", "rid", "ln", "rn").agg(F.count("*").alias("o"))
-    scored = shared.select("lid", "rid", (F.col("o") / (F.col("ln") + F.col("rn") - F.col("o"))).alias("score")).filter(F.col("score") >= least)
-    return top(scored, ["lid"], n, F.col("score").desc(), F.col("rid"))
+    group = group or []
+    each = df.select(id_, *group, F.explode(F.array_distinct(tokens)).alias("token"))
+    counts = common if common is not None else token_counts(df, tokens, group)
+    ranked = each.join(counts, [*group, "token"]).groupBy(id_, *group).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
+    return ranked.select(id_, *group, F.col("r.token").alias("tokens"))
+
+
+def token_counts(df: DataFrame, tokens: str, group: list[str] | None = None) -> DataFrame:
+    """group, token, n: the rows that have each token."""
+    return df.select(*(group or []), F.explode(F.array_distinct(tokens)).alias("token")).groupBy(*(group or []), "token").agg(F.count("*").alias("n"))
+
+
+def _prefix(ranked: DataFrame, length: Column) -> DataFrame:
+    """The first ``length`` (a Column of n, the number of tokens) tokens of each row, a row each."""
+    kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.least(F.size("tokens"), length)).cast("int"))
+    return ranked.withColumn("n", F.size("tokens")).withColumn("token", F.explode(kept))
+
+
+def _at_least(share: float) -> Column:
+    """The prefix in which sets of n elements that overlap by ``share`` of n or more have a common element with any such partner."""
+    return F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+
+
+def jaccard_pairs(df: DataFrame, id_: str, tokens: str, threshold: float, group: list[str] | None = None) -> DataFrame:
+    """A < b, shared, n_a, n_b of rows of one group whose tokens' Jaccard similarity reaches the threshold.
+
+    Rows meet in the lists of their rarest tokens alone (as many as the threshold makes
+    necessary), so a token that most rows have forms no pairs; overlaps are counted for the rest.
+    """
+    group = group or []
+    ranked = rare_first(df, id_, tokens, group)
+    sets = ranked.select(id_, "tokens")
+    p = _prefix(ranked.withColumn("n", F.size("tokens")), _at_least(threshold)).select(F.col(id_).alias("a"), *group, "token", "n")
+    met = p.join(p.select(F.col("a").alias("b"), *group, "token", F.col("n").alias("m")), [*group, "token"])
+    pairs = met.filter((F.col("a") < F.col("b")) & (F.col("n") * threshold <= F.col("m")) & (F.col("m") * threshold <= F.col("n"))).select("a", "b").distinct()
+    side = lambda s: sets.select(F.col(id_).alias(s), F.col("tokens").alias(f"t_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"), F.size("t_a").alias("n_a"), F.size("t_b").alias("n_b"))
+    return counted.filter(F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared")))
+
+
+def subset_pairs(df: DataFrame, id_: str, tokens: str, group: list[str] | None = None) -> DataFrame:
+    """A < b, narrower, broader of rows of one group of which one's tokens are a part of the other's, not all.
+
+    All of the narrower row's tokens must be in the broader one, so it is looked up by its
+    rarest token alone.
+    """
+    group = group or []
+    ranked = rare_first(df, id_, tokens, group)
+    small = ranked.select(F.col(id_).alias("narrower"), *group, F.get("tokens", F.lit(0)).alias("token"), F.col("tokens").alias("few"))
+    large = ranked.select(F.col(id_).alias("broader"), *group, F.explode("tokens").alias("token"), F.col("tokens").alias("many"))
+    met = small.join(large, [*group, "token"]).filter((F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0))
+    return met.select(F.least("narrower", "broader").alias("a"), F.greatest("narrower", "broader").alias("b"), "narrower", "broader")
 
 
-def token_pairs(df: DataFrame, id_: str, tokens: Column, group: list[str] | None = None) -> DataFrame:
-    """a < b, n_a, n_b, shared: rows of one group that share tokens, through an inverted index."""
+def trigram_top(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: float, n: int, group: list[str] | None = None) -> DataFrame:
+    """The ``n`` most similar right rows (of the same group) for each left one by trigram similarity, from ``least`` on.
+
+    Pairs meet in the lists of those trigrams, the rarest ones of the right side first, of which
+    one must be common at that similarity.
+    """
     group = group or []
-    t = df.select(id_, *group, tokens.alias("t"))
-    e = t.select(F.col(id_).alias("id"), *group, F.size("t").alias("n"), F.explode("t").alias("token"))
-    other = e.select(F.col("id").alias("b"), *group, F.col("n").alias("n_b"), "token")
-    return e.join(other, [*group, "token"]).filter("id < b").groupBy(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b").agg(F.count("*").alias("shared"))
+    side = lambda d, i, t, p: d.select(F.col(i).alias(f"{p}id"), *group, trigrams(F.col(t)).alias("grams"))
+    l, r = side(left, left_id, left_text, "l"), side(right, right_id, right_text, "r")  # noqa: E741
+    counts = token_counts(l.select(*group, "grams").unionByName(r.select(*group, "grams")), "grams", group)
+    rl, rr = rare_first(l, "lid", "grams", group, counts), rare_first(r, "rid", "grams", group, counts)
+    first = lambda d, i: _prefix(d.withColumn("n", F.size("tokens")), _at_least(least)).select(i, *group, "token")
+    pairs = first(rl, "lid").join(first(rr, "rid"), [*group, "token"]).select("lid", "rid").distinct()
+    both = pairs.join(rl.select("lid", F.col("tokens").alias("x")), "lid").join(rr.select("rid", F.col("tokens").alias("y")), "rid")
+    o = F.size(F.array_intersect("x", "y"))
+    scored = both.select("lid", "rid", (o / (F.size("x") + F.size("y") - o)).alias("score")).filter(F.col("score") >= least)
+    return top(scored, ["lid"], n, F.col("score").desc(), F.col("rid"))
 
 
 def collision_pairs(members: DataFrame, group: str, member: str, least: int) -> DataFrame:
-    """Pairs a < b of members that come together in at least ``least`` different groups."""
-    m = members.select(group, member).distinct()
-    other = m.select(group, F.col(member).alias("b"))
-    return m.join(other, group).filter(F.col(member) < F.col("b")).groupBy(F.col(member).alias("a"), "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    """Pairs a < b of members that come together in at least ``least`` different groups.
+
+    Members of fewer groups are left out.  Of a member's groups the smallest ones come first, and
+    it meets others in all but its ``least - 1`` largest: two members with ``least`` common groups
+    meet in one of these, so no group that many have is paired unless it must be.
+    """
+    m = members.select(F.col(group).alias("token"), F.col(member).alias("id")).distinct()
+    sizes = m.groupBy("token").agg(F.count("*").alias("size"))
+    often = m.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    ranked = m.join(often, "id").join(sizes, "token").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("size", "token")))
+    p = ranked.filter(F.col("at") <= F.col("n") - (least - 1)).select("id", "n", "token")
+    met = p.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "token").join(p.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "token"), "token").filter("a < b")
+    pairs = met.select("a", "b", F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    asked = pairs.join(m, "id").select("a", "b", F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "token")
+    return asked.join(m, ["id", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
 def greedy_band(events: DataFrame, records: DataFrame, keys: list[str], order: str, record: str, event_time: str, record_time: str, seconds: int) -> DataFrame:

@@ -162,3 +162,14 @@ def latest_versions(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """The latest log row of each (provider, record) of ``pairs``."""
     mine = log.join(pairs, ["provider", "record"], "left_semi")
     return latest(mine, ["provider", "record"], F.col("decided_at").desc(), F.col("id").desc())
+
+
+def audit_aliases(proposed: DataFrame, existing: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """``proposed`` (id, alias, team) with ``verdict``: colliding where another team holds the alias, same_team where only the own one does, else clean.
+
+    ``existing``: alias, team.  Aliases of ``excluded`` teams (about to be deleted) count as free.
+    """
+    held = existing.join(excluded, "team", "left_anti") if excluded is not None else existing
+    owners = held.select("alias", F.col("team").alias("owner")).distinct().groupBy("alias").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+    other = (F.col("low") != F.col("team")) | (F.col("high") != F.col("team"))
+    return proposed.join(owners, "alias", "left").withColumn("verdict", F.when(F.col("low").isNull(), "clean").when(other, "colliding").otherwise("same_team")).drop("low", "high")

@@ -104,17 +104,6 @@ def F12_distinctive_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.distinctive(F.col("p_name"), ["red", "small"]).alias("kept"))
 
 
-@query("SELECT p_partkey, regexp_matches(p_name, '(?i)^(red|blue)') OR regexp_matches(p_name, '(?i)bolt$') AS marked FROM part")
-def F16_marker_families(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", (F.col("p_name").rlike("(?i)^(red|blue)") | F.col("p_name").rlike("(?i)bolt$")).alias("marked"))
-
-
-@query("""SELECT a.o_custkey, CASE WHEN b.n IS NULL THEN 'ALIAS-LINK' ELSE 'MERGE-REQUIRED' END AS verdict FROM (SELECT DISTINCT o_custkey FROM orders) a LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) b ON b.user_id = o_custkey""")
-def F17_fragmentation_verdict(t: Tables) -> DataFrame:
-    n = t.events.groupBy(F.col("user_id").alias("o_custkey")).agg(F.count("*").alias("n"))
-    return t.orders.select("o_custkey").distinct().join(n, "o_custkey", "left").select("o_custkey", F.when(F.col("n").isNull(), "ALIAS-LINK").otherwise("MERGE-REQUIRED").alias("verdict"))
-
-
 @query("SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS digest FROM events")
 def F27_payload_hash(t: Tables) -> DataFrame:
     return t.events.select("event_id", mutations.payload_hash(F.col("event_type"), F.col("user_id")).alias("digest"))
@@ -125,11 +114,6 @@ def F28_slug(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.slug(F.concat_ws(" ", "p_brand", "p_name")).alias("slug"))
 
 
-@query("SELECT p_partkey, 'team:' || lower(p_type) || ':' || substr(md5(p_name), 1, 8) AS id FROM part")
-def F29_canonical_ids(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.concat_ws(":", F.lit("team"), F.lower("p_type"), F.substring(F.md5("p_name"), 1, 8)).alias("id"))
-
-
 @query("SELECT p_name, max_by(p_partkey, (p_size, -p_partkey)) AS p_partkey FROM part GROUP BY p_name")
 def F30_method_priority(t: Tables) -> DataFrame:
     return t.part.groupBy("p_name").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("p_partkey"))
@@ -153,11 +137,6 @@ def F38_minutes_of_day(t: Tables) -> DataFrame:
     return t.events.select("event_id", grammar.minutes(F.date_format("ts", "HHmm")).cast("long").alias("m"))
 
 
-@query("SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS local_date FROM events")
-def F39_local_date(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.to_date(F.from_utc_timestamp("ts", "America/New_York")).alias("local_date"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS INT) WHEN event_id % 3 = 1 THEN CAST(round_even(CAST(CAST(value AS VARCHAR) AS DOUBLE) * 100, 0) AS INT) END AS cents FROM events")
 def F40_to_cents(t: Tables) -> DataFrame:
     r = F.col("event_id") % 3

@@ -9,28 +9,6 @@ from skein.operators.registry_rows import alias_priority, entity_versions
 from skein.plans.registry import Tables, query
 
 
-@query("SELECT event_id, event_type IN ('click', 'view') AND value < 20 AS excluded FROM events")
-def P07_provider_gate(t: Tables) -> DataFrame:
-    return t.events.select("event_id", (F.col("event_type").isin("click", "view") & (F.col("value") < 20)).alias("excluded"))
-
-
-@query("SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type")
-def P18_known_buckets(t: Tables) -> DataFrame:
-    return t.part.select("p_brand", "p_type").distinct().orderBy("p_brand", "p_type")
-
-
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'winner' WHEN 'F' THEN 'leg_winner' END AS market_type FROM orders")
-def P19_kind_to_market_type(t: Tables) -> DataFrame:
-    kinds = F.create_map(F.lit("O"), F.lit("winner"), F.lit("F"), F.lit("leg_winner"))
-    return t.orders.select("o_orderkey", F.try_element_at(kinds, F.col("o_orderstatus")).alias("market_type"))
-
-
-@query("""SELECT user_id, coalesce(bool_or(event_type = 'view' AND value > 50), false) AS has_stats, coalesce(bool_or(event_type = 'error'), false) AS has_errors FROM events GROUP BY user_id""")
-def P25_capability_flags(t: Tables) -> DataFrame:
-    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    return t.events.groupBy("user_id").agg(flag((F.col("event_type") == "view") & (F.col("value") > 50)).alias("has_stats"), flag(F.col("event_type") == "error").alias("has_errors"))
-
-
 @query("SELECT c_custkey, count(o_orderkey) > 0 AS has_data FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def P26_has_data(t: Tables) -> DataFrame:
     nested = t.orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("keys"))
@@ -38,19 +16,6 @@ def P26_has_data(t: Tables) -> DataFrame:
     return joined.select("c_custkey", (F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0).alias("has_data"))
 
 
-@query("SELECT event_id, coalesce(CASE event_type WHEN 'error' THEN 'the record failed' WHEN 'click' THEN 'no alias' END, event_type) AS gloss FROM events")
-def P29_reason_gloss(t: Tables) -> DataFrame:
-    gloss = F.create_map(F.lit("error"), F.lit("the record failed"), F.lit("click"), F.lit("no alias"))
-    return t.events.select("event_id", F.coalesce(F.try_element_at(gloss, F.col("event_type")), F.col("event_type")).alias("gloss"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'created_null' WHEN c_acctbal < 0 THEN 'linked_to_null' WHEN c_nationkey < 5 THEN 'matched_existing' ELSE 'matched_null' END AS path
-  FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
-def P46_competition_path(t: Tables) -> DataFrame:
-    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("o_orderkey", F.when(F.col("c_custkey").isNull(), "created_null").when(F.col("c_acctbal") < 0, "linked_to_null").when(F.col("c_nationkey") < 5, "matched_existing").otherwise("matched_null").alias("path"))
-
-
 @query("SELECT o_custkey, list_sort(list(o_orderkey))[1] AS anchor, list_sort(list(o_orderkey))[2:] AS candidates FROM orders GROUP BY o_custkey")
 def P47_anchor_and_candidates(t: Tables) -> DataFrame:
     keys = F.array_sort(F.collect_list("o_orderkey"))
@@ -122,13 +87,6 @@ def U10_subset_test(t: Tables) -> DataFrame:
     return s.filter(F.size(F.array_except("s", F.array(F.lit("A"), F.lit("R")))) == 0).select("l_orderkey")
 
 
-@query("SELECT p_partkey, list_sort(list_distinct(list_concat([p_type], coalesce(e, [])))) AS abbrs FROM part LEFT JOIN (VALUES ('SMALL', ['SML', 'S']), ('ECONOMY', ['ECO'])) v(k, e) ON k = p_type")
-def F19_alias_expansion(t: Tables) -> DataFrame:
-    more = t.spark.createDataFrame([("SMALL", ["SML", "S"]), ("ECONOMY", ["ECO"])], "k string, e array<string>")
-    both = F.array_union(F.array("p_type"), F.coalesce("e", F.array().cast("array<string>")))
-    return t.part.join(more, F.col("k") == F.col("p_type"), "left").select("p_partkey", F.array_sort(both).alias("abbrs"))
-
-
 @query("SELECT p_name, max_by(p_partkey, (p_size, -p_partkey)) AS target, count(*) AS claims FROM part GROUP BY p_name")
 def F31_alias_registry(t: Tables) -> DataFrame:
     return alias_priority(t.part, "p_name", "p_partkey", F.col("p_size"), F.col("p_partkey"))
@@ -146,33 +104,6 @@ def F33_seeding(t: Tables) -> DataFrame:
     return e.select(*[c.alias(n) for n, c in named.items()]).distinct()
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'tie' WHEN l_partkey % 2 = 0 THEN 'home' ELSE 'away' END AS side, md5(l_orderkey || ':' || l_linenumber)[1:8] AS outcome_id FROM lineitem""")
-def F34_market_layer(t: Tables) -> DataFrame:
-    side = F.when(F.col("l_returnflag") == "N", "tie").when(F.col("l_partkey") % 2 == 0, "home").otherwise("away")
-    name = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", side.alias("side"), F.substring(F.md5(name), 1, 8).alias("outcome_id"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 7200 < 2700 THEN CAST(event_id % 7200 // 60 AS VARCHAR) WHEN event_id % 7200 < 3000 THEN '45+' || (event_id % 7200 - 2700) // 60 ELSE CAST(event_id % 7200 // 60 AS VARCHAR) END AS minute FROM events")
-def F45_soccer_minute(t: Tables) -> DataFrame:
-    s = F.col("event_id") % 7200
-    m = F.floor(s / 60).cast("string")
-    return t.events.select("event_id", F.when(s < 2700, m).when(s < 3000, F.concat(F.lit("45+"), F.floor((s - 2700) / 60).cast("string"))).otherwise(m).alias("minute"))
-
-
-@query("SELECT p_partkey, list_sort(list_distinct([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', -1)])) AS phrases FROM part")
-def F49_phrases(t: Tables) -> DataFrame:
-    first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(-1))
-    return t.part.select("p_partkey", F.array_sort(F.array_distinct(F.array(F.col("p_name"), first, last))).alias("phrases"))
-
-
-@query("SELECT a.p_partkey, min(b.p_partkey) AS grp FROM part a JOIN part b ON b.p_name = a.p_name OR starts_with(a.p_name, split_part(b.p_name, ' ', 1) || ' ') GROUP BY a.p_partkey")
-def F50_alias_groups(t: Tables) -> DataFrame:
-    first = F.split_part("p_name", F.lit(" "), F.lit(1))
-    groups = t.part.groupBy(first.alias("w")).agg(F.min("p_partkey").alias("grp"))
-    return t.part.select("p_partkey", first.alias("w")).join(groups, "w").select("p_partkey", "grp")
-
-
 @query("SELECT o_orderkey, list(l_returnflag || ':' || l_quantity ORDER BY l_linenumber, l_returnflag, l_quantity) AS stats FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def F56_grouped_stats(t: Tables) -> DataFrame:
     row = F.struct("l_linenumber", "l_returnflag", "l_quantity")
@@ -180,17 +111,6 @@ def F56_grouped_stats(t: Tables) -> DataFrame:
     return g.select("o_orderkey", F.transform("r", lambda x: F.concat_ws(":", x["l_returnflag"], x["l_quantity"].cast("string"))).alias("stats"))
 
 
-@query("SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'FRA' WHEN 'GERMANY' THEN 'DEU' END AS iso FROM nation")
-def F59_country_codes(t: Tables) -> DataFrame:
-    codes = F.create_map(*map(F.lit, ("FRANCE", "FRA", "GERMANY", "DEU")))
-    return t.nation.select("n_nationkey", F.try_element_at(codes, F.col("n_name")).alias("iso"))
-
-
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)gear|bolt') THEN 3 WHEN regexp_matches(p_name, '(?i)ring') THEN 2 ELSE 1 END AS rank FROM part")
-def F60_stage_rank(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.when(F.col("p_name").rlike("(?i)gear|bolt"), 3).when(F.col("p_name").rlike("(?i)ring"), 2).otherwise(1).alias("rank"))
-
-
 @query("SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) * 60 / (SELECT count(*) FROM nation) AS delay, CASE WHEN n_regionkey = 1 THEN 5 ELSE 30 END AS cadence FROM nation")
 def F73_stagger(t: Tables) -> DataFrame:
     n = t.nation.agg(F.count("*").alias("n"))

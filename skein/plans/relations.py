@@ -169,80 +169,12 @@ def P01_dynamic_filter(t: Tables) -> DataFrame:
     return e.filter((k() >= 10) & (F.col("value") >= 25)).select("event_id")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'non_sport' WHEN value > 50 THEN 'prop' ELSE 'head_to_head' END AS scope FROM events")
-def P03_scope_classifier(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.when(F.col("event_type") == "error", "non_sport").when(F.col("value") > 50, "prop").otherwise("head_to_head").alias("scope"))
-
-
 _TITLE = "p_type || ': ' || p_brand || ':' || p_name"
 def title() -> Column:
     return F.concat("p_type", F.lit(": "), "p_brand", F.lit(":"), "p_name")
 
 
 
-@query(f"SELECT p_partkey, trim(list_extract(string_split({_TITLE}, ':'), -1)) IN ('red bolt', 'hot gear', 'small ring') AS is_prop FROM part")
-def P04_after_last_mark(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", text.after_last(title(), ":").isin("red bolt", "hot gear", "small ring").alias("is_prop"))
-
-
-@query(f"SELECT p_partkey, trim(substr({_TITLE}, instr({_TITLE}, ':') + 1)) AS rest FROM part")
-def P05_after_first_mark(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", text.after_first(title(), ":").alias("rest"))
-
-
-@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND contains(p_name, 'ring')")
-def P08_pair_skip(t: Tables) -> DataFrame:
-    return t.part.filter(F.col("p_type").isin("ECONOMY", "SMALL") & F.contains("p_name", F.lit("ring"))).select("p_partkey")
-
-
-@query("SELECT c_custkey, list_filter([CASE WHEN c_name <> '' THEN c_name || ':1.0' END, CASE WHEN c_acctbal > 0 THEN c_mktsegment || ':0.9' END], lambda x: x IS NOT NULL) AS candidates FROM customer")
-def P11_candidate_array(t: Tables) -> DataFrame:
-    full, short = F.when(F.col("c_name") != "", F.concat("c_name", F.lit(":1.0"))), F.when(F.col("c_acctbal") > 0, F.concat("c_mktsegment", F.lit(":0.9")))
-    return t.customer.select("c_custkey", F.array_compact(F.array(full, short)).alias("candidates"))
-
-
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END, CASE WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 18 HOUR END) AS kickoff, CASE o_orderkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM orders")
-def P13_kickoff_coalesce(t: Tables) -> DataFrame:
-    r = F.col("o_orderkey") % 3
-    exact, dated = F.when(r == 0, F.col("o_orderdate")), F.when(r == 1, F.col("o_orderdate") + F.expr("INTERVAL 18 HOUR"))
-    return t.orders.select("o_orderkey", F.coalesce(exact, dated).alias("kickoff"), F.when(r == 0, 1.0).when(r == 1, 0.6).otherwise(0.0).alias("confidence"))
-
-
-@query("""SELECT l_orderkey, list_concat(list_filter(f, lambda x: x <> 'N'), list_filter(f, lambda x: x = 'N')) AS flags FROM (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS f FROM lineitem GROUP BY l_orderkey)""")
-def P16_tie_last_order(t: Tables) -> DataFrame:
-    f = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"])
-    return t.lineitem.groupBy("l_orderkey").agg(f.alias("f")).select("l_orderkey", F.concat(F.filter("f", lambda x: x != "N"), F.filter("f", lambda x: x == "N")).alias("flags"))
-
-
-@query("SELECT p_partkey, coalesce(CASE WHEN p_brand = 'Brand#1' THEN 'exact' END, CASE WHEN p_name LIKE '%gear' THEN 'suffix' END, CASE WHEN p_type = 'SMALL' THEN 'type' END, 'none') AS rule FROM part")
-def P17_rule_lookup(t: Tables) -> DataFrame:
-    rules = (F.when(F.col("p_brand") == "Brand#1", "exact"), F.when(F.col("p_name").endswith("gear"), "suffix"), F.when(F.col("p_type") == "SMALL", "type"), F.lit("none"))
-    return t.part.select("p_partkey", F.coalesce(*rules).alias("rule"))
-
-
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'P' THEN 'live' ELSE 'final' END AS state FROM orders")
-def P24_state_normalisation(t: Tables) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return t.orders.select("o_orderkey", F.when(s == "O", "scheduled").when(s == "P", "live").otherwise("final").alias("state"))
-
-
-@query("SELECT event_id, CASE WHEN value > 90 THEN '(collision)' ELSE printf('%.2f', value) END AS shown FROM events")
-def P27_display_confidence(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.when(F.col("value") > 90, "(collision)").otherwise(F.printf(F.lit("%.2f"), F.col("value"))).alias("shown"))
-
-
-@query("""SELECT day, list_filter([CASE WHEN errors > 5 THEN 'crashes' END, CASE WHEN n >= 100 AND errors * 10 > n THEN 'coverage' END], lambda x: x IS NOT NULL) AS halts
-  FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)""")
-def P31_halt_criteria(t: Tables) -> DataFrame:
-    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return d.select("day", F.array_compact(F.array(F.when(F.col("errors") > 5, "crashes"), F.when((F.col("n") >= 100) & (F.col("errors") * 10 > F.col("n")), "coverage"))).alias("halts"))
-
-
-@query("SELECT p_partkey, regexp_matches(p_type, '^(ECO|STAN)') AS is_cup, p_type LIKE '%MALL' AS is_winner FROM part")
-def P34_prefix_predicates(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.col("p_type").rlike("^(ECO|STAN)").alias("is_cup"), F.col("p_type").endswith("MALL").alias("is_winner"))
-
-
 @query("SELECT event_id, json_exists(props, '$.k') AS has_k FROM events")
 def P42_key_exists(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_contains(F.json_object_keys("props"), "k").alias("has_k"))
@@ -416,14 +348,6 @@ def J31_midnight_wrap(t: Tables) -> DataFrame:
     return joins.latest(near, ["p"], F.col("gap"), F.col("v")).select("p", "v")
 
 
-@query("""SELECT o_orderkey, coalesce(a.r, b.r, 'none') AS source FROM orders LEFT JOIN (SELECT c_custkey AS k, 'customer' AS r FROM customer WHERE c_acctbal > 5000) a ON a.k = o_custkey LEFT JOIN (SELECT s_suppkey AS k, 'supplier' AS r FROM supplier) b ON b.k = o_custkey""")
-def J36_priority_coalesce(t: Tables) -> DataFrame:
-    a = t.customer.filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("source"), F.lit(0).alias("rank"))
-    both = a.unionByName(t.supplier.select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("source"), F.lit(1).alias("rank")))
-    best = both.groupBy("k").agg(F.min_by("source", "rank").alias("source"))
-    return t.orders.join(best, F.col("k") == F.col("o_custkey"), "left").select("o_orderkey", F.coalesce("source", F.lit("none")).alias("source"))
-
-
 @query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, s_name) AS label FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 def J37_fill_missing(t: Tables) -> DataFrame:
     left = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("label"))
@@ -462,14 +386,8 @@ _TOK = "SELECT p_partkey AS id, p_brand, list_distinct(string_split(p_type || '
 @query(f"""SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS shared FROM ({_TOK}) a JOIN ({_TOK}) b ON a.p_brand = b.p_brand AND a.id < b.id
   WHERE len(list_intersect(a.t, b.t)) > 0 AND 2 * len(list_intersect(a.t, b.t)) >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))""")
 def J50_duplicate_candidates(t: Tables) -> DataFrame:
-    pairs = joins.token_pairs(t.part, "p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")), ["p_brand"])
-    return pairs.filter("2 * shared >= n_a + n_b - shared").select("a", "b", "shared")
-
-
-@query(f"""SELECT a.id AS a, b.id AS b FROM ({_TOK}) a JOIN ({_TOK}) b ON a.p_brand = b.p_brand AND a.id < b.id WHERE (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t)) AND len(a.t) <> len(b.t)""")
-def J47_subset_pairs(t: Tables) -> DataFrame:
-    pairs = joins.token_pairs(t.part, "p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")), ["p_brand"])
-    return pairs.filter("shared = least(n_a, n_b) and n_a <> n_b").select("a", "b")
+    named = t.part.select("p_partkey", "p_brand", F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("tokens"))
+    return joins.jaccard_pairs(named, "p_partkey", "tokens", 0.5, ["p_brand"]).select("a", "b", "shared")
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND ((a.l_partkey % 50 = b.l_partkey % 50 AND a.l_suppkey % 50 = b.l_suppkey % 50) OR (a.l_partkey % 50 = b.l_suppkey % 50 AND a.l_suppkey % 50 = b.l_partkey % 50))""")
@@ -479,13 +397,6 @@ def J51_unordered_duplicates(t: Tables) -> DataFrame:
     return own.join(own.withColumnRenamed("x", "y"), ["l_orderkey", "lo", "hi"]).filter("x < y").select("l_orderkey", "x", "y")
 
 
-@query("""SELECT p.p_partkey, CASE WHEN e.id IS NULL THEN 'clean' WHEN e.id = p.p_size THEN 'same_team' ELSE 'colliding' END AS verdict FROM part p LEFT JOIN (SELECT p_name, min(p_size) AS id FROM part WHERE p_type = 'SMALL' GROUP BY 1) e ON e.p_name = p.p_name""")
-def J52_collision_audit(t: Tables) -> DataFrame:
-    e = t.part.filter("p_type = 'SMALL'").groupBy("p_name").agg(F.min("p_size").alias("id"))
-    v = F.when(F.col("id").isNull(), "clean").when(F.col("id") == F.col("p_size"), "same_team").otherwise("colliding")
-    return t.part.join(e, "p_name", "left").select("p_partkey", v.alias("verdict"))
-
-
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate > TIMESTAMP '1998-01-01' AND o_totalprice > c_acctbal * 40)")
 def J54_event_driven_reselection(t: Tables) -> DataFrame:
     late = t.orders.filter(F.col("o_orderdate") > at("1998-01-01"))
