@@ -47,6 +47,20 @@ def top(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``number``, from 0 in the given order (which must be total).
+
+    Rows are dealt by ranges and counted in each; only the partitions' counts meet in one task.
+    """
+    from skein.operators.storage import stored
+
+    within_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), within_part.alias("_at")), "numbered")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def cascade(left: DataFrame, key: str, passes: list[tuple[str, float, DataFrame]]) -> DataFrame:
     """Passes (name, confidence, rows with ``key`` and ``target``) in order; the first one that has a key decides it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.prices import safe_rate
@@ -11,6 +11,28 @@ from skein.functions.prices import safe_rate
 CONFIDENCE_BUCKETS = (("0.00-0.50", 0.00, 0.50), ("0.50-0.70", 0.50, 0.70), ("0.70-0.85", 0.70, 0.85), ("0.85-0.95", 0.85, 0.95), ("0.95-1.00", 0.95, 1.00))
 
 
+def value_at_rank(df: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+    """Keys, value: the element at ``place`` (from 0, a Column of n, the key's rows) of the key's values in order.
+
+    Rows are first counted by value, so no key's values are gathered: ranks come from running
+    sums over the different ones.  Nulls have no rank.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    running = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v")))
+    total = counts.groupBy(*keys).agg(F.sum("_k").alias("n"))
+    return running.join(total, keys).filter(F.col("_upto") > place).groupBy(*keys).agg(F.min("_v").alias(value))
+
+
+def nearest_place(p: float) -> Column:
+    """``round(p * (n - 1))``, half to even."""
+    return F.bround(F.lit(p) * (F.col("n") - 1)).cast("long")
+
+
+def low_place(p: float) -> Column:
+    """``max(0, int(n * p) - 1)``."""
+    return F.greatest(F.lit(0), F.floor(F.col("n") * p).cast("long") - 1)
+
+
 def tier_rates(df: DataFrame, group: str, tier: Column, tiers: list[str], matched: list[str]) -> DataFrame:
     """Counts by tier for each group, and the share of the matched tiers."""
     named = df.withColumn("_tier", tier)

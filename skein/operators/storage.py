@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir`` (or, where that is unset, in a temporary folder of this machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/skein"
+    """A new path in ``spark.checkpoint.dir``; a local session without that setting takes a temporary folder, a cluster must have it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or f"{tempfile.gettempdir()}/skein"
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """``df`` written and read again: its lineage ends here."""
+    """``df`` written and read again: its lineage, and the need for its shuffle files, ends here."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

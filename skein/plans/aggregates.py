@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.prices import cohort_size, low_rank, nearest_rank, safe_rate
+from skein.functions.prices import cohort_size, safe_rate
 from skein.operators import joins, measures
 from skein.plans.registry import Tables, query
 
@@ -37,7 +37,8 @@ def A01_tier_rates(t: Tables) -> DataFrame:
   count(*) FILTER (ts < TIMESTAMP '2024-01-15') / count(*) AS abandoned FROM events GROUP BY event_type""")
 def A02_queue_metrics(t: Tables) -> DataFrame:
     old = F.count_if(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
-    return t.events.groupBy("event_type").agg(F.count("*").alias("depth"), F.median(cents()).alias("median_cents"), nearest_rank(F.collect_list(cents()), 0.95).alias("p95_cents"), safe_rate(old, F.count("*")).alias("abandoned"))
+    depth = t.events.groupBy("event_type").agg(F.count("*").alias("depth"), F.median(cents()).alias("median_cents"), safe_rate(old, F.count("*")).alias("abandoned"))
+    return depth.join(measures.value_at_rank(t.events.select("event_type", cents().alias("p95_cents")), ["event_type"], "p95_cents", measures.nearest_place(0.95)), "event_type")
 
 
 @query("SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
@@ -54,12 +55,12 @@ def A04_confidence_histogram(t: Tables) -> DataFrame:
 
 @query(f"SELECT user_id, list_sort(list({_CENTS}))[1 + CAST(round_even(0.95 * (count(*) - 1), 0) AS INT)] AS p95 FROM events GROUP BY user_id")
 def A05_nearest_rank(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(nearest_rank(F.collect_list(cents()), 0.95).alias("p95"))
+    return measures.value_at_rank(t.events.select("user_id", cents().alias("p95")), ["user_id"], "p95", measures.nearest_place(0.95))
 
 
 @query(f"SELECT user_id, list_sort(list({_CENTS}))[greatest(1, CAST(floor(count(*) * 0.95) AS INT))] AS p95 FROM events GROUP BY user_id")
 def A06_run_latency_rank(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(low_rank(F.collect_list(cents()), 0.95).alias("p95"))
+    return measures.value_at_rank(t.events.select("user_id", cents().alias("p95")), ["user_id"], "p95", measures.low_place(0.95))
 
 
 @query("SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 0.0 ELSE count(*) FILTER (o_orderstatus = 'O') / count(*) FILTER (o_orderstatus = 'F') END AS ratio FROM orders GROUP BY o_custkey")
@@ -242,8 +243,9 @@ def A36_entity_extraction(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_type, count(*) AS n, max(value) AS best, list_sort(list(DISTINCT event_id))[1:3] AS examples FROM events GROUP BY ALL")
 def A37_candidate_buckets(t: Tables) -> DataFrame:
-    ids = F.slice(F.array_sort(F.collect_set("event_id")), 1, 3)
-    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("best"), ids.alias("examples"))
+    keys = ["user_id", "event_type"]
+    three = joins.top(t.events.select(*keys, "event_id").distinct(), keys, 3, F.col("event_id")).groupBy(*keys).agg(F.array_sort(F.collect_list("event_id")).alias("examples"))
+    return t.events.groupBy(*keys).agg(F.count("*").alias("n"), F.max("value").alias("best")).join(three, keys)
 
 
 @query("""SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1, 2""")

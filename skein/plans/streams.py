@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.storage import shared_path
+from skein.operators import joins
 from skein.plans.registry import Tables, query
 from skein.streaming import feeds
 
@@ -85,10 +86,7 @@ def T22_arrival_order_wins(t: Tables) -> DataFrame:
 
 @query("SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 500 AS batch, c_custkey FROM customer")
 def T24_subscription_batches(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("c_custkey"))
-    return t.customer.select(F.floor((n - 1) / 500).alias("batch"), "c_custkey")
+    return joins.numbered(t.customer.select("c_custkey"), "c_custkey").select(F.floor(F.col("number") / 500).alias("batch"), "c_custkey")
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.storage import shared_path
+
 
 def source(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """A stream over landed Parquet files, admitted a bounded number at a time."""
@@ -71,10 +73,14 @@ def ring(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that the stream has, into a table in memory of that name (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that the stream has now, as a table in the shared folder; executors write it, batch by batch (``complete``: each batch anew)."""
+    path = shared_path(stream.sparkSession, name)
+
+    def written(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(written).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def windowed(stream: DataFrame, time: str, width: str, late: str | None, *keys: str) -> DataFrame:
