@@ -1,19 +1,24 @@
-"""Secret scans: fixed patterns, and a character convolutional network over candidates.
-
-Patterns find the base spans, which always stay.  Further candidates are long runs of key
-characters with letters and digits, unless base spans cover them wholly.  A network in numpy reads each
-candidate with its surroundings: character embeddings, one convolution, maxima over the
-candidate and over its surroundings, two dense layers.  A candidate of more than ``INSIDE``
-characters is read in overlapping views, over the whole and over its long parts between
-separators; its largest probability counts, and the whole candidate is the span.  The network
-is trained on labelled findings (a generated set of fixed seed unless others are given, of which
-at most ``FINDINGS`` are used), on the surest view of a key and on all views of others; Platt
-scaling calibrates it on findings apart, and the threshold is the highest that keeps the recall
-there at ``RECALL``.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate.
+
+Patterns find the base spans, which always stay.  Candidates are all that a key may be: the
+base matches, those of their patterns that are too short to be base spans, shorter runs of
+hexadecimal digits, and runs of eight key characters or more with a digit or with changing
+case.  A network in numpy reads each candidate with its surroundings: character embeddings,
+one convolution, maxima over the candidate and over its surroundings, two dense layers.  A
+candidate of more than ``INSIDE`` characters is read in overlapping views, over the whole and
+over its long parts between separators; its largest probability counts, and the whole
+candidate is the span.  What reaches the threshold is a span of kind ``model``, unless base
+spans or another one cover it wholly.  The network is trained on labelled findings (a generated
+set of fixed seed unless others are given, of which at most ``FINDINGS`` are used), on the
+surest view of a key and on all views of others; Platt scaling calibrates it on findings apart,
+and the threshold is the highest that keeps the recall there at ``RECALL``, of candidates with
+one view and of those with several.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end
-exclusive; overlapping spans of different kinds all stay; repeated rows are scanned one by
-one; an empty table gives no rows; other columns pass through ``redact`` unchanged.
+exclusive; overlapping spans of different kinds all stay, equal candidates of several kinds
+are one; repeated rows are scanned one by one; a very long text is scanned whole, some hundred
+candidates at a time; an empty table gives no rows; other columns, whatever their names, pass
+through ``redact`` unchanged and are not read by ``report``.
 """
 
 from __future__ import annotations
@@ -34,38 +39,56 @@ from pyspark.sql import functions as F
 # The contract's patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "model")
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _KEY = "A-Za-z0-9+/_=-"
-_CANDIDATE, *_PARTS = [re.compile(rf"(?<![{k}])(?=[{k}]*[0-9])(?=[{k}]*[A-Za-z])[{k}]{{20,}}") for k in (_KEY, "A-Za-z0-9+_-", "A-Za-z0-9+")]
+_SHORT_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{8,}")
+_RUN = re.compile(rf"(?<![{_KEY}])(?=[{_KEY}]*(?:[0-9]|[a-z][A-Z]))[{_KEY}]{{8,}}")
+#: Long parts of a long candidate, between separators.
+_PARTS = [re.compile(rf"(?<![{k}])(?=[{k}]*[0-9])(?=[{k}]*[A-Za-z])[{k}]{{20,}}") for k in ("A-Za-z0-9+_-", "A-Za-z0-9+")]
 
 Span = tuple[int, int, int]  # start, kind, end
 
 
-def base_spans(text: str) -> list[Span]:
-    """Leftmost matches of each kind that do not overlap; those that are too short are dropped."""
-    found: list[Span] = []
+def found_in(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
+    """Base spans (leftmost matches of each kind that do not overlap; too short ones are dropped), and all candidates, sorted."""
+    base: list[Span] = []
+    asked: set[tuple[int, int]] = set()
     low = text.lower()
     if any(w in low for w in _WORDS):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        for m in ASSIGN.finditer(text):
+            asked.add(m.span(2))
+            if len(m[2]) >= 12:
+                base.append((m.start(), 0, m.end()))
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]  # a run is maximal, so a short one never hides a long one
-    return sorted(found)
+        for m in ACCESS.finditer(text):
+            asked.add(m.span())
+            if m.end() - m.start() >= 18:
+                base.append((m.start(), 1, m.end()))
+    for m in _SHORT_HEX.finditer(text):
+        asked.add(m.span())
+        if m.end() - m.start() >= 16:  # a run is maximal, so a short one never hides a long one
+            base.append((m.start(), 2, m.end()))
+    asked.update(m.span() for m in _RUN.finditer(text))
+    return sorted(base), sorted(asked)
+
+
+def base_spans(text: str) -> list[Span]:
+    return found_in(text)[0]
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Runs of key characters that base spans, sorted, do not cover wholly."""
-    left, reach, k = [], 0, 0
-    for i, j in (m.span() for m in _CANDIDATE.finditer(text)):
+def uncovered(spans: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
+    """The spans (sorted) that neither base spans together nor a longer one of their own cover wholly."""
+    left, reach, k, last = [], 0, 0, -1
+    for i, j in sorted(spans, key=lambda s: (s[0], -s[1])):
         reach = max(reach, i)  # base spans cover the text from i to here
         while k < len(base) and base[k][0] <= reach:
             reach = max(reach, base[k][2])
             k += 1
-        if reach < j:
+        if reach < j and j > last:
             left.append((i, j))
+            last = j
     return left
 
 
@@ -198,44 +221,67 @@ def train(codes: np.ndarray, labels: np.ndarray, rounds: int = 5, batch: int = 6
         off = 1 / (1 + np.exp(-np.clip(net.scale * raw + net.offset, -30, 30))) - y
         net.scale -= 0.1 * float((off * raw).mean() + 1e-3 * net.scale)
         net.offset -= 0.1 * float(off.mean())
-    good = np.sort(1 / (1 + np.exp(-np.clip(net.scale * raw[y == 1] + net.offset, -30, 30))))
-    net.threshold = float(min(0.5, good[int((1 - RECALL) * len(good))])) if len(good) else 0.5
+    sure, many = 1 / (1 + np.exp(-np.clip(net.scale * raw + net.offset, -30, 30))), first[apart + 1] - first[apart] > 1
+    kept = [np.sort(sure[(y == 1) & (many == m)]) for m in (False, True)]
+    net.threshold = float(min((k[int((1 - RECALL) * len(k))] for k in kept if len(k)), default=0.5))
     return net
 
 
-def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """Generated findings (text, start, stop, label): keys of many kinds, and long runs that are none."""
+def labelled_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, int, int, int]]:
+    """Generated findings (text, start, stop, label): keys of many kinds, and runs of key characters that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
-    alnum = string.ascii_letters + string.digits
+    any_of = lambda *choices: choices[rng.integers(len(choices))]
+    alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     word = lambda: pick("etaoinshrdlucmfw", int(rng.integers(2, 9)))
-    prefixes = ("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG-", "")
-    said = ("key", "auth", "Authorization: Bearer", "credential", "pwd", "client_key", "private", "access", "sig")
-    calm = ("id", "see", "commit", "file", "path", "uuid", "build", "ref", "section", "from")
+    number = lambda k: pick(string.digits, k)
+    mark = lambda: any_of(" = '", ": ", "=", '":"', ' = "', "='")
+    keys = (  # body, and whether its lead alone tells it
+        (lambda: any_of("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG-", "") + pick(alnum + "+/" * int(rng.integers(2)), int(rng.integers(24, 64))), False),
+        (lambda: any_of("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG-") + pick(alnum + "+/" * int(rng.integers(2)), int(rng.integers(24, 64))), False),
+        (lambda: pick(alnum, int(rng.integers(12, 24))), False),
+        (lambda: pick(hexes, any_of(16, 24, 32, 40, 64)), True),
+        (lambda: word()[:6] + pick(alnum, int(rng.integers(4, 9))) + number(2), True),
+        (lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), False),
+    )
+    told = ("key", "auth", "Authorization: Bearer", "credential", "pwd", "client_key", "password", "secret", "token", "api_key", "passwd", "apikey")
+    said = (*told, "private", "access", "sig")
+    calm = ("id", "see", "commit", "file", "path", "uuid", "build", "ref", "section", "from", "on", "call", "card", "at", "page", "item")
+    none = (
+        lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
+        lambda: "/".join(word() for _ in range(6)) + f"/{rng.integers(1000)}",
+        lambda: "_".join(word() for _ in range(5)) + f"_{rng.integers(99)}",
+        lambda: "-".join(word() for _ in range(5)) + f"-{rng.integers(2030)}",
+        lambda: pick("-=_", 1) * int(rng.integers(20, 60)) + f"{word()}{rng.integers(9)}",
+        lambda: "".join(word().title() for _ in range(any_of(2, 3, 5))) + any_of("", f"{rng.integers(99)}"),
+        lambda: word() + "".join(word().title() for _ in range(2)),
+        lambda: f"{rng.integers(1900, 2030)}-{word()}/" + word() * 4,
+        lambda: f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}" + any_of("", f"T{rng.integers(10, 24)}"),
+        lambda: number(any_of(8, 9, 10, 12)),
+        lambda: number(16),
+        lambda: "-".join(number(4) for _ in range(4)),
+        lambda: any_of("", "+1-", "+49-") + f"{number(3)}-{number(3)}-{number(4)}",
+        lambda: word() + word() + number(2),
+        lambda: "v" + number(1) + "-" + word() + "-rc" + number(1),
+        lambda: pick(hexes, any_of(8, 12, 16, 40)),
+    )
     found = []
     for i in range(n):
         secret = i % 2
         if secret:
-            body = prefixes[rng.integers(len(prefixes))] + pick(alnum + "+/" * int(rng.integers(2)), int(rng.integers(24, 64)))
-            lead = said[rng.integers(len(said))] + (" = '", ": ", "=", '":"', " ")[rng.integers(5)]
+            body, by_lead = any_of(*keys)
+            lead = any_of(*told) + mark() if by_lead else any_of(*said) + any_of(mark(), " ")
+            body = body()
         else:
-            body = (
-                lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
-                lambda: "/".join(word() for _ in range(6)) + f"/{rng.integers(1000)}",
-                lambda: "_".join(word() for _ in range(5)) + f"_{rng.integers(99)}",
-                lambda: "-".join(word() for _ in range(5)) + f"-{rng.integers(2030)}",
-                lambda: pick("-=_", 1) * int(rng.integers(20, 60)) + f"{word()}{rng.integers(9)}",
-                lambda: "".join(word().title() for _ in range(5)) + f"{rng.integers(99)}",
-                lambda: f"{rng.integers(1900, 2030)}-{word()}/" + word() * 4,
-            )[rng.integers(7)]()
-            lead = (" ".join(word() for _ in range(2)) + " " + calm[rng.integers(len(calm))] + (" ", ": ", "/", " (")[rng.integers(4)])
+            body = any_of(*none)()
+            lead = " ".join(word() for _ in range(2)) + any_of(" " + any_of(*calm), "", ",", ".") + any_of(" ", ": ", "/", " (", " ")
         before = " ".join(word() for _ in range(4)) + " " + lead
-        text = f"{before}{body}{('', chr(39), '.', ' ')[rng.integers(4)]} {word()} {word()}"
+        text = f"{before}{body}{any_of('', chr(39), chr(34), '.', ' ', ',')} {word()} {word()}"
         found.append((text, len(before), len(before) + len(body), secret))
     return found
 
 
-def long_findings(n: int = 400, seed: int = 6) -> list[tuple[str, int, int, int]]:
+def long_findings(n: int = 1200, seed: int = 6) -> list[tuple[str, int, int, int]]:
     """Generated findings in long paths: with a key among the parts, and with none."""
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
@@ -277,20 +323,25 @@ def fit(spark: SparkSession, findings: list[tuple[str, int, int, int]] | None =
 # ---- scans
 
 
-def scan(texts: list[str | None], net: Network) -> list[list[Span]]:
-    """All spans of each text, by start and kind."""
-    spans, runs = [], []
+def scan(texts: list[str | None], net: Network) -> list[tuple[list[Span], list[tuple[int, int, float]]]]:
+    """For each text all spans, by start and kind, and every candidate with its probability."""
+    base, runs, per_text = [], [], []
     for at, text in enumerate(texts):
-        spans.append(base_spans(text or ""))
-        runs += [(at, i, j) for i, j in candidates(text or "", spans[-1])]
+        spans, asked = found_in(text or "")
+        base.append(spans)
+        runs += [(at, i, j) for i, j in asked]
+        per_text.append(len(asked))
     best = np.zeros(len(runs))
-    asked = ((n, k, m) for n, (at, i, j) in enumerate(runs) for k, m in views(texts[at], i, j))
-    for part in itertools.batched(asked, 512):
+    views_of = ((n, k, m) for n, (at, i, j) in enumerate(runs) for k, m in views(texts[at], i, j))
+    for part in itertools.batched(views_of, 512):
         np.maximum.at(best, [n for n, *_ in part], net.probability(np.stack([window(texts[runs[n][0]], k, m) for n, k, m in part])))
-    for (at, i, j), yes in zip(runs, (best >= net.threshold).tolist(), strict=True):
-        if yes:
-            spans[at].append((i, 3, j))
-    return [sorted(s) for s in spans]
+    found, at = [], 0
+    for spans, n in zip(base, per_text, strict=True):
+        scored = [(i, j, p) for (_, i, j), p in zip(runs[at : at + n], best[at : at + n].tolist(), strict=True)]
+        model = uncovered([(i, j) for i, j, p in scored if p >= net.threshold], spans)
+        found.append((sorted([*spans, *((i, 3, j) for i, j in model)]), scored))
+        at += n
+    return found
 
 
 def _joined(spans: list[Span]) -> str:
@@ -300,20 +351,23 @@ def _joined(spans: list[Span]) -> str:
 def _reported(net: Network):
     def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = scan(b.column("text").to_pylist(), net)
+            both = scan(b.column("text").to_pylist(), net)
+            found = [x for x, _ in both]
             base = [[s for s in x if s[1] < 3] for x in found]
             counts = [pa.array([sum(k == kind for _, k, _ in x) for x in base], pa.int64()) for kind in range(3)]
             digests = pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, digests, pa.array([_joined(x) for x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            scores = pa.array([",".join(f"{i}:{j}:{p:.3f}" for i, j, p in x) for _, x in both], pa.string())
+            columns = [b.column("doc_id"), *counts, digests, pa.array([_joined(x) for x in found], pa.string()), pa.array([len(x) for _, x in both], pa.int64()), scores]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_scored", "scores"])
 
     return reported
 
 
 def report(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """Contract rows: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """Contract rows: doc_id, n_assign, n_access, n_hex, base_sha256, spans; and n_scored and scores (start:end:probability) of all candidates."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = _reported(net or fit(docs.sparkSession))
-    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_scored long, scores string")
 
 
 def masked(text: str, spans: list[Span], mark: str = "[secret]") -> str:
@@ -330,7 +384,7 @@ def _redacted(net: Network):
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            new = [masked(t, s) if s else t for t, s in zip(texts, scan(texts, net), strict=True)]
+            new = [masked(t, s) if s else t for t, (s, _) in zip(texts, scan(texts, net), strict=True)]
             yield b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(new, b.schema.field("text").type))
 
     return redacted
