@@ -39,7 +39,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import discard, join_hot, scratch, small_batches, store
@@ -56,7 +56,7 @@ BLOCK = 16
 # ---- shingles
 
 #: Bytes of text that are hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -150,6 +150,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             cuts = np.searchsorted(begins, np.cumsum(sizes + 1))
             yield from map(_set, np.split(_word_hashes(shifted), cuts[:-1]))
         at = stop
+    del texts, data
+    pa.default_memory_pool().release_unused()  # what Arrow keeps of a batch would stay with the worker
 
 
 def _prefix_length(n: int) -> int:
@@ -179,7 +181,7 @@ def _count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in shingle_sets(b.column("text")):
             held.append(found & cells)
             n += len(found)
-            if n > 1 << 20:
+            if n > 1 << 18:
                 add()
                 n = 0
     add()
@@ -247,14 +249,14 @@ def _lists(classes: DataFrame) -> DataFrame:
 
     ``hi``: the most elements that a set may have to link with this one, where the token is the first that both have:
     n - at elements are left from it on, so 9 (n - at) >= 4 (n + other).  A set is in a list once, and in as many lists as
-    its prefix has tokens, so no list has a large part of all entries.  Tokens are counted first, on their own.
+    its prefix has tokens, so no list has a large part of all entries.
     """
-    entries = classes.select("id", "n", F.posexplode("prefix").alias("at", "token")).withColumn("hi", F.expr("(5 * n - 9 * at) div 4"))
-    counts = entries.groupBy("token").agg(F.count("*").alias("m"), F.count_if(F.col("hi") >= F.col("n")).alias("early"))
-    listed = entries.join(counts.filter("m > 1 and early > 0").select("token", "m"), "token")
+    entries = classes.select("id", "n", F.posexplode("prefix").alias("at", "token")).select("token", "id", "n", F.expr("(5 * n - 9 * at) div 4").alias("hi"))
+    whole = Window.partitionBy("token")
+    listed = entries.select("*", F.count("*").over(whole).alias("m"), F.max(F.col("hi") >= F.col("n")).over(whole).alias("early")).filter("m > 1 and early")
     u = F.expr("(xxhash64(id) & 4503599627370495L) / 4503599627370496D")
-    band = F.floor(F.log(1.25, F.col("n")))
-    return listed.select("token", "id", "n", "hi", band.alias("band"), F.floor(F.col("at") / BLOCK).alias("block"), "m", u.alias("u"))
+    at = F.expr("(5 * n - 4 * hi) div 9")
+    return listed.select("token", "id", "n", "hi", F.floor(F.log(1.25, F.col("n"))).alias("band"), F.floor(at / BLOCK).alias("block"), "m", u.alias("u"))
 
 
 def _candidates(entries: DataFrame, low: float, high: float) -> DataFrame:

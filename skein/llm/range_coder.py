@@ -207,7 +207,8 @@ def _encode(table: np.ndarray, sizes: np.ndarray, vocab: int) -> list[bytes]:
             t0 = float(t)
         x, every = table[t, :n], slice(0, n)
         if t % 64 == 0:
-            hashes = _hashes(before[t + 1 : t + 65], before[t : t + 64])
+            stop = min(t + 64, block)
+            hashes = _hashes(before[t + 1 : stop + 1], before[t:stop])
         ends = model.look(n, hashes[:, t % 64, :n], t0)
         hit = model.g == x
         outcome = np.where(hit[1], 0, np.where(hit[0], 1, 3 - (equal[t, :n] > 0)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Pieces that a worker remembers (some 25 bytes each).
 REMEMBERED = 400_000
 #: Pieces in one call of the library.
@@ -220,3 +220,4 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
         yield start, column.slice(start, stop - start)
         start = stop
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of a chunk would stay with the worker
