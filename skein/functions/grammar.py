@@ -108,3 +108,18 @@ def parse_title(title: Column) -> Column:
     """struct(home, away): ``A vs B``, ``A at B`` (which swaps), ``Will A beat B``, ``A - B``."""
     patterns = ((r"(?i)^(.+?)\s+(?:vs\.?|v\.?)\s+(.+?)\??$", 1, 2), (r"(?i)^(.+?)\s+(?:at|@)\s+(.+?)\??$", 2, 1), (r"(?i)^will\s+(.+?)\s+beat\s+(.+?)\??$", 1, 2), (r"^(.+?)\s+[-–]\s+(.+?)$", 1, 2))
     return F.coalesce(*[F.when(title.rlike(p), F.struct(F.trim(F.regexp_extract(title, p, h)).alias("home"), F.trim(F.regexp_extract(title, p, a)).alias("away"))) for p, h, a in patterns])
+
+
+def split_title(title: Column) -> Column:
+    """struct(home, away) around the first ``vs``, ``v``, ``at`` or ``@``; the last two put the home side second."""
+    p = r"(?is)^(.*?)\s+(vs\.?|v\.?|@|at)\s+(.*)$"
+    part = lambda i: F.trim(F.regexp_extract(title, p, i))
+    turned = F.lower(part(2)).isin("at", "@")
+    return F.when(title.rlike(p), F.struct(F.when(turned, part(3)).otherwise(part(1)).alias("home"), F.when(turned, part(1)).otherwise(part(3)).alias("away")))
+
+
+def parent_identity(identity: Column) -> Column:
+    """A leg's identity as its fixture's; others as they are."""
+    leg = identity["kind"] == "per_leg"
+    fields = [F.when(leg, F.lit("per_fixture") if n == "kind" else F.lit(None)).otherwise(identity[n]).alias(n) if n in ("kind", "leg_n") else identity[n].alias(n) for n in FIELDS]
+    return F.when(identity.isNotNull(), F.struct(*fields))

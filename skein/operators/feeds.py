@@ -208,3 +208,36 @@ def winner_layer(records: DataFrame, kind: str = "winner") -> DataFrame:
     each = records.withColumn("label", F.explode("labels")).withColumn("side", label_side(F.col("label"), F.col("home"), F.col("away"))).filter("side is not null")
     made = each.withColumn("market", domain.market_key(F.col("fixture"), F.lit(kind), F.create_map().cast("map<string,string>")))
     return made.withColumn("outcome", domain.outcome_key(F.col("market"), F.col("side")))
+
+
+# Types of markets by the kind of a ticker's identity.
+MARKET_TYPES = (("per_fixture", "winner"), ("per_leg", "leg_winner"), ("outright", "outright"), ("series", "series"), ("tournament", "tournament"))
+
+
+def market_type(kind: Column) -> Column:
+    """The market type of a kind; null for tickers that were not understood."""
+    from skein.functions.domain import lookup
+
+    return lookup(MARKET_TYPES, kind)
+
+
+def market_signal(records: DataFrame) -> DataFrame:
+    """P10: rec, home, away, abbr_block, day, time of market events of one fixture (columns rec, title, event_ticker, series_ticker); outrights, series and prop markets give none."""
+    from skein.functions.domain import prop_suffix
+    from skein.functions.grammar import after_series, identity, is_outright, split_suffix, split_title
+
+    told = records.filter(F.trim(F.coalesce("event_ticker", F.lit(""))) != "")
+    told = told.select("rec", "title", after_series(F.col("event_ticker"), F.col("series_ticker")).alias("rest"), split_suffix(F.col("series_ticker"))["base"].alias("base"))
+    told = told.select("rec", "title", "rest", is_outright(F.col("base")).alias("outright"))
+    known = told.select("rec", "title", identity(F.col("rest"), F.col("outright")).alias("i"))
+    fixture = known.filter((F.col("i.kind") == "per_fixture") & ~prop_suffix(F.col("title"))).withColumn("s", split_title(F.col("title")))
+    return fixture.select("rec", "s.home", "s.away", "i.abbr_block", F.col("i.date").alias("day"), "i.time")
+
+
+def feed_identity(sport: Column, start: Column, home: Column, away: Column) -> Column:
+    """struct(day, hhmm, orientations) of a feed event: its UTC day and time, and both orders of its abbreviations in all their forms."""
+    from skein.functions.domain import abbreviations
+
+    at = F.timestamp_seconds(start)
+    both = F.when(home.isNotNull() & away.isNotNull(), orientations(abbreviations(sport, home), abbreviations(sport, away)))
+    return F.struct(F.to_date(at).alias("day"), F.date_format(at, "HHmm").alias("hhmm"), both.alias("orientations"))
