@@ -227,9 +227,9 @@ def market_signal(records: DataFrame) -> DataFrame:
     from skein.functions.grammar import after_series, identity, is_outright, split_suffix, split_title
 
     told = records.filter(F.trim(F.coalesce("event_ticker", F.lit(""))) != "")
-    told = told.select("rec", "title", after_series(F.col("event_ticker"), F.col("series_ticker")).alias("rest"), split_suffix(F.col("series_ticker"))["base"].alias("base"))
-    told = told.select("rec", "title", "rest", is_outright(F.col("base")).alias("outright"))
-    known = told.select("rec", "title", identity(F.col("rest"), F.col("outright")).alias("i"))
+    once = lambda *cs: F.inline(F.array(F.struct(*cs)))  # noqa: E731  long expressions are computed once for each row
+    told = told.select("rec", "title", once(after_series(F.col("event_ticker"), F.col("series_ticker")).alias("rest"), split_suffix(F.col("series_ticker"))["base"].alias("base")))
+    known = told.select("rec", "title", once(identity(F.col("rest"), is_outright(F.col("base"))).alias("i")))
     fixture = known.filter((F.col("i.kind") == "per_fixture") & ~prop_suffix(F.col("title"))).withColumn("s", split_title(F.col("title")))
     return fixture.select("rec", "s.home", "s.away", "i.abbr_block", F.col("i.date").alias("day"), "i.time")
 
