@@ -107,9 +107,44 @@ def after_first(c: Column, mark: str) -> Column:
     return F.when(F.instr(c, mark) > 0, F.trim(F.substr(c, F.instr(c, mark) + len(mark))))
 
 
+# Patterns of a full name, and of a surname with an initial and perhaps a country.
+FULL_NAME = r"^[A-Za-z\u00C0-\u024F]{2,} [A-Za-z\u00C0-\u024F]{2,}$"
+SHORT_NAME = r"^[A-Za-z\u00C0-\u024F]{2,} [A-Za-z]\.(?: \([A-Za-z]{2,4}\))?$"
+
+
 def name_format(c: Column) -> Column:
-    """First Last, Last F., or other."""
-    return F.when(c.rlike(r"^[\p{Lu}][\p{L}'-]+ [\p{Lu}]\.$"), "last_initial").when(c.rlike(r"^[\p{Lu}][\p{L}'-]+ [\p{Lu}][\p{L}'-]+$"), "first_last").otherwise("other")
+    """class_f (First Last), class_s (Last F.), or unclassified."""
+    name = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(name.rlike(FULL_NAME), "class_f").when(name.rlike(SHORT_NAME), "class_s").otherwise("unclassified")
+
+
+def format_match(full: Column, short: Column) -> Column:
+    """the full name's first letter is the short one's initial, and the surnames are the same."""
+    f, s = F.split(F.lower(F.trim(full)), r"\s+"), F.split(F.lower(F.trim(short)), r"\s+")
+    at = lambda a, i: F.try_element_at(a, F.lit(i))
+    return F.coalesce((F.size(f) >= 2) & (F.size(s) >= 2) & (F.substring(at(f, 1), 1, 1) == F.substring(at(s, 2), 1, 1)) & (at(f, -1) == at(s, 1)), F.lit(False))
+
+
+# How team names in titles are made alike.
+TITLE_STEPS = (
+    (r"\s*\(\s*[A-Za-z]{2,4}\s*\)\s*$", ""), (r"(?i)\bAtl\.\s*", "Atletico "), (r"(?i)\bSt\.\s*", "Saint "), (r"(?i)\bU\.\s*", "Universidad "), (r"(?i)\bDep\.\s*", "Deportivo "),
+    (r"(?i)^(?:Deportes|Deportivo|Club|CD|FC|AC|SC|CF|AS|SK)\s+", ""),
+)
+
+
+def title_name(c: Column) -> Column:
+    """a team's name as titles have it: no country, short forms written out, no generic first word, lower case."""
+    return F.lower(F.trim(chain(F.trim(F.coalesce(c, F.lit(""))), *TITLE_STEPS)))
+
+
+def title_tokens(c: Column) -> Column:
+    """distinct tokens of three letters or digits or more of ``title_name``."""
+    return F.array_distinct(F.filter(F.split(title_name(c), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+
+
+def cache_key(c: Column) -> Column:
+    """lower case without accents, blanks collapsed; punctuation stays."""
+    return collapse(F.lower(fold_accents(c)))
 
 
 def chain(c: Column, *pairs: tuple[str, str]) -> Column:

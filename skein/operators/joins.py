@@ -208,3 +208,23 @@ def fill_missing(left: DataFrame, right: DataFrame, key: str, columns: list[str]
     """Nulls of ``columns`` taken from the right side."""
     r = right.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     return left.join(r, key, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def title_pairs(records: DataFrame, games: DataFrame, floor: float = 0.5, seconds: int = 1800) -> DataFrame:
+    """Rec, game, score: the game whose names fit a title's two names best, above the floor and within the time.
+
+    records: rec, at, first, second.  games: game, game_at, home, away.  A score is the mean
+    Jaccard similarity of both names' tokens in the better orientation, in which both must share
+    some.  Titles meet games through common tokens at nearby times, not through all games; of equal
+    scores the smaller game counts.
+    """
+    from skein.functions.text import jaccard, title_tokens
+
+    t = lambda c: title_tokens(F.col(c))
+    r = records.select("rec", "at", t("first").alias("x"), t("second").alias("y"))
+    g = games.select("game", "game_at", t("home").alias("h"), t("away").alias("a"))
+    met = within(r.select("rec", "at", F.explode(F.array_union("x", "y")).alias("token")), g.select("game", "game_at", F.explode("h").alias("token")), ["token"], "at", "game_at", seconds)
+    both = met.select("rec", "game").distinct().join(r, "rec").join(g, "game")
+    score = lambda p, q: F.when((jaccard(F.col("h"), F.col(p)) > 0) & (jaccard(F.col("a"), F.col(q)) > 0), (jaccard(F.col("h"), F.col(p)) + jaccard(F.col("a"), F.col(q))) / 2).otherwise(0.0)
+    scored = both.select("rec", "game", F.greatest(score("x", "y"), score("y", "x")).alias("score")).filter(F.col("score") > floor)
+    return latest(scored, ["rec"], F.col("score").desc(), F.col("game"))

@@ -69,3 +69,45 @@ def patch_maps(table: DataFrame, patches: DataFrame, key: str, column: str) -> D
     old, new = F.col(column), F.col("_patch")
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
     return table.join(p, F.col(key) == F.col("_key"), "left").withColumn(column, F.when(new.isNull(), old).when(old.isNull(), new).otherwise(merged)).drop("_key", "_patch")
+
+
+def add_aliases(aliases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (alias, team_id) with ``outcome``: present (the team has it), conflict (another one has), added.
+
+    Equal wishes are one; of several teams that want a free alias at once the smallest gets it.
+    """
+    held = aliases.groupBy("alias").agg(F.min("team_id").alias("low"), F.max("team_id").alias("high"), F.collect_set("team_id").alias("ids"))
+    asked = wanted.select("alias", "team_id").distinct()
+    first = asked.groupBy("alias").agg(F.min("team_id").alias("first"))
+    both = asked.join(held.select("alias", "ids"), "alias", "left").join(first, "alias")
+    free = F.col("ids").isNull()
+    outcome = F.when(free & (F.col("team_id") == F.col("first")), "added").when(free, "conflict").when(F.array_contains("ids", F.col("team_id")), "present").otherwise("conflict")
+    return both.select("alias", "team_id", outcome.alias("outcome"))
+
+
+def expiring(rows: DataFrame, created: str, days: int = 30) -> DataFrame:
+    """Rows with the time at which they expire."""
+    return rows.withColumn("expires_at", F.col(created) + F.make_dt_interval(F.lit(days)))
+
+
+def unreported(reports: DataFrame, new: DataFrame, day: str) -> DataFrame:
+    """New reports of days that have none yet."""
+    return new.join(reports.select(day), day, "left_anti")
+
+
+def chunks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` with the number of the chunk of ``size`` in which they are written."""
+    from skein.operators.joins import numbered
+
+    return numbered(rows, key).withColumn("chunk", F.floor(F.col("number") / size)).drop("number")
+
+
+def bootstrap(seeds: DataFrame, teams: DataFrame) -> DataFrame:
+    """``seeds`` (name, country) with ``action``: SKIP (known with a country), BACKFILL (known without), INSERT.
+
+    teams: name, country.  Names are compared as they are normalised by the caller.
+    """
+    known = teams.groupBy("name").agg(F.max("country").alias("known"), F.count("*").alias("n"))
+    found = seeds.join(known, "name", "left")
+    return found.withColumn("action", F.when(F.col("n").isNull(), "INSERT").when(F.col("known").isNull(), "BACKFILL").otherwise("SKIP")).drop("known", "n")
+

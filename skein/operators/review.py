@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import components
-from skein.functions.text import normalize_name
+from skein.functions.text import format_match, name_format, normalize_name
 from skein.operators.joins import collision_pairs, latest
 
 # The reference's fields of a log row's detail, and how many rows it mines.
@@ -31,31 +31,43 @@ def unit_or_none(text: str | None) -> float | None:
 
 
 def display_confidence(confidence: Column, collision: Column) -> Column:
-    """Two decimals, or ``(collision)``."""
-    return F.when(collision, "(collision)").otherwise(F.printf(F.lit("%.2f"), confidence))
+    """Two decimals, or ``(collision)`` where a collision left no confidence."""
+    return F.when(collision & (confidence == 0), "(collision)").otherwise(F.printf(F.lit("%.2f"), confidence))
 
 
-def failed_title(provider: Column, home: Column, away: Column) -> Column:
-    """A title with ``?`` for what is missing."""
-    said = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("?"))
-    return F.concat(provider, F.lit(": "), said(home), F.lit(" vs "), said(away))
+def failed_title(provider: Column, title: Column, home: Column, away: Column) -> Column:
+    """A market's title, or a feed event's names with ``?`` for a missing one; null without any."""
+    said = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("?"))
+    some = (F.coalesce(home, F.lit("")) != "") | (F.coalesce(away, F.lit("")) != "")
+    return F.when((provider == "kalshi") & (F.coalesce(title, F.lit("")) != ""), title).when((provider == "fl") & some, F.concat(said(home), F.lit(" vs "), said(away)))
 
 
 def first_given(*names: Column) -> Column:
-    """The first that is neither null nor empty."""
+    """the first that is neither null nor blank, trimmed."""
     return F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
 
 
+def parsed_name(provider: Column, normalized: Column, canonical: Column, feed_name: Column) -> Column:
+    """A side's name: the provider's normalised one, the canonical one, or a feed event's own."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(given(normalized), given(canonical), F.when(provider == "fl", given(F.trim(feed_name))))
+
+
 def candidate_set(text: Column) -> Column:
     """struct(provider, id) of ``provider:id,...``; parts of another shape are dropped."""
     parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike("^[^:]+:.+$"))
     return F.transform(parts, lambda x: F.struct(F.substring_index(x, ":", 1).alias("provider"), F.regexp_replace(x, "^[^:]+:", "").alias("id")))
 
 
-def approval_error(submitted: Column, colliding: Column, default: Column) -> Column:
-    """Null where the submitted id is among the colliding ones (or is the default), else why not."""
-    fits = F.coalesce(F.array_contains(colliding, submitted), F.lit(False)) | F.coalesce(submitted == default, F.lit(False))
-    return F.when(submitted.isNull(), "missing").when(~fits, "not a candidate")
+def approval_error(submitted: Column, asymmetric: Column, collision: Column, colliding: Column, default: Column) -> Column:
+    """Null where the submitted id may be approved, else why not.
+
+    A failed side's candidates (``asymmetric``, null where there are none) come first, then a
+    collision's; otherwise it must be the default, if there is one.
+    """
+    failed = F.when(F.size(asymmetric) == 0, "no candidates").when(~F.array_contains(asymmetric, submitted), "not a candidate of the failed side")
+    clash = F.when(~F.coalesce(F.array_contains(colliding, submitted), F.lit(False)), "not among the colliding")
+    return F.when(asymmetric.isNotNull(), failed).when(collision, clash).when(default.isNotNull() & (submitted != default), "not the single candidate")
 
 
 def approve(queue: DataFrame, fixtures: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,6 +101,19 @@ def duplicate_clusters(members: DataFrame, record: str, team: str, least: int, l
     return found.join(small.select("root"), "root", "left_semi")
 
 
+def merge_groups(clusters: DataFrame, teams: DataFrame) -> DataFrame:
+    """Canonical, dupe of clusters (node, root) in which just one full and one short name (``name_format``) name the same person.
+
+    teams: id, name, created_at, aliases.  The older team stays, then the one with more aliases, then the longer name.
+    """
+    named = clusters.join(teams, clusters["node"] == teams["id"]).withColumn("kind", name_format(F.col("name"))).filter(F.col("kind") != "unclassified")
+    one = named.groupBy("root").agg(F.count_if(F.col("kind") == "class_f").alias("f"), F.count_if(F.col("kind") == "class_s").alias("s")).filter("f = 1 and s = 1").select("root")
+    rows = named.join(one, "root", "left_semi")
+    row = lambda k: rows.filter(F.col("kind") == k).select("root", F.struct("created_at", (-F.col("aliases")).alias("a"), (-F.length("name")).alias("l"), "id", "name").alias(k))
+    both = row("class_f").join(row("class_s"), "root").filter(format_match(F.col("class_f.name"), F.col("class_s.name")))
+    return both.select(F.least("class_f", "class_s")["id"].alias("canonical"), F.greatest("class_f", "class_s")["id"].alias("dupe"))
+
+
 def pre_state(mapping: DataFrame, aliases: DataFrame, fixtures: DataFrame) -> DataFrame:
     """What a merge changes, before it: for each duplicate its aliases and fixtures (sorted arrays)."""
     dup = mapping.filter("id <> canonical")
@@ -124,19 +149,60 @@ def transition_guard(rows: DataFrame, key: str, seq: str, status: str, allowed:
     return rows.withColumn("was", was).filter(F.col("was").isNotNull() & ~ok)
 
 
-def classify_teams(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """SKIP (known, country set), BACKFILL (one known without country), BACKFILL-CANDIDATE (several), INSERT."""
-    hits = incoming.join(known, "name", "left").groupBy(*[incoming[c] for c in incoming.columns]).agg(F.count("team_id").alias("n"), F.count("known_country").alias("set"))
-    return hits.withColumn("action", F.when(F.col("n") == 0, "INSERT").when(F.col("set") > 0, "SKIP").when(F.col("n") == 1, "BACKFILL").otherwise("BACKFILL-CANDIDATE")).drop("n", "set")
+def reconcile(incoming: DataFrame, known: DataFrame, generic: tuple[str, ...]) -> DataFrame:
+    """Id, team_id, basis: known teams whose distinctive tokens equal, or are a part or the whole of, an incoming team's.
 
+    incoming: id, name.  known: team_id, known_name.  Teams that differ in a marker of reserves or
+    women don't meet.  Tokens are looked up in lists; generic ones have none.
+    """
+    from skein.functions.domain import entity_marker
+    from skein.functions.text import distinctive
+
+    side = lambda d, i, n, p: d.select(F.col(i).alias(i), distinctive(F.col(n), list(generic)).alias(f"{p}t"), entity_marker(F.col(n)).alias("marked"))
+    a, b = side(incoming, "id", "name", "a"), side(known, "team_id", "known_name", "b")
+    met = a.withColumn("token", F.explode("at")).join(b.withColumn("token", F.explode("bt")), ["token", "marked"]).select("id", "team_id", "at", "bt").distinct()
+    less, more = F.size(F.array_except("at", "bt")), F.size(F.array_except("bt", "at"))
+    return met.withColumn("basis", F.when((less == 0) & (more == 0), "exact-distinctive").when((less == 0) | (more == 0), "subset-distinctive")).filter("basis is not null").select("id", "team_id", "basis")
+
+
+def classify_teams(incoming: DataFrame, known: DataFrame, generic: tuple[str, ...]) -> DataFrame:
+    """Id, action, matches: SKIP (the name is known, with a country), BACKFILL (known without one), BACKFILL-CANDIDATE (reconciled only), INSERT.
+
+    incoming: id, name.  known: team_id, known_name, country.  Of several teams of one name the smallest id decides.
+    """
+    key = incoming.withColumn("key", normalize_name(F.col("name")))
+    same = known.withColumn("key", normalize_name(F.col("known_name"))).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("team_id", "country")).alias("t"))
+    found = key.join(same, "key", "left")
+    near = reconcile(found.filter("n is null"), known, generic).groupBy("id").agg(F.count("*").alias("near"))
+    done = found.join(near, "id", "left")
+    empty = F.coalesce(F.col("key"), F.lit("")) == ""
+    action = F.when(empty, "SKIP").when(F.col("n").isNotNull(), F.when(F.coalesce("t.country", F.lit("")) != "", "SKIP").otherwise("BACKFILL")).when(F.col("near") > 0, "BACKFILL-CANDIDATE").otherwise("INSERT")
+    return done.select("id", action.alias("action"), F.coalesce("n", "near", F.lit(0)).alias("matches"))
 
-def search_stage(stages: DataFrame, hint: str, *rank: Column) -> DataFrame:
-    """Stages of the best tier: exact league name (100), prefix (80), part (60); best first."""
-    league, h = F.lower("league"), hint.lower()
-    score = F.when(league == h, 100).when(league.startswith(h), 80).when(F.contains(league, F.lit(h)), 60)
-    scored = stages.withColumn("score", score).filter("score is not null")
-    best = scored.agg(F.max("score").alias("score"))
-    return scored.join(F.broadcast(best), "score").orderBy(*rank, "league")
+
+def search_stage(stages: DataFrame, hints: DataFrame) -> DataFrame:
+    """Hint, stage of the best stage for each hint (columns hint): the league's name equal (100), holding the hint (80) or held by it (60), then the stage's rank, then the smaller stage.
+
+    stages: stage, league, stage_name.
+    """
+    from skein.functions.domain import bracket_stage_rank
+
+    scored = _by_league(stages, hints).withColumn("rank", bracket_stage_rank(F.col("stage_name")))
+    return latest(scored, ["hint"], F.col("score").desc(), F.col("rank").desc(), F.col("stage")).select("hint", "stage", "score")
+
+
+def all_stages(stages: DataFrame, hints: DataFrame) -> DataFrame:
+    """Hint, stage: all stages of a league of that name; without one, of leagues whose name holds the hint or is held by it."""
+    scored = _by_league(stages, hints)
+    exact = scored.filter("score = 100")
+    return exact.unionByName(scored.join(exact.select("hint").distinct(), "hint", "left_anti")).select("hint", "stage")
+
+
+def _by_league(stages: DataFrame, hints: DataFrame) -> DataFrame:
+    """Stages and hints (a few) with the score of the league's name."""
+    league, h = F.lower(F.trim("league")), F.lower(F.trim("hint"))
+    score = F.when(league == h, 100).when(F.contains(league, h), 80).when(F.contains(h, league), 60)
+    return stages.filter(F.trim("league") != "").join(F.broadcast(hints), score.isNotNull()).withColumn("score", score)
 
 
 def markdown(rows: list, columns: list[str], title: str) -> str:
@@ -158,6 +224,50 @@ def mine_failures(log: DataFrame, sport: str, since: Column) -> DataFrame:
     return names.select("raw", normalize_name(F.col("raw")).alias("normalized"), "country_hint").filter("normalized <> ''")
 
 
+def suggested(failed: DataFrame, teams: DataFrame, floor: float = 0.30, top_n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The state of each failed record, and its sides' nearest teams (rec, side, team_id, rank).
+
+    failed: rec, sport, home, away (parsed names, null where unknown).  teams: team_id, sport, name.
+    States: unclassified (no sport), no_parsed_names, no_good_candidates, ok.
+    """
+    from skein.operators.joins import trigram_top
+
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("name"))
+    each = failed.filter(F.col("sport").isNotNull()).select("rec", "sport", F.inline(F.array(side("home"), side("away")))).filter(F.coalesce("name", F.lit("")) != "").withColumn("nid", F.xxhash64("sport", "name"))
+    names = each.select("nid", "sport", "name").distinct()
+    near = trigram_top(names, teams, "nid", "name", "team_id", "name", floor, top_n, ["sport"])
+    offered = each.join(near, each["nid"] == near["lid"]).select("rec", "side", F.col("rid").alias("team_id"), "rank")
+    known, good = each.select("rec", F.lit(True).alias("named")).distinct(), offered.select("rec", F.lit(True).alias("good")).distinct()
+    state = F.when(F.col("sport").isNull(), "unclassified").when(F.col("named").isNull(), "no_parsed_names").when(F.col("good").isNull(), "no_good_candidates").otherwise("ok")
+    return failed.join(known, "rec", "left").join(good, "rec", "left").select("rec", state.alias("state")), offered
+
+
+def best_reference(failures: DataFrame, roster: DataFrame, threshold: float, generic: tuple[str, ...], country: str = "") -> DataFrame:
+    """Alias, team_id, score, reference, n, raw of each failure's best reference, by the token-set ratio of distinctive tokens.
+
+    failures: raw, normalized, country_hint; those that hint at another country are left out.
+    roster: team_id, reference.  Of equal scores the smaller reference and team count.
+    """
+    from skein.functions.similarity import token_set_ratio
+    from skein.functions.text import distinctive
+    from skein.operators.resolve import team_scores
+
+    here = F.coalesce(F.nullif(F.trim("country_hint"), F.lit("")), F.lit(country))
+    asked = failures.filter(F.contains(F.lower(here), F.lit(country.strip().lower()))) if country.strip() else failures
+    bare = lambda c: F.array_join(F.array_sort(distinctive(c, list(generic))), " ")
+    names = asked.select(bare(F.col("normalized")).alias("name"), F.lit("").alias("sport")).filter("name <> ''").distinct()
+    refs = roster.select("team_id", "reference", bare(F.col("reference")).alias("name"), F.lit("").alias("sport")).filter("name <> ''").withColumn("rid", F.xxhash64("team_id", "reference"))
+    scored = team_scores(names, refs.select(F.col("rid").alias("team_id"), "sport", "name"), token_set_ratio, threshold, True).select("name", F.col("team_id").alias("rid"), "score")
+    best = latest(scored.join(refs.select("rid", "team_id", "reference"), "rid"), ["name"], F.col("score").desc(), F.col("reference"), F.col("team_id"))
+    met = asked.withColumn("name", bare(F.col("normalized"))).join(best, "name")
+    return met.groupBy(F.col("normalized").alias("alias"), "team_id").agg(F.max("score").alias("score"), F.max_by("reference", "score").alias("reference"), F.count("*").alias("n"), F.min("raw").alias("raw"))
+
+
+def three_way(candidates: DataFrame, audited: DataFrame) -> DataFrame:
+    """Candidates (id) by what an audit (id, verdict) says: safe, known or colliding."""
+    return candidates.join(audited.select("id", "verdict"), "id").withColumn("split", F.when(F.col("verdict") == "clean", "safe").when(F.col("verdict") == "same_team", "known").otherwise("colliding")).drop("verdict")
+
+
 def latest_versions(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """The latest log row of each (provider, record) of ``pairs``."""
     mine = log.join(pairs, ["provider", "record"], "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import aggregates, domain, flagship, kernels, live, more, relations, resolver, streams
+from skein.plans import aggregates, domain, flagship, kernels, landing, live, more, relations, resolver, streams
 from skein.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_nearest_view"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "domain", "flagship", "kernels", "live", "more", "relations", "resolver", "streams"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "domain", "flagship", "kernels", "landing", "live", "more", "relations", "resolver", "streams"]

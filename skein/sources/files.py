@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.joins import latest
+from skein.operators.storage import shared_path
 
 # Field names of the sports feed.
 EVENT = "EVENT_ID string, HOME_NAME string, AWAY_NAME string, SHORTNAME_HOME string, SHORTNAME_AWAY string, HOME_PARTICIPANT_TEAM_ID array<string>, AWAY_PARTICIPANT_TEAM_ID array<string>, START_TIME bigint, START_UTIME bigint, STAGE_TYPE string, STAGE string, HOME_SCORE_CURRENT int, AWAY_SCORE_CURRENT int"
@@ -20,6 +21,13 @@ def json_feed(spark: SparkSession, path: str, schema: str = TOURNAMENT) -> DataF
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def land(df: DataFrame, label: str) -> str:
+    """The folder of a table that is written as JSON files where feeds land."""
+    path = shared_path(df.sparkSession, label)
+    df.write.json(path)
+    return path
+
+
 def events_of(tournaments: DataFrame) -> DataFrame:
     """An event a row, with what it inherits from its tournament."""
     return tournaments.select("TOURNAMENT_STAGE_ID", F.col("NAME").alias("TOURNAMENT_NAME"), "COUNTRY_NAME", F.inline("EVENTS"))
@@ -102,3 +110,43 @@ def key_inventory(records: DataFrame, json: str, *by: str) -> DataFrame:
 def ids_in(json: Column, field: str) -> Column:
     """all values of a string field at any depth of JSON text, in order, distinct."""
     return F.array_distinct(F.regexp_extract_all(json, F.lit(rf'"{field}"\s*:\s*"([^"]*)"'), 1))
+
+
+# Field names of the other feeds.
+SCOREBOARD = "league string, events array<struct<id: string, status: struct<state: string, period: int, displayClock: string>, competitors: array<struct<homeAway: string, displayName: string, score: string>>>>"
+TYPED = "events array<struct<id: long, status: struct<type: string, description: string>, homeTeam: struct<name: string>, awayTeam: struct<name: string>, homeScore: struct<current: int, aggregated: int>, awayScore: struct<current: int, aggregated: int>, roundInfo: struct<name: string>>>"
+STATUSES = "events array<struct<idEvent: string, strHomeTeam: string, strAwayTeam: string, intHomeScore: string, intAwayScore: string, strStatus: string, strProgress: string, strLeague: string>>"
+
+
+def scoreboard_events(feed: DataFrame) -> DataFrame:
+    """Id, league, home, away, scores, state, period, clock of a scoreboard feed."""
+    each = feed.select("league", F.inline("events"))
+    side = lambda s: F.get(F.filter("competitors", lambda c: c["homeAway"] == s), F.lit(0))
+    return each.select("id", "league", side("home")["displayName"].alias("home"), side("away")["displayName"].alias("away"), side("home")["score"].alias("home_score"), side("away")["score"].alias("away_score"), "status.state", "status.period", F.col("status.displayClock").alias("clock"))
+
+
+def typed_events(feed: DataFrame) -> DataFrame:
+    """Id, type, description, home, away, scores, aggregates and round of a feed with typed states."""
+    return feed.select(F.inline("events")).select(
+        "id", "status.type", "status.description", F.col("homeTeam.name").alias("home"), F.col("awayTeam.name").alias("away"), F.col("homeScore.current").alias("home_score"), F.col("awayScore.current").alias("away_score"),
+        F.col("homeScore.aggregated").alias("home_agg"), F.col("awayScore.aggregated").alias("away_agg"), F.col("roundInfo.name").alias("round"),
+    )
+
+
+def status_events(feed: DataFrame) -> DataFrame:
+    """Id, league, home, away, scores, status and progress of a feed with status texts."""
+    return feed.select(F.inline("events")).select(
+        F.col("idEvent").alias("id"), F.col("strLeague").alias("league"), F.col("strHomeTeam").alias("home"), F.col("strAwayTeam").alias("away"), F.col("intHomeScore").alias("home_score"), F.col("intAwayScore").alias("away_score"),
+        F.col("strStatus").alias("status"), F.col("strProgress").alias("progress"),
+    )
+
+
+def details(wanted: DataFrame, known: DataFrame, id_: str) -> DataFrame:
+    """Each wanted id's detail, looked up once however often it is wanted; ids without a detail are dropped."""
+    return known.dropDuplicates([id_]).join(wanted.select(id_).distinct(), id_, "left_semi")
+
+
+def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of the first source, and of the second one for keys that the first has not."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+

@@ -87,3 +87,9 @@ def windowed(stream: DataFrame, time: str, width: str, late: str | None, *keys:
     """Counts by window and keys; with ``late`` set, rows older than the watermark are dropped (the event-time mode)."""
     s = stream.withWatermark(time, late) if late else stream
     return s.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
+
+
+def health(passes: DataFrame, task: str, at: str, now: Column, seconds: int) -> DataFrame:
+    """Each task's last pass, its age in seconds, and whether that is more than it may be."""
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("last_pass").cast("timestamp"))
+    return passes.groupBy(task).agg(F.max(at).alias("last_pass")).withColumn("age", age).withColumn("stale", F.col("age") > seconds)
