@@ -16,27 +16,39 @@ from skein.llm.common import store
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
-    return quality_rules.apply_policy(docs, "full-1")
+    """Documents that the quality policy rejects go.
+
+    Null, empty and very short texts are among them; equal rows are judged alike and all stay or go.
+    Columns of any name come through as they were; an empty table stays empty.
+    """
+    return quality_rules.apply_policy(docs)
 
 
 def _unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by n-gram Jaccard similarity, directly or through others, the smallest doc_id stays."""
+    """Of documents that link by n-gram Jaccard similarity, directly or through others, the smallest doc_id stays.
+
+    A null doc_id comes last; of rows with the same doc_id and text one stays, and texts that are
+    null or without words link with nothing and stay.
+    """
     return jaccard_join.keep_first(docs)
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark items go."""
+    """Documents contaminated with benchmark items go.
+
+    A document without words is not contaminated; rows with one doc_id are judged each by its own
+    text; without items all stay.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; every document stays."""
+    """Secrets in texts are masked; every row stays, null texts as null, and ``n_chars`` is counted anew."""
     return secret_scan.redact(docs)
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences; a null or empty text is its end id alone, equal rows are packed each, an empty table gives no pieces."""
     return packing.pack(docs)
 
 
