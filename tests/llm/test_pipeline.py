@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -16,8 +17,11 @@ from tests.llm.test_text_operators import base, ids_of
 
 def keeps(text):
     n, chars, symbols, dup, repeated = measured(text)
-    lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in (text or "").split("\n"))
-    return n >= 10 and 100 * repeated <= 20 * n and 2 * n <= chars <= 15 * n and 10 * symbols <= 4 * n and 2 * dup <= lines
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+    all_chars, once = sum(map(len, lines)), sum(map(len, set(lines)))
+    plain = 2 * n <= chars <= 15 * n and 10 * symbols <= 4 * n and 2 * dup <= len(lines) and 5 * sum(map(str.isalpha, text or "")) >= 3 * chars
+    marks = 10 * sum(bool(re.match(r"[ \t\r\x0b\x0c]*[-*•]", x)) for x in lines) <= 9 * len(lines) and 10 * sum(bool(re.search(r"(\.\.\.|…)[ \t\r\x0b\x0c]*$", x)) for x in lines) <= 3 * len(lines)
+    return n >= 10 and 100 * repeated <= 20 * n and plain and marks and 10 * (all_chars - once) <= 3 * all_chars
 
 
 def test_pipeline(spark, tmp_path):
@@ -44,3 +48,15 @@ def test_pipeline(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in found.collect()) == want
     assert "[secret]" in dict(kept)[201]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Tables without rows, and with nulls alone."""
+    for name, rows in (("none", []), ("nulls", [(None,) * 8] * 3)):
+        spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(None, None)] if rows else [], "item_id string, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
+    docs = spark.createDataFrame([(None,) * 8] * 3, DOC)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs, str(tmp_path / "nulls")).columns == docs.columns
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == 3
