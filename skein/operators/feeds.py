@@ -85,17 +85,22 @@ def overlay(records: DataFrame, live: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({"state": F.coalesce("state", F.lit("scheduled")), "linked": F.col("home_score").isNotNull()})
 
 
-def phrase_match(titles: DataFrame, games: DataFrame) -> DataFrame:
-    """Each title's game of the sport whose home and away phrases both stand in it as whole words; the longest phrases win, then the smaller id.
+def phrase_match(titles: DataFrame, games: DataFrame, whole: bool = True) -> DataFrame:
+    """Each title's game of the sport whose home and away phrases both stand in it; the longest phrases win, then the smaller game.
 
-    titles: rec, sport, title.  games: game, sport, home, away (arrays of phrases).  Titles
-    meet games through the first words of home phrases, not through all games of the sport.
+    titles: rec, sport, title.  games: game, sport, home, away (arrays of phrases).  Phrases of
+    three characters count, as whole words and two different ones, or (``whole`` false) anywhere.
+    Titles meet games in lists of words or of three characters, not through all games of the sport.
     """
-    words = titles.select("rec", "sport", F.concat(F.lit(" "), normalize_name(F.col("title")), F.lit(" ")).alias("t"), F.explode(F.array_distinct(F.split(normalize_name(F.col("title")), " "))).alias("w"))
-    homes = games.select("game", "sport", "away", F.explode("home").alias("h")).filter(F.length("h") >= 3).withColumn("w", F.split_part("h", F.lit(" "), F.lit(1)))
-    held = lambda t, p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" ")))
-    near = words.join(homes, ["sport", "w"]).filter(held(F.col("t"), F.col("h")))
-    both = near.select("rec", "game", "h", F.explode("away").alias("a"), "t").filter((F.length("a") >= 3) & (F.col("a") != F.col("h")) & held(F.col("t"), F.col("a")))
+    plain = F.concat(F.lit(" "), normalize_name(F.col("title")), F.lit(" "))
+    cut = F.split(F.trim("t"), " ") if whole else F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substr("t", i, F.lit(3)))
+    key = F.split_part("h", F.lit(" "), F.lit(1)) if whole else F.substring("h", 1, 3)
+    held = lambda t, p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" "))) if whole else F.contains(t, p)
+    parts = titles.select("rec", "sport", plain.alias("t")).select("rec", "sport", "t", F.explode(F.array_distinct(cut)).alias("w"))
+    homes = games.select("game", "sport", "away", F.explode("home").alias("h")).filter(F.length("h") >= 3).withColumn("w", key)
+    near = parts.join(homes, ["sport", "w"]).filter(held(F.col("t"), F.col("h")))
+    both = near.select("rec", "game", "h", F.explode("away").alias("a"), "t").filter((F.length("a") >= 3) & held(F.col("t"), F.col("a")))
+    both = both.filter("a <> h") if whole else both
     best = both.groupBy("rec").agg(F.max(F.struct((F.length("h") + F.length("a")).alias("n"), (-F.col("game")).alias("g"))).alias("b"))
     return best.select("rec", (-F.col("b.g")).alias("game"))
 
@@ -241,3 +246,26 @@ def feed_identity(sport: Column, start: Column, home: Column, away: Column) -> C
     at = F.timestamp_seconds(start)
     both = F.when(home.isNotNull() & away.isNotNull(), orientations(abbreviations(sport, home), abbreviations(sport, away)))
     return F.struct(F.to_date(at).alias("day"), F.date_format(at, "HHmm").alias("hhmm"), both.alias("orientations"))
+
+
+def game_tickers(records: DataFrame) -> DataFrame:
+    """``records`` (ticker) with ``game``: the ticker of the same fixture whose series ends in GAME (of several the smallest), else their own."""
+    t = F.upper("ticker")
+    series, fixture = F.substring_index(t, "-", 1), F.regexp_extract(t, "^[^-]*-(.*)$", 1)
+    games = records.filter(series.endswith("GAME") & (fixture != "")).groupBy(fixture.alias("_fixture")).agg(F.min(t).alias("_game"))
+    own = records.withColumns({"_own": fixture, "_is": series.endswith("GAME")})
+    found = own.join(games, (F.col("_own") == F.col("_fixture")) & (F.col("_own") != ""), "left")
+    return found.withColumn("game", F.when(F.col("_is"), F.upper("ticker")).otherwise(F.coalesce("_game", F.upper("ticker")))).drop("_own", "_is", "_fixture", "_game")
+
+
+def seed_rows(events: DataFrame) -> DataFrame:
+    """kind, id of all teams, competitions and fixtures of feed events (with sport, competition and day), each once; events without id or either name give none."""
+    from skein.functions import domain
+    from skein.functions.text import slug
+
+    ready = events.filter(F.col("EVENT_ID").isNotNull() & (F.trim("HOME_NAME") != "") & (F.trim("AWAY_NAME") != ""))
+    e = ready.select("sport", "day", slug(F.col("HOME_NAME")).alias("h"), slug(F.col("AWAY_NAME")).alias("a"), slug(F.col("competition")).alias("c"))
+    row = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.alias("id"))
+    own = lambda kind, c: row(kind, domain.canonical_id(kind, F.col("sport"), F.col(c)))
+    fixture = row("fixture", domain.fixture_key(F.col("sport"), F.col("day"), F.col("h"), F.col("a"), F.lit("")))
+    return e.select(F.inline(F.array(own("team", "h"), own("team", "a"), own("competition", "c"), fixture))).distinct()

@@ -228,3 +228,11 @@ def title_pairs(records: DataFrame, games: DataFrame, floor: float = 0.5, second
     score = lambda p, q: F.when((jaccard(F.col("h"), F.col(p)) > 0) & (jaccard(F.col("a"), F.col(q)) > 0), (jaccard(F.col("h"), F.col(p)) + jaccard(F.col("a"), F.col(q))) / 2).otherwise(0.0)
     scored = both.select("rec", "game", F.greatest(score("x", "y"), score("y", "x")).alias("score")).filter(F.col("score") > floor)
     return latest(scored, ["rec"], F.col("score").desc(), F.col("game"))
+
+
+def band_pipeline(events: DataFrame, records: DataFrame, keys: list[str], order: str, event: str, record: str, event_time: str, record_time: str, seconds: int) -> DataFrame:
+    """Counter, n: events, records, paired records, events with and records without a partner after ``greedy_band``."""
+    paired = greedy_band(events, records, keys, order, record, event_time, record_time, seconds).select(record, event)
+    one = lambda n, d: d.agg(F.count("*").alias("n")).select(F.lit(n).alias("counter"), "n")
+    parts = [one("events", events), one("records", records), one("paired", paired), one("events_paired", paired.select(event).distinct()), one("unpaired", records.join(paired, record, "left_anti"))]
+    return reduce(DataFrame.unionByName, parts)

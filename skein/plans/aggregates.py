@@ -236,11 +236,6 @@ def A35_top_series(t: Tables) -> DataFrame:
     return t.part.groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("series")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "series").limit(20)
 
 
-@query("""SELECT lower(p_name) AS name, max_by(p_type, (length(p_type), p_type)) AS longest_type, list_sort(list(DISTINCT p_brand)) AS brands FROM part GROUP BY 1""")
-def A36_entity_extraction(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.lower("p_name").alias("name")).agg(F.max_by("p_type", F.struct(F.length("p_type"), "p_type")).alias("longest_type"), F.array_sort(F.collect_set("p_brand")).alias("brands"))
-
-
 @query("SELECT user_id, event_type, count(*) AS n, max(value) AS best, list_sort(list(DISTINCT event_id))[1:3] AS examples FROM events GROUP BY ALL")
 def A37_candidate_buckets(t: Tables) -> DataFrame:
     keys = ["user_id", "event_type"]

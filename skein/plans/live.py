@@ -305,9 +305,6 @@ def F57_nested_ids(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_sort(files.ids_in(json, "team_id")).alias("v"), "user_id").select("event_id", F.col("v").alias("ids"))
 
 
-_BRACKET = "SELECT o_orderkey AS tie, o_custkey % 5 AS bracket FROM orders"
-
-
 @query("""WITH p AS (SELECT p_partkey % 5 AS bracket, CAST(p_size % 4 AS INT) AS round, p_partkey AS place, p_name AS home, lower(p_type) AS away, CASE WHEN p_partkey % 6 > 0 THEN CAST(p_size % 3 AS INT) END AS agg_home, CAST(p_size % 4 AS INT) AS agg_away, CAST(p_partkey % 3 AS INT) AS legs, CASE WHEN p_partkey % 2 = 0 THEN 'home' END AS winner FROM part WHERE p_partkey < 60),
   ties AS (SELECT o_orderkey AS tie, o_custkey % 5 AS bracket, a.p_name AS x, lower(a.p_type) AS y, o_orderkey % 2 AS turn FROM orders JOIN part a ON a.p_partkey = o_custkey % 60),
   t AS (SELECT tie, bracket, CASE WHEN turn = 0 THEN x ELSE y END AS home, CASE WHEN turn = 0 THEN y ELSE x END AS away FROM ties),

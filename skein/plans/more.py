@@ -22,13 +22,6 @@ def P47_anchor_and_candidates(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(keys.alias("k")).select("o_custkey", F.get("k", F.lit(0)).alias("anchor"), F.slice("k", F.lit(2), F.greatest(F.size("k") - 1, F.lit(0))).alias("candidates"))
 
 
-@query("""SELECT a.p_partkey, min(b.p_partkey) AS game FROM part a JOIN part b ON split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) AND a.p_brand = b.p_brand AND b.p_type = 'ECONOMY' GROUP BY a.p_partkey""")
-def J39_sibling_by_suffix(t: Tables) -> DataFrame:
-    suffix = F.split_part("p_name", F.lit(" "), F.lit(2)).alias("suffix")
-    games = t.part.filter("p_type = 'ECONOMY'").groupBy(suffix, "p_brand").agg(F.min("p_partkey").alias("game"))
-    return t.part.select("p_partkey", suffix, "p_brand").join(games, ["suffix", "p_brand"]).select("p_partkey", "game")
-
-
 @query("""SELECT w.name, count(n_nationkey) > 0 AS matched FROM (VALUES ('france'), ('GERMANY'), ('nation_3'), ('nowhere')) w(name) LEFT JOIN nation ON lower(n_name) = lower(w.name) GROUP BY w.name""")
 def J56_case_insensitive_filter(t: Tables) -> DataFrame:
     wanted = t.spark.createDataFrame([("france",), ("GERMANY",), ("nation_3",), ("nowhere",)], "name string")
@@ -97,13 +90,6 @@ def F32_entity_versions(t: Tables) -> DataFrame:
     return entity_versions(t.events, "user_id", "event_id", "event_type")
 
 
-@query("SELECT DISTINCT 'fixture:' || l_orderkey AS fixture, 'team:' || x AS team FROM (SELECT l_orderkey, unnest([l_partkey, l_suppkey]) AS x FROM lineitem)")
-def F33_seeding(t: Tables) -> DataFrame:
-    e = t.lineitem.select("l_orderkey", F.explode(F.array("l_partkey", "l_suppkey")).alias("x"))
-    named: dict[str, Column] = {"fixture": F.concat(F.lit("fixture:"), F.col("l_orderkey").cast("string")), "team": F.concat(F.lit("team:"), F.col("x").cast("string"))}
-    return e.select(*[c.alias(n) for n, c in named.items()]).distinct()
-
-
 @query("SELECT o_orderkey, list(l_returnflag || ':' || l_quantity ORDER BY l_linenumber, l_returnflag, l_quantity) AS stats FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def F56_grouped_stats(t: Tables) -> DataFrame:
     row = F.struct("l_linenumber", "l_returnflag", "l_quantity")

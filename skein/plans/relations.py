@@ -80,12 +80,6 @@ def S19_unexpired(t: Tables) -> DataFrame:
     return mutations.unexpired(t.events.withColumn("expires_at", F.col("ts") + F.expr("INTERVAL 30 DAY")), "expires_at", at("2024-02-10")).select("event_id")
 
 
-@query("""SELECT key, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([event_type, CAST(user_id % 5 AS VARCHAR)]) AS key FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000)) GROUP BY key""")
-def S23_unpivot_mining(t: Tables) -> DataFrame:
-    newest = t.events.orderBy(F.col("event_id").desc()).limit(5000)
-    return newest.select(F.explode(F.array("event_type", (F.col("user_id") % 5).cast("string"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
 @query("SELECT DISTINCT token, p_partkey FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part)")
 def S24_token_index(t: Tables) -> DataFrame:
     return t.part.select(F.explode(text.tokens(F.col("p_name"))).alias("token"), "p_partkey")
@@ -130,12 +124,6 @@ def K08_do_nothing_upsert(t: Tables) -> DataFrame:
     return mutations.insert_absent(old, t.part.select("p_partkey", "p_name"), ["p_name"]).select("p_partkey", "p_name")
 
 
-@query("SELECT user_id, event_id, tier FROM (SELECT user_id, event_id, unnest(CASE WHEN event_type = 'click' THEN ['strict', 'alias', 'fuzzy'] ELSE ['strict'] END) AS tier FROM events)")
-def K09_tier_log(t: Tables) -> DataFrame:
-    tried = F.when(F.col("event_type") == "click", F.array(F.lit("strict"), F.lit("alias"), F.lit("fuzzy"))).otherwise(F.array(F.lit("strict")))
-    return t.events.select("user_id", "event_id", F.explode(tried).alias("tier"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def K10_conditional_upsert(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_orderstatus")
