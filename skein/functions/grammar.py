@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Market suffixes, in the order in which they are tried.
@@ -99,6 +99,11 @@ def identity(suffix: Column, outright: Column) -> Column:
     return F.when(outright, F.coalesce(*future)).otherwise(F.coalesce(*other))
 
 
+def with_identity(df: DataFrame, suffix: Column, outright: Column) -> DataFrame:
+    """``df`` with ``i``, the identity of a ticker's suffix, computed once for each row however many of its fields are read."""
+    return df.select("*", F.inline(F.array(F.struct(identity(suffix, outright).alias("i")))))
+
+
 def minutes(hhmm: Column) -> Column:
     """minutes of the day."""
     return F.substring(hhmm, 1, 2).cast("int") * 60 + F.substring(hhmm, 3, 2).cast("int")

@@ -229,12 +229,12 @@ def market_type(kind: Column) -> Column:
 def market_signal(records: DataFrame) -> DataFrame:
     """P10: rec, home, away, abbr_block, day, time of market events of one fixture (columns rec, title, event_ticker, series_ticker); outrights, series and prop markets give none."""
     from skein.functions.domain import prop_suffix
-    from skein.functions.grammar import after_series, identity, is_outright, split_suffix, split_title
+    from skein.functions.grammar import after_series, is_outright, split_suffix, split_title, with_identity
 
     told = records.filter(F.trim(F.coalesce("event_ticker", F.lit(""))) != "")
     once = lambda *cs: F.inline(F.array(F.struct(*cs)))  # noqa: E731  long expressions are computed once for each row
     told = told.select("rec", "title", once(after_series(F.col("event_ticker"), F.col("series_ticker")).alias("rest"), split_suffix(F.col("series_ticker"))["base"].alias("base")))
-    known = told.select("rec", "title", once(identity(F.col("rest"), is_outright(F.col("base"))).alias("i")))
+    known = with_identity(told, F.col("rest"), is_outright(F.col("base")))
     fixture = known.filter((F.col("i.kind") == "per_fixture") & ~prop_suffix(F.col("title"))).withColumn("s", split_title(F.col("title")))
     return fixture.select("rec", "s.home", "s.away", "i.abbr_block", F.col("i.date").alias("day"), "i.time")
 

@@ -223,15 +223,16 @@ def P19_kind_to_market_type(t: Tables) -> DataFrame:
 def F77_fixture_key(t: Tables) -> DataFrame:
     """The fixture of a leg's ticker is its parent's: the leg number goes."""
     suffix = F.concat(F.upper(F.date_format("day", "yyMMMdd")), F.lit("1930"), F.col("abbr_block"), F.when(F.col("rec") % 2 == 0, "-3").otherwise(""))
-    m = markets(t).filter("sport is not null").select("rec", "sport", grammar.parent_identity(grammar.identity(suffix, F.lit(False))).alias("i"))
+    legs = grammar.with_identity(markets(t).filter("sport is not null").select("rec", "sport", suffix.alias("s")), F.col("s"), F.lit(False))
+    m = legs.select("rec", "sport", grammar.parent_identity(F.col("i")).alias("i"))
     return m.select("rec", F.col("i.date").alias("day"), "i.time", "i.abbr_block", F.array("sport", F.col("i.date").cast("string"), "i.time", "i.abbr_block").alias("key"))
 
 
 @query(f"""WITH {MARKETS} SELECT rec, CASE WHEN rec % 2 = 0 THEN 'per_fixture' ELSE 'tournament' END AS kind, CASE WHEN rec % 2 = 0 THEN abbr_block END AS abbr_block FROM market""")
 def J26_leg_parent(t: Tables) -> DataFrame:
     leg = F.concat(F.upper(F.date_format("day", "yyMMMdd")), F.col("abbr_block"), F.lit("-2"))
-    i = grammar.parent_identity(grammar.identity(F.when(F.col("rec") % 2 == 0, leg).otherwise("MASTERS26"), F.lit(False)))
-    return markets(t).select("rec", i.alias("i")).select("rec", "i.kind", "i.abbr_block")
+    legs = grammar.with_identity(markets(t).select("rec", F.when(F.col("rec") % 2 == 0, leg).otherwise("MASTERS26").alias("s")), F.col("s"), F.lit(False))
+    return legs.select("rec", grammar.parent_identity(F.col("i")).alias("i")).select("rec", "i.kind", "i.abbr_block")
 
 
 @query(f"""WITH {FEED} SELECT rec, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate + INTERVAL (rec % 24) HOUR, '%H%M') AS hhmm, CASE WHEN SHORTNAME_AWAY IS NULL THEN NULL ELSE list_sort(list_distinct([SHORTNAME_HOME || SHORTNAME_AWAY, SHORTNAME_AWAY || SHORTNAME_HOME])) END AS orientations FROM feed WHERE rec % 11 <> 0""")
