@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import store
+from skein.llm.common import small_batches, store
 from skein.llm.linear import inverse as invert
 from skein.llm.tokens import chunks, encoder, tokenizer_path
 
@@ -77,7 +77,8 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
         _cut(tokenizer or tokenizer_path("byte_bpe_50k.json"), capacity, unit),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, size long, part long, nth long",
     )
-    return store(made, "pieces")
+    with small_batches(docs.sparkSession):
+        return store(made, "pieces")
 
 
 def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

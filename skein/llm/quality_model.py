@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import store
+from skein.llm.common import small_batches, store
 from skein.llm.linear import inverse, isotonic
 
 #: Statistics of a text, in the order of ``statistics``.
@@ -79,7 +79,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, x: the statistics of each row of ``docs``, stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return store(docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, x array<double>"), "text-statistics")
+    with small_batches(docs.sparkSession):
+        return store(docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, x array<double>"), "text-statistics")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -344,13 +344,20 @@ def scan(texts: list[str | None], net: Network) -> list[tuple[list[Span], list[t
     return found
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few hundred rows, which bounds what is scanned at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in spans)
 
 
 def _reported(net: Network):
     def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             both = scan(b.column("text").to_pylist(), net)
             found = [x for x, _ in both]
             base = [[s for s in x if s[1] < 3] for x in found]
@@ -382,7 +389,7 @@ def masked(text: str, spans: list[Span], mark: str = "[secret]") -> str:
 
 def _redacted(net: Network):
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             texts = b.column("text").to_pylist()
             new = [masked(t, s) if s else t for t, (s, _) in zip(texts, scan(texts, net), strict=True)]
             yield b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(new, b.schema.field("text").type))

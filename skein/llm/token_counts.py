@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import store
+from skein.llm.common import small_batches, store
 from skein.llm.tokens import chunks, encoder, tokenizer_path
 
 #: Lengths of one block of the suffix sums; blocks are summed first.
@@ -87,4 +87,6 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """``suffix_sums`` of the whole table, a row for each different length; texts are encoded once."""
-    return suffix_sums(store(histogram(docs), "length-histogram"))
+    with small_batches(docs.sparkSession):
+        hist = store(histogram(docs), "length-histogram")
+    return suffix_sums(hist)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import new_path
+from skein.llm.common import new_path, small_batches
 from skein.llm.range_coder import BLOCK, checksum, decode_blocks, encode_blocks
 from skein.llm.tokens import chunks, encoder, tokenizer_path
 
@@ -130,7 +130,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, kind: str
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     made = ordered.mapInArrow(_write(f"{folder}/ids", tokenizer or tokenizer_path("word_bpe_49k.json"), kind), "part long, number long, file string, n_docs long, n_ids long")
-    made.write.parquet(f"{folder}/files")
+    with small_batches(spark):
+        made.write.parquet(f"{folder}/files")
     return spark.read.schema(made.schema).parquet(f"{folder}/files")
 
 
