@@ -76,12 +76,13 @@ def add_aliases(aliases: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Equal wishes are one; of several teams that want a free alias at once the smallest gets it.
     """
-    held = aliases.groupBy("alias").agg(F.min("team_id").alias("low"), F.max("team_id").alias("high"), F.collect_set("team_id").alias("ids"))
+    held = aliases.select("alias", "team_id").distinct()
     asked = wanted.select("alias", "team_id").distinct()
     first = asked.groupBy("alias").agg(F.min("team_id").alias("first"))
-    both = asked.join(held.select("alias", "ids"), "alias", "left").join(first, "alias")
-    free = F.col("ids").isNull()
-    outcome = F.when(free & (F.col("team_id") == F.col("first")), "added").when(free, "conflict").when(F.array_contains("ids", F.col("team_id")), "present").otherwise("conflict")
+    taken = held.select("alias", F.lit(True).alias("taken")).distinct()
+    both = asked.join(first, "alias").join(taken, "alias", "left").join(held.withColumn("own", F.lit(True)), ["alias", "team_id"], "left")
+    free = F.col("taken").isNull()
+    outcome = F.when(free & (F.col("team_id") == F.col("first")), "added").when(free, "conflict").when(F.col("own"), "present").otherwise("conflict")
     return both.select("alias", "team_id", outcome.alias("outcome"))
 
 

@@ -98,9 +98,9 @@ def strict_tier(records: DataFrame, aliases: DataFrame, fixtures: DataFrame, com
 
     A new fixture's id is a hash of its teams and kickoff, so records that agree in these share it.
     """
-    index = aliases.groupBy("alias", "sport").agg(F.collect_set("team_id").alias("ids"))
+    index = aliases.groupBy("alias", "sport").agg(F.min("team_id").alias("low"), F.max("team_id").alias("high"))
     side = sides(records).withColumn("alias", normalize_name(F.col("name"))).join(index, ["alias", "sport"], "left")
-    both = two_sides(side.withColumn("id", F.when(F.size("ids") == 1, F.get("ids", F.lit(0)))), ["id"])
+    both = two_sides(side.withColumn("id", F.when(F.col("low") == F.col("high"), F.col("low"))), ["id"])
     gated = competition_of(records.join(both, "rec", "left"), competitions)
     gated = gated.join(aliases.select("sport", F.lit(True).alias("_sport")).distinct(), "sport", "left")
     fail = (
