@@ -220,4 +220,4 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
         yield start, column.slice(start, stop - start)
         start = stop
-        pa.default_memory_pool().release_unused()  # what Arrow keeps of a chunk would stay with the worker
+    pa.default_memory_pool().release_unused()  # what Arrow keeps of chunks would stay with the worker
