@@ -181,22 +181,27 @@ def trigram_top(left: DataFrame, right: DataFrame, left_id: str, left_text: str,
     return top(scored, ["lid"], n, F.col("score").desc(), F.col("rid"))
 
 
-def collision_pairs(members: DataFrame, group: str, member: str, least: int) -> DataFrame:
+def collision_pairs(members: DataFrame, group: str, member: str, least: int, small: int = 1000) -> DataFrame:
     """Pairs a < b of members that come together in at least ``least`` different groups.
 
-    Members of fewer groups are left out.  Of a member's groups the smallest ones come first, and
-    it meets others in all but its ``least - 1`` largest: two members with ``least`` common groups
-    meet in one of these, so no group that many have is paired unless it must be.
+    Groups of up to ``small`` members are paired and counted.  Larger ones, of which there are
+    few, never are: members meet in all but the ``least - 1`` largest of their large groups (two
+    that share ``least`` of them meet in one of these), and for the pairs so found and those of
+    the small groups the common large groups are counted by a join.
     """
     m = members.select(F.col(group).alias("token"), F.col(member).alias("id")).distinct()
     sizes = m.groupBy("token").agg(F.count("*").alias("size"))
-    often = m.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    ranked = m.join(often, "id").join(sizes, "token").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("size", "token")))
-    p = ranked.filter(F.col("at") <= F.col("n") - (least - 1)).select("id", "n", "token")
-    met = p.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "token").join(p.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "token"), "token").filter("a < b")
-    pairs = met.select("a", "b", F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
-    asked = pairs.join(m, "id").select("a", "b", F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "token")
-    return asked.join(m, ["id", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    own, large = m.join(sizes.filter(F.col("size") <= small).select("token"), "token"), m.join(sizes.filter(F.col("size") > small), "token")
+    named = lambda d, s: d.select(F.col("id").alias(s), "token")
+    near = named(own, "a").join(named(own, "b"), "token").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    often = large.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    ranked = large.join(often, "id").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("size", "token")))
+    p = ranked.filter(F.col("at") <= F.col("n") - (least - 1))
+    met = named(p, "a").join(named(p, "b"), "token").filter("a < b").select("a", "b", F.lit(0).cast("long").alias("n")).distinct()
+    pairs = near.unionByName(met).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = pairs.select("a", "b").join(named(large, "a"), "a").join(named(large, "b"), ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("more"))
+    found = pairs.join(both, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("shared"))
+    return found.filter(F.col("shared") >= least)
 
 
 def greedy_band(events: DataFrame, records: DataFrame, keys: list[str], order: str, record: str, event_time: str, record_time: str, seconds: int) -> DataFrame:

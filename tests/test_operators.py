@@ -75,8 +75,8 @@ def test_pair_joins_equal_plain_ones(spark):
     assert got == {(i, j, len(x & y)) for i, j, x, y in same if 2 * len(x & y) >= len(x | y)}
     assert {(r.a, r.b) for r in joins.subset_pairs(df, "id", "t", ["g"]).collect()} == {(i, j) for i, j, x, y in same if x < y or y < x}
     members = df.select("id", F.explode("t").alias("r"))
-    for least in (1, 3):
-        got = {(r.a, r.b, r.shared) for r in joins.collision_pairs(members, "r", "id", least).collect()}
+    for least, small in ((1, 1000), (3, 1000), (1, 20), (3, 20), (2, 0)):
+        got = {(r.a, r.b, r.shared) for r in joins.collision_pairs(members, "r", "id", least, small).collect()}
         assert got == {(i, j, len(set(x) & set(y))) for i, _, x in rows for j, _, y in rows if i < j and len(set(x) & set(y)) >= least}
 
 
