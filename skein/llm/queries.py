@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, decontamination, jaccard_join, packing, quality_model, quality_rules, secret_scan, sql, token_counts, token_files, url_rules
+from skein.llm import bpe, chat, decontamination, jaccard_join, packing, periodic, quality_model, quality_rules, secret_scan, sql, token_counts, token_files, url_rules, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_ngram_jaccard, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts, quality_ablation)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_ngram_jaccard, op6_packing, op7_url_filters, op8_secret_scans, op9_token_files, op10_token_counts, op11_bpe, op12_vector_codes, op13_periodic_runs, quality_ablation)}
 ORACLE_SQL = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op2_quality_rules": sql.QUALITY_RULES,
@@ -64,4 +76,6 @@ ORACLE_SQL = {
     "op4_chat_formatting": sql.CHAT,
     "op5_ngram_jaccard": sql.NGRAM_JACCARD,
     "op7_url_filters": sql.URL_RULES,
+    "op12_vector_codes": sql.VECTOR_CODES,
+    "op13_periodic_runs": sql.PERIODIC,
 }

@@ -108,3 +108,60 @@ f AS (
   FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM p LEFT JOIN f USING (r)
 """
+
+_NEAREST = """
+{a} AS MATERIALIZED (
+  SELECT r, part, min(row(d, e)) AS best FROM (
+    SELECT p.r, p.part, b.e, CAST(coalesce(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) AS BIGINT) AS d
+    FROM p JOIN {b} b USING (part)) GROUP BY r, part)"""
+_RENEWED = """
+{to} AS MATERIALIZED (
+  SELECT part, e, coalesce(m.c, {b}.c) AS c FROM {b} LEFT JOIN (
+    SELECT part, e, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT part, best[2] AS e, i, sum(y) AS s, count(*) AS n FROM (
+        SELECT p.part, a.best, unnest(p.x) AS y, unnest(range(len(p.x))) AS i FROM p JOIN {a} a USING (r, part)) GROUP BY ALL)
+    GROUP BY part, e) m USING (part, e))"""
+VECTOR_CODES = (
+    """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, v, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM k, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (SELECT * FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, v) - 1 AS e, x AS c FROM p) WHERE e < 64),"""
+    + ",".join(_NEAREST.format(a=f"a{i}", b=f"b{i}") + "," + _RENEWED.format(a=f"a{i}", b=f"b{i}", to=f"b{i + 1}") for i in range(2))
+    + ","
+    + _NEAREST.format(a="a2", b="b2")
+    + """,
+f AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a2 GROUP BY r),
+t AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY part, e) FROM b2)) AS codebooks_sha256
+FROM f JOIN k USING (r) JOIN t ON k.label IS NOT DISTINCT FROM t.label
+"""
+)
+
+PERIODIC = r"""
+WITH s AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, 4294967295), 4294967295) AS h
+  FROM documents),
+o AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM s),
+d AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM o),
+x AS MATERIALIZED (SELECT r, n, unnest(w) AS y, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.r, z.i - x.i AS q, x.i FROM x JOIN x z ON x.r = z.r AND x.y = z.y AND z.i > x.i AND z.i - x.i <= x.n // 4),
+c AS MATERIALIZED (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS run FROM e)
+  GROUP BY r, q, run HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS MATERIALIZED (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c z WHERE z.r = c.r AND z.q < c.q AND c.q % z.q = 0 AND z.start <= c.start AND z.start + z.length >= c.start + c.length)),
+m AS (
+  SELECT r, count(*) AS n_runs, min(row(-length, start, q)) AS best, string_agg(concat(start, ',', length, ',', q, chr(10)), '' ORDER BY start, q) AS said FROM u GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM u),
+left_over AS (SELECT r, string_agg(y, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[2] AS BIGINT) AS start, CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period,
+  CAST(1000 * -best[1] // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (r) LEFT JOIN left_over USING (r)
+"""

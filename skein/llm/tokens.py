@@ -211,13 +211,13 @@ def encoder(kind: str, path: str) -> _Encoder:
     return {"byte": ByteLevelEncoder, "word": WordEncoder}[kind](path)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of some ``CHUNK`` bytes: the first one's place, and the texts."""
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of some ``size`` bytes (``CHUNK``): the first one's place, and the texts."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(column):
         before = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + (size or CHUNK), side="right")))
         yield start, column.slice(start, stop - start)
         start = stop
     pa.default_memory_pool().release_unused()  # what Arrow keeps of chunks would stay with the worker
