@@ -57,7 +57,7 @@ BLOCK = 16
 
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 18
-_FACTOR = 0x9E3779B97F4A7C15
+_FACTOR, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +75,8 @@ _VALUE, _BLANK = _tables()
 @functools.cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    base = 0xD6E8FEB86659FD93
     both = []
-    for x in (base, pow(base, -1, 1 << 64)):
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
         row = np.full(SEGMENT, x, np.uint64)
         row[0] = 1
         both.append(np.multiply.accumulate(row))
@@ -85,7 +84,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts of some ``SEGMENT`` bytes at blanks (a longer word is cut in itself, always alike from its start)."""
+    """Cuts of some ``SEGMENT`` bytes at blanks (a longer word is cut in itself; its hash goes on over the cut)."""
     start = 0
     while start < len(data):
         stop = min(len(data), start + SEGMENT)
@@ -103,7 +102,7 @@ def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
 def _word_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of one text, A-Z lower-cased: polynomials in the bytes, from differences of running sums."""
     power, back = _powers()
-    found = []
+    found, held, width = [], np.zeros(1, np.uint64), 0  # of a word that the segments' ends cut: its sum and its bytes so far
     for start, stop in _segments(data):
         part = data[start:stop]
         word = ~_BLANK[part]
@@ -111,10 +110,20 @@ def _word_hashes(data: np.ndarray) -> np.ndarray:
         begin, end = edge[::2], edge[1::2]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part] * power[: len(part)])])
         h = (total[end] - total[begin]) * back[begin]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(_FACTOR)
-        found.append(h ^ (h >> np.uint64(29)))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        goes_on = bool(width) and len(begin) > 0 and begin[0] == 0
+        if goes_on:
+            h[:1] = held + h[:1] * np.uint64(pow(_BASE, width, 1 << 64))
+        elif width:
+            h = np.concatenate([held, h])
+        if len(end) and end[-1] == len(part) and stop < len(data):
+            width = (width if goes_on and len(begin) == 1 else 0) + int(end[-1] - begin[-1])
+            held, h = h[-1:], h[:-1]
+        else:
+            width = 0
+        found.append(h)
+    h = np.concatenate(found + [held] * bool(width)) if found else np.zeros(0, np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_FACTOR)
+    return h ^ (h >> np.uint64(29))
 
 
 def _set(h: np.ndarray) -> np.ndarray:

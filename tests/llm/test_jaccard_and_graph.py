@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from skein.llm import graph, jaccard_join
@@ -87,3 +88,19 @@ def test_components(spark):
     for a, b in links:
         assert a == b or got[a] == got[b] <= min(a, b)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_word_of_any_length_is_one_word(spark):
+    big = 1 << 18
+    for size in (big - 1, big, big + 1, 300_000, 600_000, 2 * big):
+        for text in ("x" * size, "a b c d " + "x" * size + " e f", "x" * size + " " + "x" * size, " " * 7 + "y" * size + "\n", "a b " + "x" * (size - 4) + " c d e f"):
+            words = text.split()
+            hashes = jaccard_join._word_hashes(np.frombuffer(text.encode(), np.uint8))
+            assert len(hashes) == len(words)
+            assert [h == hashes[0] for h in hashes] == [w == words[0] for w in words]
+            alone = [jaccard_join._word_hashes(np.frombuffer(w.encode(), np.uint8))[0] for w in words]
+            assert alone == hashes.tolist()
+    other = jaccard_join._word_hashes(np.frombuffer(("x" * 299_999 + "y").encode(), np.uint8))
+    assert other[0] != jaccard_join._word_hashes(np.frombuffer(b"x" * 300_000, np.uint8))[0]
+    df = spark.createDataFrame([(1, "a b c d " + "x" * 300_000 + " e f"), (2, "A b c d " + "X" * 300_000 + " e f"), (3, "q " * 4 + "x" * 600_000)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.report(df).select("doc_id", "n_shingles", "component_id").collect())) == [(1, 3, 1), (2, 3, 1), (3, 1, 3)]
