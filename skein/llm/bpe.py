@@ -35,7 +35,7 @@ from skein.llm.tokens import CALL, WordEncoder, _Known, chunks, load, tokenizer_
 NONE = np.int64(1) << 62
 _PLACE = (1 << 32) - 1
 #: Bytes of text of which each different piece is encoded once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Symbols from which a word gets a tree of its own.
 ALONE = 512
 #: Ids below which pairs have a table of their own.
