@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.storage import shared_path
-from skein.operators import joins
+from skein.operators import dated_index, joins
+from skein.plans.derived import SPORTS, pick, picked
 from skein.plans.registry import Tables, query
-from skein.streaming import feeds
+from skein.sources.pages import land_pages, read_pages, sport_counts, stream_pages
+from skein.streaming import feeds, state, upsert
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -28,39 +31,11 @@ def T01_channel_demux(t: Tables) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
-def T02_latest_values(t: Tables) -> DataFrame:
-    f = lambda k: F.when(F.col("event_type") == k, F.col("value")).alias(k)
-    return feeds.latest_values(t.events.select("user_id", "event_id", f("click"), f("view")), "user_id", "event_id", ["click", "view"])
-
-
-@query("SELECT m, user_id, arg_max(value, event_id) AS value FROM (SELECT *, event_id // 1000 AS m FROM events) GROUP BY ALL")
-def T03_last_write_wins(t: Tables) -> DataFrame:
-    e = t.events.withColumn("m", F.floor(F.col("event_id") / 1000))
-    return e.groupBy("m", "user_id").agg(F.max_by("value", "event_id").alias("value"))
-
-
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type")
-def T04_changed_only(t: Tables) -> DataFrame:
-    return feeds.changed_only(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", ["event_type"])
-
-
-@query("SELECT event_id, c_custkey FROM events JOIN customer ON c_nationkey = user_id")
-def T06_fan_out(t: Tables) -> DataFrame:
-    subs = t.customer.select(F.col("c_nationkey").cast("long").alias("user_id"), "c_custkey")
-    return feeds.fan_out(t.events, subs, "user_id").select("event_id", "c_custkey")
-
-
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) AS BIGINT) AS n FROM events GROUP BY user_id HAVING sum(CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) > 0")
 def T07_reference_counts(t: Tables) -> DataFrame:
     return feeds.reference_counts(t.events, "user_id", F.when(F.col("event_type").isin("signup", "view"), 1).otherwise(-1))
 
 
-@query("SELECT event_id, value > lag(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS running FROM events")
-def T09_clock_running(t: Tables) -> DataFrame:
-    return feeds.clock_running(t.events, ["user_id", "event_type"], "event_id", "event_id", "value").select("event_id", "running")
-
-
 @query("SELECT event_id, last_value(CASE WHEN value > 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS period FROM events")
 def T10_sticky_period(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("period"))
@@ -74,11 +49,6 @@ def T11_sticky_sessions(t: Tables) -> DataFrame:
     return feeds.sessions(t.events, "user_id", "ts", "3 hours")
 
 
-@query("SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-29'")
-def T13_stale_eviction(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max("ts").alias("seen")).filter(F.col("seen") >= F.lit("2024-01-29").cast("timestamp_ntz"))
-
-
 @query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id FROM events GROUP BY ALL")
 def T22_arrival_order_wins(t: Tables) -> DataFrame:
     return feeds.last_write_wins(t.events.select("user_id", "event_type", "event_id").withColumn("k", F.concat_ws("|", F.col("user_id").cast("string"), "event_type")), "k", "event_id").drop("k")
@@ -94,22 +64,214 @@ def T25_event_ring(t: Tables) -> DataFrame:
     return feeds.ring(t.events.select("user_id", "event_id"), "user_id", "event_id", 5)
 
 
-@query("SELECT user_id, event_type, arg_min(value, event_id) AS first_value FROM events WHERE value IS NOT NULL GROUP BY ALL")
-def T26_first_value_state(t: Tables) -> DataFrame:
-    return t.events.filter("value is not null").groupBy("user_id", "event_type").agg(F.min_by("value", "event_id").alias("first_value"))
-
-
 @query("SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY event_type")
 def T14_streamed_counts(t: Tables) -> DataFrame:
     return _run(t, _stream(t).groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most")), "complete")
 
 
-@query("SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+# ---- keyed state: events land in three parts of the month, and the stream starts anew for each
+
+TICKS = 3
+TICKED = "e AS (SELECT *, day(ts) // 11 AS m FROM events)"
+PATCHED = f"""{TICKED}, p AS (
+  SELECT m, user_id, last_value(click IGNORE NULLS) OVER w AS click, last_value("view" IGNORE NULLS) OVER w AS "view" FROM (
+    SELECT m, user_id, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS "view" FROM e GROUP BY m, user_id)
+  WINDOW w AS (PARTITION BY user_id ORDER BY m ROWS UNBOUNDED PRECEDING))"""
+
+
+def _ticked(t: Tables) -> DataFrame:
+    return t.events.withColumn("m", F.floor(F.dayofmonth("ts") / 11))
+
+
+def _patches(t: Tables, changed_only: bool) -> DataFrame:
+    f = lambda k: F.when(F.col("event_type") == k, F.col("value")).alias(k)
+    rows = _ticked(t).select("user_id", "event_id", "m", f("click"), f("view"))
+    out = state.replayed(rows, "m", TICKS, lambda s: state.patched(s, ["user_id"], "event_id", ["click", "view"], changed_only), "update")
+    return out.withColumnRenamed("batch", "m")
+
+
+@query(f'WITH {PATCHED} SELECT m, user_id, click, "view" FROM p')
+def T02_latest_values(t: Tables) -> DataFrame:
+    return _patches(t, False)
+
+
+@query(f"""WITH {PATCHED}, q AS (SELECT *, lag(row(click, "view")) OVER (PARTITION BY user_id ORDER BY m) AS was, row_number() OVER (PARTITION BY user_id ORDER BY m) AS n FROM p)
+  SELECT m, user_id, click, "view" FROM q WHERE n = 1 OR was IS DISTINCT FROM row(click, "view")""")
+def T04_changed_only(t: Tables) -> DataFrame:
+    return _patches(t, True)
+
+
+@query(f"""WITH {TICKED}, l AS (SELECT m, user_id, arg_max(row(value, CASE WHEN event_id % 2 = 0 THEN event_id END), event_id) AS r FROM e GROUP BY m, user_id)
+  SELECT m, user_id, r[1] AS value, coalesce(CAST(r[2] AS DOUBLE), c_acctbal) AS volume FROM l LEFT JOIN customer ON c_custkey = user_id""")
+def T03_last_write_wins(t: Tables) -> DataFrame:
+    """Each batch is compacted to a row a key and gets the volumes it lacks from a static table."""
+    known = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("known"))
+
+    def flushed(batch: DataFrame, _: int) -> DataFrame:
+        last = feeds.last_write_wins(batch, "user_id", "event_id").join(known, "user_id", "left")
+        return last.select("user_id", "value", F.coalesce(F.col("volume").cast("double"), "known").alias("volume"))
+
+    rows = _ticked(t).select("user_id", "event_id", "m", "value", F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("volume"))
+    return state.replayed(rows, "m", TICKS, lambda s: s, "append", flushed).withColumnRenamed("batch", "m")
+
+
+ROOM, DRAINED = state.QUEUE, 200
+
+
+@query(f"""WITH {TICKED}, s AS (SELECT DISTINCT c_custkey % 150 AS user_id, c_nationkey AS subscriber FROM customer),
+  x AS (SELECT subscriber, m, event_id, row_number() OVER (PARTITION BY subscriber, m ORDER BY event_id) AS k FROM e JOIN s USING (user_id)),
+  n AS (SELECT subscriber, count(*) FILTER (m = 0) AS n0, count(*) FILTER (m = 1) AS n1, count(*) FILTER (m = 2) AS n2 FROM x GROUP BY subscriber),
+  q0 AS (SELECT *, least(n0, {ROOM}) AS s0, greatest(0, least(n0, {ROOM}) - {DRAINED}) AS w0 FROM n),
+  q1 AS (SELECT *, least(n1, {ROOM} - w0) AS s1, greatest(0, w0 + least(n1, {ROOM} - w0) - {DRAINED}) AS w1 FROM q0),
+  q2 AS (SELECT *, least(n2, {ROOM} - w1) AS s2, greatest(0, w1 + least(n2, {ROOM} - w1) - {DRAINED}) AS w2 FROM q1),
+  c AS (SELECT subscriber, 0 AS tick, n0 AS n, s0 AS s, w0 AS w FROM q2 UNION ALL SELECT subscriber, 1, n1, s1, w1 FROM q2 UNION ALL SELECT subscriber, 2, n2, s2, w2 FROM q2)
+  SELECT c.subscriber, c.tick, x.event_id AS seq, NULL AS sent, NULL AS dropped, NULL AS waiting FROM x JOIN c ON c.subscriber = x.subscriber AND c.tick = x.m WHERE x.k <= c.s
+  UNION ALL SELECT subscriber, tick, NULL, s, n - s, w FROM c WHERE n > 0""")
+def T06_fan_out(t: Tables) -> DataFrame:
+    """Subscribers' queues of 500, of which 200 messages leave in a tick: what enters, and what is dropped."""
+    subs = t.customer.select((F.col("c_custkey") % 150).alias("user_id"), F.col("c_nationkey").alias("subscriber")).distinct()
+    rows = _ticked(t).select("user_id", F.col("event_id").alias("seq"), F.col("m").alias("tick"))
+    return state.replayed(rows, "tick", TICKS, lambda s: state.fan_out_queues(s, subs, "user_id", DRAINED)).drop("batch")
+
+
+CLOCKED = f"""o AS (SELECT event_id, user_id, {picked('user_id', SPORTS)} AS sport, CASE WHEN event_type = 'signup' THEN 'pre' ELSE 'in' END AS state, event_id // 4000 AS period,
+  CASE WHEN event_id % 13 <> 0 THEN CAST(floor(value) AS BIGINT) * 60 END AS seconds, event_id * 20000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 2 = 0 THEN event_id // 5000 ELSE 0 END AS poll FROM events),
+  w AS (SELECT *, lag(row(poll, state, period, seconds, ms)) OVER (PARTITION BY user_id ORDER BY poll, event_id) AS was FROM o)"""
+
+
+@query(f"""WITH {CLOCKED} SELECT event_id, CASE WHEN state <> 'in' THEN false
+    WHEN was IS NULL OR was[2] <> 'in' OR was[1] <> poll - 1 OR was[3] <> period OR was[4] IS NULL OR seconds IS NULL THEN true
+    WHEN sport = 'Soccer' THEN seconds > was[4] ELSE (was[4] - seconds) * 1000 >= 0.7 * (ms - was[5]) END AS running FROM w""")
+def T09_clock_running(t: Tables) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t.events.select(
+        "event_id", "user_id", pick("user_id", SPORTS).alias("sport"), F.when(F.col("event_type") == "signup", "pre").otherwise("in").alias("state"), F.floor(F.col("event_id") / 4000).alias("period"),
+        F.when(F.col("event_id") % 13 != 0, F.floor("value") * 60).alias("seconds"), (F.col("event_id") * 20_000).alias("at"), (first + F.when(F.col("event_id") % 2 == 0, F.floor(F.col("event_id") / 5000)).otherwise(0)).alias("poll"),
+    )
+    return feeds.clock_running(rows, ["user_id"], "poll").select("event_id", "running")
+
+
+GONE_AFTER = 2 * 86_400
+
+
+@query(f"""WITH {TICKED}, g AS (SELECT m, max(max(epoch_ms(ts))) OVER (ORDER BY m) AS now FROM e GROUP BY m),
+  s AS (SELECT user_id, m, max(ts) AS last, lead(m, 1, 99) OVER (PARTITION BY user_id ORDER BY m) AS next FROM e WHERE event_type <> 'error' GROUP BY user_id, m),
+  k AS (SELECT user_id, last, min(g.m) AS k FROM s JOIN g ON g.m >= s.m AND g.m < s.next AND g.now > epoch_ms(last) + {GONE_AFTER * 1000} GROUP BY user_id, last),
+  b AS (SELECT *, lag(k, 1, -1) OVER (PARTITION BY user_id ORDER BY k) AS before FROM k),
+  d AS (SELECT b.user_id, b.last, 'p' || CAST(floor(value) AS BIGINT) % 3 AS part, arg_min(value, ts) AS value FROM b JOIN e ON e.user_id = b.user_id AND event_type = 'error' AND m > before AND m <= k GROUP BY ALL)
+  SELECT user_id AS game, NULL AS part, last AS last_seen, NULL AS value FROM b UNION ALL SELECT user_id, part, last, value FROM d""")
+def T13_stale_eviction(t: Tables) -> DataFrame:
+    """Games that event time left behind go, and all that hangs on them."""
+    part = F.when(F.col("event_type") == "error", F.concat(F.lit("p"), (F.floor("value") % 3).cast("string")))
+    rows = _ticked(t).select(F.col("user_id").alias("game"), F.col("ts").cast("timestamp").alias("ts"), part.alias("part"), "value", "m")
+    return state.replayed(rows, "m", TICKS, lambda s: state.evicted(s, GONE_AFTER)).select("game", "part", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "value")
+
+
+@query(f"WITH {TICKED} SELECT user_id, event_type, arg_min(value, event_id) AS first_value, min(m) AS m FROM e WHERE event_id % 3 <> 0 GROUP BY user_id, event_type")
+def T26_first_value_state(t: Tables) -> DataFrame:
+    rows = _ticked(t).select("user_id", "event_type", "event_id", "m", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("first_value"))
+    return state.replayed(rows, "m", TICKS, lambda s: state.first_values(s, ["user_id", "event_type"], "event_id", "first_value")).withColumnRenamed("batch", "m")
+
+
+# ---- streaming upserts
+
+GATE = 12 * 86_400
+_LAST = f"""{TICKED}, n AS (SELECT m, max(ts) AS now FROM e GROUP BY m), r AS (SELECT m, user_id, arg_max(event_type, event_id) AS kind FROM e GROUP BY m, user_id),
+  t0 AS (SELECT r.user_id, kind, now AS seen, now AS changed, 'insert' AS action FROM r JOIN n USING (m) WHERE m = 0)"""
+_NEXT = """t{m} AS (SELECT coalesce(r.user_id, t.user_id) AS user_id, coalesce(r.kind, t.kind) AS kind,
+    CASE WHEN r.user_id IS NULL THEN 'kept' WHEN t.user_id IS NULL THEN 'insert' WHEN t.kind <> r.kind THEN 'update' WHEN epoch_us(t.seen) < epoch_us(now) - {gate} THEN 'bumped' ELSE 'unchanged' END AS action,
+    CASE WHEN r.user_id IS NULL THEN t.seen WHEN t.user_id IS NULL OR t.kind <> r.kind OR epoch_us(t.seen) < epoch_us(now) - {gate} THEN now ELSE t.seen END AS seen,
+    CASE WHEN t.user_id IS NULL OR t.kind <> r.kind THEN now ELSE t.changed END AS changed
+  FROM t{b} t FULL JOIN (SELECT * FROM r WHERE m = {m}) r ON r.user_id = t.user_id, (SELECT now FROM n WHERE m = {m}))"""
+UPSERTED = ", ".join([_LAST, *(_NEXT.format(m=m, b=m - 1, gate=GATE * 1_000_000) for m in (1, 2))])
+
+
+def _ingested(t: Tables) -> upsert.KeyedStore:
+    """Three passes of the feed into a keyed table; the third one runs twice, as after a lost driver."""
+    store = upsert.KeyedStore(t.spark, {"users": upsert.Table(["user_id"], "user_id long, kind string, seen timestamp, changed timestamp, digest string")}, buckets=8)
+
+    def passed(batch: DataFrame, number: int) -> DataFrame:
+        now = batch.agg(F.max("ts")).first()[0]
+        rows = batch.select("user_id", F.col("event_type").alias("kind"), "event_id")
+        for _ in range(2 if number == 2 else 1):
+            counts = store.upsert(number, now, {"users": upsert.Incoming(rows, ["kind"], "event_id")}, bump_after=GATE)
+        return counts
+
+    state.replayed(_ticked(t).withColumn("ts", F.col("ts").cast("timestamp")), "m", TICKS, lambda s: s, "append", passed)
+    return store
+
+
+@query(f"WITH {UPSERTED} SELECT user_id, kind, seen, changed FROM t2")
 def T15_streamed_latest(t: Tables) -> DataFrame:
-    return _run(t, _stream(t).groupBy("user_id").agg(F.max_by("value", "event_id").alias("value")), "complete")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return _ingested(t).read("users").select("user_id", "kind", ntz("seen"), ntz("changed"))
+
+
+@query(f"""WITH {UPSERTED}, c AS (SELECT 0 AS batch, action FROM t0 UNION ALL SELECT 1, action FROM t1 UNION ALL SELECT 2, action FROM t2)
+  SELECT batch, action, count(*) AS n FROM c WHERE action <> 'kept' GROUP BY ALL""")
+def T16_freshness_bump(t: Tables) -> DataFrame:
+    """Rows that did not change are written only where they were last seen too long ago."""
+    return _ingested(t).history().select("batch", "action", "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def T16_streamed_windows(t: Tables) -> DataFrame:
     out = _run(t, feeds.windowed(_stream(t), "ts", "1 hour", None, "event_type"), "complete")
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("""WITH b AS (SELECT 0 AS b UNION ALL SELECT 1), o AS (
+    SELECT o_orderkey AS game, l_linenumber AS outcome, b, CASE WHEN b = 1 AND o_orderkey % 5 = 0 THEN 'NEW' ELSE o_orderstatus END AS status, most + CASE WHEN b = 1 AND l_linenumber = 2 THEN 1 ELSE 0 END AS price
+    FROM orders JOIN (SELECT l_orderkey, l_linenumber, max(l_quantity) AS most FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey, b WHERE CASE b WHEN 0 THEN o_orderkey % 3 <> 0 ELSE o_orderkey % 2 = 0 END)
+  SELECT game, outcome, arg_max(status, b) AS status, arg_max(price, b) AS price FROM o GROUP BY game, outcome""")
+def K03_event_and_outcomes(t: Tables) -> DataFrame:
+    """Events with nested outcomes go into two tables, whose new versions count from one moment on."""
+    line = F.struct(F.col("l_linenumber").alias("outcome"), F.col("l_quantity").alias("price"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("outcomes"))
+    records = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("game"), F.col("o_orderstatus").alias("status"), "outcomes")
+    raised = F.transform("outcomes", lambda x: F.struct(x["outcome"].alias("outcome"), (x["price"] + F.when(x["outcome"] == 2, 1).otherwise(0)).alias("price")))
+    later = records.filter("game % 2 = 0").select("game", F.when(F.col("game") % 5 == 0, "NEW").otherwise(F.col("status")).alias("status"), raised.alias("outcomes"))
+    store = upsert.events_and_outcomes(t.spark, "status string", "outcome int, price double")
+    now = datetime.datetime(2026, 1, 1)
+    for number, batch in enumerate((records.filter("game % 3 <> 0"), later)):
+        upsert.upsert_events(store, number, now, batch, ["status"], ["outcome"], ["price"])
+    return store.read("outcomes").select("game", "outcome", "price").join(store.read("events").select("game", "status"), "game")
+
+
+# ---- pages and dated buckets
+
+NAMED = "CASE event_type WHEN 'click' THEN 'Ice hockey' WHEN 'error' THEN '' WHEN 'view' THEN 'golf' ELSE event_type END"
+
+
+def _paged(t: Tables, folder: str, pages: Column | None = None) -> str:
+    rows = t.events.select("event_id", F.expr(NAMED).alias("sport"), (F.floor(F.col("event_id") / 50) + 1).cast("int").alias("page"))
+    return land_pages(rows if pages is None else rows.filter(pages), "page", folder)
+
+
+@query(f"SELECT replace(upper({NAMED}), ' ', '_') AS sport, count(*) AS n FROM events WHERE event_id < 5000 AND event_type <> 'error' GROUP BY 1")
+def S26_paginated_counts(t: Tables) -> DataFrame:
+    """Pages of 50 events, a hundred of them at most, counted by sport."""
+    return sport_counts(read_pages(t.spark, _paged(t, shared_path(t.spark, "feed")), tries=1))
+
+
+@query(f"SELECT event_id, {NAMED} AS sport, event_id // 50 + 1 AS page FROM events WHERE event_id < 1500")
+def S11_page_stream(t: Tables) -> DataFrame:
+    """Pages come while a stream reads them; it is started anew for those that came since."""
+    folder, checkpoint, out = (shared_path(t.spark, x) for x in ("feed", "offsets", "events"))
+    for pages in (F.col("page") <= 12, (F.col("page") > 12) & (F.col("page") <= 30)):
+        template = _paged(t, folder, pages)
+
+        def written(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        stream_pages(t.spark, template, tries=1).writeStream.foreachBatch(written).option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination()
+    found = t.spark.read.schema("page int, place int, event string").parquet(f"{out}/batch=*")
+    return found.select(F.get_json_object("event", "$.event_id").cast("long").alias("event_id"), F.get_json_object("event", "$.sport").alias("sport"), "page")
+
+
+@query("SELECT v.event_id AS record, c.event_id AS probe FROM events v JOIN events c ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND abs(epoch_us(v.ts) // 1000000 - epoch_us(c.ts) // 1000000) <= 7200")
+def J24_dated_index(t: Tables) -> DataFrame:
+    """Records in buckets by key and day, joined with intervals without moving them."""
+    of = lambda kind, name, at: t.events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.unix_seconds(F.col("ts").cast("timestamp")).alias(at))
+    index = dated_index.build(of("view", "record", "seconds"), "user_id", "seconds", 8)
+    return dated_index.within(index, of("click", "probe", "at"), "user_id", "seconds", "at", 7200).select("record", "probe")

@@ -40,10 +40,21 @@ def changed_only(rows: DataFrame, key: str, seq: str, fields: list[str]) -> Data
     return rows.withColumn("_was", F.lag(state).over(w)).filter(~F.col("_was").eqNullSafe(state)).drop("_was")
 
 
-def clock_running(rows: DataFrame, keys: list[str], seq: str, at: str, clock: str) -> DataFrame:
-    """Whether the clock moved since the key's previous row (null on the first)."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    return rows.withColumn("running", F.col(clock) > F.lag(clock).over(w)).withColumn("elapsed", F.col(at) - F.lag(at).over(w))
+def clock_running(rows: DataFrame, keys: list[str], poll: str) -> DataFrame:
+    """``running``, by comparing a game's clock with that of the poll just before.
+
+    rows: ``keys``, ``poll``, sport, state, period, seconds (of the clock) and at (milliseconds).  A game that is not
+    in play does not run; one without an earlier observation in play and in this period does, and so does one
+    whose clock can't be read.  Soccer's clock must have increased; others count down, by 70 % of the time that
+    went by at least, or at all where none did.
+    """
+    w = Window.partitionBy(*keys).orderBy(poll)
+    was = F.lag(F.struct(poll, "state", "period", "seconds", "at")).over(w)
+    known = (F.col("_was.state") == "in") & (F.col(f"_was.{poll}") == F.col(poll) - 1) & F.col("_was.period").eqNullSafe(F.col("period"))
+    diff, passed = F.col("seconds") - F.col("_was.seconds"), F.greatest(F.lit(0), F.col("at") - F.col("_was.at"))
+    counted = F.when(F.col("sport") == "Soccer", diff > 0).when(passed > 0, -diff * 10_000 >= passed * 7).otherwise(diff < 0)
+    running = F.when(~(F.col("state") == "in"), False).when(F.coalesce(known, F.lit(False)) & diff.isNotNull(), counted).otherwise(True)
+    return rows.withColumn("_was", was).withColumn("running", F.coalesce(running, F.lit(False))).drop("_was")
 
 
 def sticky(rows: DataFrame, key: str, seq: str, field: str) -> DataFrame:
@@ -62,11 +73,6 @@ def reference_counts(rows: DataFrame, key: str, delta: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(delta).alias("n")).filter("n > 0")
 
 
-def fan_out(updates: DataFrame, subscriptions: DataFrame, key: str) -> DataFrame:
-    """A row for each subscriber of an update's key."""
-    return updates.join(subscriptions, key)
-
-
 def ring(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:
     """The last ``n`` rows of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(seq).desc()))).filter(F.col("_n") <= n).drop("_n")
