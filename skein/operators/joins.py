@@ -101,8 +101,12 @@ def similarity_policy(scored: DataFrame, record: str, candidate: str, score: str
     return found.select(record, F.when(sole, "match").otherwise("collision").alias("state"), F.when(sole, F.get(ids, F.lit(0))).alias("target"), "score", F.col("n").alias("n_above"), ids.alias("ids"))
 
 
+#: Rows of one list that meet in a task; longer lists are dealt over several.
+LIST = 2000
+
+
 def rare_first(df: DataFrame, id_: str, tokens: str, group: list[str] | None = None, common: DataFrame | None = None) -> DataFrame:
-    """id, group, tokens: each row's distinct tokens, those first that the fewest rows of the group have (of equal ones the smaller).
+    """id, group, tokens, lists: each row's distinct tokens, those first that the fewest rows of the group have (of equal ones the smaller), and those numbers of rows.
 
     A row's own tokens are all that is gathered.  ``common``: counts (group, token, n) to rank
     by, where two tables must agree on one order.
@@ -111,7 +115,7 @@ def rare_first(df: DataFrame, id_: str, tokens: str, group: list[str] | None = N
     each = df.select(id_, *group, F.explode(F.array_distinct(tokens)).alias("token"))
     counts = common if common is not None else token_counts(df, tokens, group)
     ranked = each.join(counts, [*group, "token"]).groupBy(id_, *group).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
-    return ranked.select(id_, *group, F.col("r.token").alias("tokens"))
+    return ranked.select(id_, *group, F.col("r.token").alias("tokens"), F.col("r.n").alias("lists"))
 
 
 def token_counts(df: DataFrame, tokens: str, group: list[str] | None = None) -> DataFrame:
@@ -120,9 +124,10 @@ def token_counts(df: DataFrame, tokens: str, group: list[str] | None = None) ->
 
 
 def _prefix(ranked: DataFrame, length: Column) -> DataFrame:
-    """The first ``length`` (a Column of n, the number of tokens) tokens of each row, a row each."""
-    kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.least(F.size("tokens"), length)).cast("int"))
-    return ranked.withColumn("n", F.size("tokens")).withColumn("token", F.explode(kept))
+    """The first ``length`` (a Column of n, the number of tokens) tokens of each row, a row each, with the length of the token's ``list``."""
+    first = lambda c: F.slice(c, F.lit(1), F.greatest(F.lit(1), F.least(F.size("tokens"), length)).cast("int"))
+    kept = F.arrays_zip(first("tokens").alias("token"), first("lists").alias("list"))
+    return ranked.withColumn("n", F.size("tokens")).select("*", F.inline(kept))
 
 
 def _at_least(share: float) -> Column:
@@ -130,17 +135,37 @@ def _at_least(share: float) -> Column:
     return F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], limit: int = LIST) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, of which both have the length of the key's ``list``.
+
+    The left rows of a list longer than ``limit`` are dealt over parts, each of which gets the right ones,
+    so a hot key is the work of many tasks.
+    """
+    parts = F.ceil(F.col("list") / limit).cast("long")
+    l = left.withColumn("_part", F.pmod(F.xxhash64(*[c for c in left.columns if c not in (*keys, "list")]), parts)).drop("list")  # noqa: E741
+    r = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("list")
+    return l.join(r, [*keys, "_part"]).drop("_part")
+
+
+def same_sets(df: DataFrame, id_: str, tokens: str, group: list[str] | None = None) -> DataFrame:
+    """id, group, tokens, class: rows with equal sets (none empty) are a class, named by its smallest id."""
+    group = group or []
+    sets = df.select(id_, *group, F.array_sort(F.array_distinct(tokens)).alias("tokens")).filter(F.size("tokens") > 0)
+    return sets.join(sets.groupBy(*group, "tokens").agg(F.min(id_).alias("class")), [*group, "tokens"])
+
+
 def jaccard_pairs(df: DataFrame, id_: str, tokens: str, threshold: float, group: list[str] | None = None) -> DataFrame:
     """A < b, shared, n_a, n_b of rows of one group whose tokens' Jaccard similarity reaches the threshold.
 
     Rows meet in the lists of their rarest tokens alone (as many as the threshold makes
     necessary), so a token that most rows have forms no pairs; overlaps are counted for the rest.
+    Equal rows are all paired: where there may be many, take ``jaccard_classes``.
     """
     group = group or []
     ranked = rare_first(df, id_, tokens, group)
     sets = ranked.select(id_, "tokens")
-    p = _prefix(ranked.withColumn("n", F.size("tokens")), _at_least(threshold)).select(F.col(id_).alias("a"), *group, "token", "n")
-    met = p.join(p.select(F.col("a").alias("b"), *group, "token", F.col("n").alias("m")), [*group, "token"])
+    p = _prefix(ranked.withColumn("n", F.size("tokens")), _at_least(threshold)).select(F.col(id_).alias("a"), *group, "token", "n", "list")
+    met = dealt(p, p.select(F.col("a").alias("b"), *group, "token", F.col("n").alias("m"), "list"), [*group, "token"])
     pairs = met.filter((F.col("a") < F.col("b")) & (F.col("n") * threshold <= F.col("m")) & (F.col("m") * threshold <= F.col("n"))).select("a", "b").distinct()
     side = lambda s: sets.select(F.col(id_).alias(s), F.col("tokens").alias(f"t_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -148,37 +173,61 @@ def jaccard_pairs(df: DataFrame, id_: str, tokens: str, threshold: float, group:
     return counted.filter(F.col("shared") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
+def jaccard_classes(df: DataFrame, id_: str, tokens: str, threshold: float, group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """J50 without expanding copies: members (id, class, size, n_links) and pairs of classes (as of ``jaccard_pairs``).
+
+    Rows of one group with equal sets are a class, handled once; n_links are the rows other than itself that
+    a row links with, its copies included.
+    """
+    group = group or []
+    members = same_sets(df, id_, tokens, group)
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+    pairs = jaccard_pairs(members.filter(F.col(id_) == F.col("class")).select("class", *group, "tokens").dropDuplicates(["class"]), "class", "tokens", threshold, group)
+    side = lambda x, y: pairs.select(F.col(x).alias("class"), F.col(y).alias("other"))
+    linked = side("a", "b").unionByName(side("b", "a")).join(sizes.select(F.col("class").alias("other"), "size"), "other").groupBy("class").agg(F.sum("size").alias("linked"))
+    found = members.select(id_, "class").join(sizes, "class").join(linked, "class", "left")
+    return found.select(id_, "class", "size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), pairs
+
+
 def subset_pairs(df: DataFrame, id_: str, tokens: str, group: list[str] | None = None) -> DataFrame:
     """A < b, narrower, broader of rows of one group of which one's tokens are a part of the other's, not all.
 
     All of the narrower row's tokens must be in the broader one, so it is looked up by its
-    rarest token alone.
+    rarest token alone; ids meet, and tokens are joined to the pairs.
     """
     group = group or []
     ranked = rare_first(df, id_, tokens, group)
-    small = ranked.select(F.col(id_).alias("narrower"), *group, F.get("tokens", F.lit(0)).alias("token"), F.col("tokens").alias("few"))
-    large = ranked.select(F.col(id_).alias("broader"), *group, F.explode("tokens").alias("token"), F.col("tokens").alias("many"))
-    met = small.join(large, [*group, "token"]).filter((F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0))
-    return met.select(F.least("narrower", "broader").alias("a"), F.greatest("narrower", "broader").alias("b"), "narrower", "broader")
+    each = _prefix(ranked, F.size("tokens")).select(F.col(id_).alias("broader"), *group, "token", "list", F.col("n").alias("m"))
+    small = _prefix(ranked, F.lit(1)).select(F.col(id_).alias("narrower"), *group, "token", "list", "n")
+    met = dealt(small, each, [*group, "token"]).filter("n < m").select("narrower", "broader")
+    side = lambda s, t: ranked.select(F.col(id_).alias(s), F.col("tokens").alias(t))
+    both = met.join(side("narrower", "few"), "narrower").join(side("broader", "many"), "broader").filter(F.size(F.array_except("few", "many")) == 0)
+    return both.select(F.least("narrower", "broader").alias("a"), F.greatest("narrower", "broader").alias("b"), "narrower", "broader")
 
 
 def trigram_top(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: float, n: int, group: list[str] | None = None) -> DataFrame:
     """The ``n`` most similar right rows (of the same group) for each left one by trigram similarity, from ``least`` on.
 
-    Pairs meet in the lists of those trigrams, the rarest ones of the right side first, of which
-    one must be common at that similarity.
+    Each different text is compared once.  Texts meet in the lists of those trigrams, the rarest ones of the
+    right side first, of which one must be common at that similarity, if their numbers of trigrams allow it.
+    Of a right text's rows the ``n`` smallest can be among the best.
     """
     group = group or []
-    side = lambda d, i, t, p: d.select(F.col(i).alias(f"{p}id"), *group, trigrams(F.col(t)).alias("grams"))
-    l, r = side(left, left_id, left_text, "l"), side(right, right_id, right_text, "r")  # noqa: E741
+    rows = lambda d, i, t, p: d.select(F.col(i).alias(f"{p}id"), *group, F.col(t).alias(f"{p}text"))
+    left_rows, right_rows = rows(left, left_id, left_text, "l"), top(rows(right, right_id, right_text, "r"), [*group, "rtext"], n, F.col("rid")).drop("rank")
+    side = lambda d, p: d.select(*group, f"{p}text").distinct().select(F.xxhash64(*group, f"{p}text").alias(f"{p}key"), "*", trigrams(F.col(f"{p}text")).alias("grams"))
+    l, r = side(left_rows, "l"), side(right_rows, "r")  # noqa: E741
     counts = token_counts(l.select(*group, "grams").unionByName(r.select(*group, "grams")), "grams", group)
-    rl, rr = rare_first(l, "lid", "grams", group, counts), rare_first(r, "rid", "grams", group, counts)
-    first = lambda d, i: _prefix(d.withColumn("n", F.size("tokens")), _at_least(least)).select(i, *group, "token")
-    pairs = first(rl, "lid").join(first(rr, "rid"), [*group, "token"]).select("lid", "rid").distinct()
-    both = pairs.join(rl.select("lid", F.col("tokens").alias("x")), "lid").join(rr.select("rid", F.col("tokens").alias("y")), "rid")
+    rl, rr = rare_first(l, "lkey", "grams", group, counts), rare_first(r, "rkey", "grams", group, counts)
+    first = lambda d, i: _prefix(d.withColumn("n", F.size("tokens")), _at_least(least)).select(i, *group, "token", "list", F.col("n").alias(f"{i}_n"))
+    met = dealt(first(rl, "lkey"), first(rr, "rkey"), [*group, "token"])
+    pairs = met.filter((F.col("lkey_n") * least <= F.col("rkey_n")) & (F.col("rkey_n") * least <= F.col("lkey_n"))).select("lkey", "rkey").distinct()
+    both = pairs.join(rl.select("lkey", F.col("tokens").alias("x")), "lkey").join(rr.select("rkey", F.col("tokens").alias("y")), "rkey")
     o = F.size(F.array_intersect("x", "y"))
-    scored = both.select("lid", "rid", (o / (F.size("x") + F.size("y") - o)).alias("score")).filter(F.col("score") >= least)
-    return top(scored, ["lid"], n, F.col("score").desc(), F.col("rid"))
+    scored = both.select("lkey", "rkey", (o / (F.size("x") + F.size("y") - o)).alias("score")).filter(F.col("score") >= least)
+    named = scored.join(r.select("rkey", *group, "rtext"), "rkey").join(right_rows, [*group, "rtext"]).select("lkey", "rid", "score")
+    best = top(named, ["lkey"], n, F.col("score").desc(), F.col("rid"))
+    return best.join(l.select("lkey", *group, "ltext"), "lkey").join(left_rows, [*group, "ltext"]).select("lid", "rid", "score", "rank")
 
 
 def collision_pairs(members: DataFrame, group: str, member: str, least: int, small: int = 1000) -> DataFrame:

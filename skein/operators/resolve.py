@@ -143,7 +143,7 @@ def _pairs_by_bigrams(n: DataFrame, c: DataFrame, threshold: float) -> DataFrame
     one bigram more than that, the rarest ones of the teams first, has a common one; lengths differ by
     t / (2 - t) at most.
     """
-    from skein.operators.joins import _prefix, rare_first, token_counts
+    from skein.operators.joins import _prefix, dealt, rare_first, token_counts
 
     lost = 4 * (1 - threshold) / (2 - threshold)
     side = lambda d: d.select("id", "sport", F.length("s").alias("len"), _bigrams(F.col("s")).alias("g"))
@@ -152,11 +152,11 @@ def _pairs_by_bigrams(n: DataFrame, c: DataFrame, threshold: float) -> DataFrame
 
     def first(d: DataFrame) -> DataFrame:
         ranked = rare_first(d, "id", "g", ["sport"], counts).join(d.select("id", "len"), "id")
-        return _prefix(ranked, F.floor(F.col("len") * lost + 1e-9) + 1).select("id", "sport", "len", "token")
+        return _prefix(ranked, F.floor(F.col("len") * lost + 1e-9) + 1).select("id", "sport", "len", "token", "list")
 
-    x, y = first(a), first(b).select(F.col("id").alias("team_id"), "sport", F.col("len").alias("m"), "token")
+    x, y = first(a), first(b).select(F.col("id").alias("team_id"), "sport", F.col("len").alias("m"), "token", "list")
     near = (F.col("m") * threshold <= F.col("len") * (2 - threshold)) & (F.col("len") * threshold <= F.col("m") * (2 - threshold))
-    return x.join(y, ["sport", "token"]).filter(near).select("id", "team_id")
+    return dealt(x, y, ["sport", "token"]).filter(near).select("id", "team_id")
 
 
 def _pairs_by_tokens(n: DataFrame, c: DataFrame, threshold: float) -> DataFrame:
@@ -165,19 +165,22 @@ def _pairs_by_tokens(n: DataFrame, c: DataFrame, threshold: float) -> DataFrame:
     There the common tokens make up t / (2 - t) of one side at least, so that side's tokens, the
     rarest first and as many as reach beyond the rest of its length, hold a common one.
     """
+    from skein.operators.joins import dealt
+
     rest = 1 - threshold / (2 - threshold)
     tokens = lambda d: d.select("id", "sport", F.length("s").alias("len"), F.explode(F.array_distinct(F.split("s", " "))).alias("token"))
     a, b = tokens(n), tokens(c)
-    counts = a.select("sport", "token").unionByName(b.select("sport", "token")).groupBy("sport", "token").agg(F.count("*").alias("k"))
+    counts = a.select("sport", "token").unionByName(b.select("sport", "token")).groupBy("sport", "token").agg(F.count("*").alias("list"))
 
     def first(d: DataFrame) -> DataFrame:
-        ranked = d.join(counts, ["sport", "token"]).groupBy("id", "sport", "len").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("r"))
+        ranked = d.join(counts, ["sport", "token"]).groupBy("id", "sport", "len").agg(F.array_sort(F.collect_list(F.struct("list", "token"))).alias("r"))
         before = lambda i: F.aggregate(F.slice("r", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x["token"]) + 1)
-        kept = F.filter(F.transform("r", lambda x, i: F.when(before(i) <= F.col("len") * rest + 1, x["token"])), lambda x: x.isNotNull())
-        return ranked.select("id", "sport", F.explode(kept).alias("token"))
+        kept = F.filter(F.transform("r", lambda x, i: F.when(before(i) <= F.col("len") * rest + 1, x)), lambda x: x.isNotNull())
+        return ranked.select("id", "sport", F.inline(kept))
 
-    named = lambda d: d.select(F.col("id").alias("team_id"), "sport", "token")
-    met = first(a).join(named(b), ["sport", "token"]).unionByName(a.select("id", "sport", "token").join(named(first(b)), ["sport", "token"]))
+    whole = lambda d: d.select("id", "sport", "token").join(counts, ["sport", "token"])
+    named = lambda d: d.select(F.col("id").alias("team_id"), "sport", "token", "list")
+    met = dealt(first(a), named(whole(b)), ["sport", "token"]).unionByName(dealt(whole(a), named(first(b)), ["sport", "token"]))
     return met.select("id", "team_id")
 
 

@@ -148,13 +148,13 @@ def F16_marker_families(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", domain.reserve_marker(name).alias("reserve"), domain.gender_marker(name).alias("gender"))
 
 
-_TEAM_TOKENS = """team AS (SELECT p_partkey AS id, p_brand AS grp, list_distinct(string_split(p_type || ' ' || p_name, ' ')) AS t, p_partkey % 9 = 0 AS marked FROM part),
+_TEAM_TOKENS = """team AS (SELECT p_partkey AS id, p_brand AS grp, list_distinct(string_split(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type || ' ' || p_name END, ' ')) AS t, p_partkey % 9 = 0 AS marked FROM part),
 pair AS (SELECT a.id AS a, b.id AS b FROM team a JOIN team b ON a.grp = b.grp AND a.id < b.id AND a.marked = b.marked WHERE len(a.t) <> len(b.t) AND (list_has_all(a.t, b.t) OR list_has_all(b.t, a.t)))"""
 
 
 def _team_pairs(t: Tables) -> DataFrame:
     name = F.concat_ws(" ", F.lower("p_type"), "p_name", F.when(F.col("p_partkey") % 9 == 0, "W"))
-    teams = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).alias("tokens"), domain.entity_marker(name).alias("marked"))
+    teams = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.array_distinct(F.split(F.concat_ws(" ", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")), "p_name"), " ")).alias("tokens"), domain.entity_marker(name).alias("marked"))
     return joins.subset_pairs(teams, "id", "tokens", ["grp", "marked"])
 
 

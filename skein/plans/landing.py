@@ -169,9 +169,10 @@ def K07_blob_upsert(t: Tables) -> DataFrame:
     return mutations.update_where(blobs, blobs.filter("key % 10 = 0").withColumn("data", F.lit("new")), "key", ["data"], F.lit(True))
 
 
-@query("SELECT DISTINCT p_name AS alias FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_type = 'SMALL')")
+@query("SELECT DISTINCT p_name || p_brand AS alias FROM part WHERE p_name || p_brand NOT IN (SELECT p_name || p_brand FROM part WHERE p_type = 'SMALL')")
 def K11_alias_write_back(t: Tables) -> DataFrame:
-    return mutations.insert_absent(t.part.filter("p_type = 'SMALL'").select(F.col("p_name").alias("alias")).distinct(), t.part.select(F.col("p_name").alias("alias")), ["alias"])
+    alias = F.concat("p_name", "p_brand").alias("alias")
+    return mutations.insert_absent(t.part.filter("p_type = 'SMALL'").select(alias).distinct(), t.part.select(alias), ["alias"])
 
 
 @query("SELECT CAST(ts AS DATE) AS run, count(*) AS scanned, count(*) FILTER (event_type = 'error') AS crashes FROM events GROUP BY 1")

@@ -104,14 +104,14 @@ _TT = "list_filter(list_distinct(string_split({}, ' ')), lambda x: length(x) >=
 _JAC = "len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))"
 
 
-@query(f"""WITH {FEED}, r AS (SELECT rec, START_UTIME AS at, {_TT.format('HOME_NAME')} AS x, {_TT.format('AWAY_NAME')} AS y FROM feed WHERE rec % 2 = 1), g AS (SELECT rec AS game, START_UTIME + rec % 3 * 600 AS ga, {_TT.format('HOME_NAME')} AS h, {_TT.format('AWAY_NAME')} AS a FROM feed WHERE rec % 2 = 0),
+@query(f"""WITH {FEED}, r AS (SELECT rec, START_UTIME AS at, {_TT.format('HOME_NAME')} AS x, {_TT.format('AWAY_NAME')} AS y FROM feed WHERE rec % 2 = 1), g AS (SELECT rec AS game, START_UTIME + 3600 + rec % 3 * 600 AS ga, {_TT.format('HOME_NAME')} AS h, {_TT.format('AWAY_NAME')} AS a FROM feed WHERE rec % 2 = 0),
   s AS (SELECT rec, game, len(list_intersect(h, x)) / nullif(len(list_distinct(list_concat(h, x))), 0) AS hx, len(list_intersect(a, y)) / nullif(len(list_distinct(list_concat(a, y))), 0) AS ay, len(list_intersect(h, y)) / nullif(len(list_distinct(list_concat(h, y))), 0) AS hy, len(list_intersect(a, x)) / nullif(len(list_distinct(list_concat(a, x))), 0) AS ax FROM r JOIN g ON g.ga BETWEEN r.at - 1800 AND r.at + 1800),
   b AS (SELECT rec, game, greatest(CASE WHEN hx > 0 AND ay > 0 THEN (hx + ay) / 2 ELSE 0 END, CASE WHEN hy > 0 AND ax > 0 THEN (hy + ax) / 2 ELSE 0 END) AS score FROM s)
   SELECT rec, game, score FROM b WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY score DESC, game) = 1""")
 def J32_title_jaccard(t: Tables) -> DataFrame:
     f = feed(t)
     records = f.filter("rec % 2 = 1").select("rec", F.timestamp_seconds("START_UTIME").alias("at"), F.col("HOME_NAME").alias("first"), F.col("AWAY_NAME").alias("second"))
-    games = f.filter("rec % 2 = 0").select(F.col("rec").alias("game"), F.timestamp_seconds(F.col("START_UTIME") + F.col("rec") % 3 * 600).alias("game_at"), F.col("HOME_NAME").alias("home"), F.col("AWAY_NAME").alias("away"))
+    games = f.filter("rec % 2 = 0").select(F.col("rec").alias("game"), F.timestamp_seconds(F.col("START_UTIME") + 3600 + F.col("rec") % 3 * 600).alias("game_at"), F.col("HOME_NAME").alias("home"), F.col("AWAY_NAME").alias("away"))
     return joins.title_pairs(records, games)
 
 

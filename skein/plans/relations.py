@@ -303,9 +303,9 @@ def J25_greedy_band(t: Tables) -> DataFrame:
     return joins.greedy_band(p, v, ["user_id"], "p", "v", "pt", "vt", 1800).select("v", "p")
 
 
-@query("SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey")
+@query("SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) GROUP BY c_nationkey")
 def J27_unpaired_buckets(t: Tables) -> DataFrame:
-    left = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    left = t.customer.join(t.orders.filter("o_orderkey % 7 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     return left.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("ids"))
 
 
@@ -320,11 +320,11 @@ def J29_cascade(t: Tables) -> DataFrame:
     return joins.cascade(c.select("c_custkey"), "c_custkey", [("strict", 1.0, strict), ("alias", 0.95, alias)])
 
 
-@query("""SELECT a.d AS day, a.o AS o, b.c AS c FROM (SELECT o_custkey % 500 AS d, min(o_orderkey) AS o FROM orders GROUP BY 1 HAVING count(*) = 1) a
-  JOIN (SELECT c_custkey % 500 AS d, min(c_custkey) AS c FROM customer GROUP BY 1 HAVING count(*) = 1) b ON a.d = b.d""")
+@query("""SELECT a.d AS day, a.o AS o, b.c AS c FROM (SELECT o_custkey % 500 AS d, min(o_orderkey) AS o FROM orders WHERE o_orderkey % 61 = 0 GROUP BY 1 HAVING count(*) = 1) a
+  JOIN (SELECT c_custkey % 500 AS d, min(c_custkey) AS c FROM customer WHERE c_custkey % 1500 < 600 GROUP BY 1 HAVING count(*) = 1) b ON a.d = b.d""")
 def J30_sole_remaining(t: Tables) -> DataFrame:
-    o = t.orders.select((F.col("o_custkey") % 500).alias("day"), F.col("o_orderkey").alias("o"))
-    return joins.sole_remaining(o, t.customer.select((F.col("c_custkey") % 500).alias("day"), F.col("c_custkey").alias("c")), "day", "o", "c")
+    o = t.orders.filter("o_orderkey % 61 = 0").select((F.col("o_custkey") % 500).alias("day"), F.col("o_orderkey").alias("o"))
+    return joins.sole_remaining(o, t.customer.filter("c_custkey % 1500 < 600").select((F.col("c_custkey") % 500).alias("day"), F.col("c_custkey").alias("c")), "day", "o", "c")
 
 
 @query("""SELECT DISTINCT ON (p) p, v FROM (SELECT p, v, least(d, 1440 - d) AS gap FROM (SELECT p, v, abs(hour(pt) * 60 + minute(pt) - hour(vt) * 60 - minute(vt)) AS d
@@ -378,6 +378,24 @@ def J50_duplicate_candidates(t: Tables) -> DataFrame:
     return joins.jaccard_pairs(named, "p_partkey", "tokens", 0.5, ["p_brand"]).select("a", "b", "shared")
 
 
+@query("""WITH t AS (SELECT p_partkey, p_type, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part), c AS (SELECT p_type, t, min(p_partkey) AS class, count(*) AS size FROM t GROUP BY ALL),
+  l AS (SELECT a.class, sum(b.size) AS linked FROM c a JOIN c b ON a.p_type = b.p_type AND a.class <> b.class AND len(list_intersect(a.t, b.t)) > 0 AND 3 * len(list_intersect(a.t, b.t)) >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) GROUP BY a.class)
+  SELECT p_partkey, class, size, CAST(size - 1 + coalesce(linked, 0) AS BIGINT) AS n_links FROM t JOIN c USING (p_type, t) LEFT JOIN l USING (class)""")
+def J50_duplicate_classes(t: Tables) -> DataFrame:
+    """Each part with its class of equal names, and how many others it links with; copies are not paired."""
+    named = t.part.select("p_partkey", "p_type", F.split("p_name", " ").alias("tokens"))
+    return joins.jaccard_classes(named, "p_partkey", "tokens", 1 / 3, ["p_type"])[0]
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_name, p_type FROM part), s AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS score FROM {_TRI} a, {_TRI} b)
+  SELECT a.p_partkey AS lid, b.p_partkey AS rid, score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) AS rank FROM n a JOIN s ON s.x = a.p_name JOIN n b ON b.p_name = s.y AND b.p_type = a.p_type
+  WHERE score >= 0.3 AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 QUALIFY rank <= 3""")
+def J22_trigram_records(t: Tables) -> DataFrame:
+    """The three nearest parts of the same type for every second part: each different name is compared once."""
+    half = lambda r: t.part.filter(F.col("p_partkey") % 2 == r).select("p_partkey", "p_name", "p_type")
+    return joins.trigram_top(half(0), half(1), "p_partkey", "p_name", "p_partkey", "p_name", 0.3, 3, ["p_type"])
+
+
 @query("""SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND ((a.l_partkey % 50 = b.l_partkey % 50 AND a.l_suppkey % 50 = b.l_suppkey % 50) OR (a.l_partkey % 50 = b.l_suppkey % 50 AND a.l_suppkey % 50 = b.l_partkey % 50))""")
 def J51_unordered_duplicates(t: Tables) -> DataFrame:
     p, s = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
@@ -427,9 +445,9 @@ def U05_key_intersection(t: Tables) -> DataFrame:
     return kind("click").intersect(kind("error"))
 
 
-@query("SELECT DISTINCT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT DISTINCT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0")
 def U06_difference(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.filter("o_orderkey % 7 = 0").select("o_custkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")

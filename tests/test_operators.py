@@ -217,3 +217,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.ticker: r.n for r in got} == {"t0": 7, "t1": 7, "t2": 6}
     last = {r.ticker: r.price for r in stream.last_write_wins(df, "ticker", "seq").collect()}
     assert last == {"t0": 18.0, "t1": 19.0, "t2": 17.0}
+
+
+def test_copies_are_classes_and_hot_lists_are_dealt(spark, monkeypatch):
+    """Three thousand equal rows are one class; a list longer than its limit gives the same pairs."""
+    rows = [(i, "x", ["a", "b", "c"]) for i in range(3000)] + [(3000 + i, "x", ["a", "b", f"t{i % 7}"]) for i in range(70)] + [(4000, "x", []), (4001, "x", None), (4002, None, ["a"])]
+    df = spark.createDataFrame(rows, "id long, g string, t array<string>").repartition(8)
+    members, pairs = joins.jaccard_classes(df, "id", "t", 0.5, ["g"])
+    got = {r.id: (r["class"], r.size, r.n_links) for r in members.collect()}
+    assert got[5] == (0, 3000, 3069) and got[3000 + 8] == (3001, 10, 3069) and pairs.count() == 28 and 4000 not in got and 4001 not in got
+    monkeypatch.setattr(joins, "LIST", 3)
+    monkeypatch.setattr(joins.dealt, "__defaults__", (3,))
+    small = df.filter("id >= 2980")
+    got = {(r.a, r.b) for r in joins.jaccard_pairs(small, "id", "t", 0.5, ["g"]).collect()}
+    assert len(got) == 90 * 89 // 2
+    p = spark.range(9000).select("id", F.lit("hot").alias("token"), F.lit(9000).alias("list"))
+    parts = joins.dealt(p, p.select(F.col("id").alias("b"), "token", "list").filter("b < 2"), ["token"], 1000)
+    assert parts.count() == 18000
+    dealt = p.select(F.pmod(F.xxhash64("id"), F.lit(9)).alias("part")).groupBy("part").count().agg(F.max("count")).first()[0]
+    assert dealt < 1200
+
+
+def test_trigram_matches_of_copies(spark):
+    left = spark.createDataFrame([(i, "s", "red bolt") for i in range(50)] + [(50, "s", "zzz"), (51, None, "red bolt"), (52, "s", None)], "l long, g string, x string")
+    right = spark.createDataFrame([(i, "s", "red bolts") for i in range(40)] + [(90, "s", "red bolt"), (91, "q", "red bolt")], "r long, g string, y string")
+    got = joins.trigram_top(left, right, "l", "x", "r", "y", 0.3, 3, ["g"]).collect()
+    assert len(got) == 150 and {(r.rid, r.rank) for r in got} == {(90, 1), (0, 2), (1, 3)}
