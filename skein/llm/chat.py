@@ -189,3 +189,28 @@ def report(rows: DataFrame) -> DataFrame:
     formatted = format_records(records_of(own)).withColumn("conv_id", F.col("conv_id").cast("string"))
     found = formatted.mapInPandas(_digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return found.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+def dealt_layouts(rows: DataFrame) -> DataFrame:
+    """Rows by turn as records (conv_id, record) of four layouts, a record for each two turns: messages, from and value, prompt and response, instruction.
+
+    A user's and an assistant's turn take the layout whose turn it is for the conversation; other turns are messages.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = rows.select("conv_id", F.floor(F.col("turn") / 2).alias("k"), F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
+    x = own.groupBy("conv_id", "k").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    role, said = lambda i: F.col("t")[i]["role"], lambda i: F.col("t")[i]["text"]
+    pair = (F.size("t") == 2) & (role(0) == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
+    kind = F.when(pair, F.pmod(F.col("conv_id"), F.lit(4))).otherwise(0)
+    messages = F.to_json(F.struct(F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages")))
+    values = F.to_json(F.struct(F.array(F.struct(F.lit("human").alias("from"), said(0).alias("value")), F.struct(F.lit("gpt").alias("from"), F.get("t", F.lit(1))["text"].alias("value"))).alias("conversations")))
+    prompt = F.to_json(F.struct(said(0).alias("prompt"), F.get("t", F.lit(1))["text"].alias("response")))
+    instruction = F.to_json(F.struct(said(0).alias("instruction"), F.lit("").alias("input"), F.get("t", F.lit(1))["text"].alias("output")))
+    return x.select("conv_id", F.when(kind == 1, values).when(kind == 2, prompt).when(kind == 3, instruction).otherwise(messages).alias("record"))
+
+
+def layout_report(rows: DataFrame) -> DataFrame:
+    """conv_id, layout (fingerprint), formatted_sha256, loss_chars of records of several layouts."""
+    found = format_records(dealt_layouts(rows))
+    loss = F.aggregate("loss_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select("conv_id", "layout", F.sha2("formatted", 256).alias("formatted_sha256"), loss.alias("loss_chars"))

@@ -1,8 +1,10 @@
 """Quality rules as a ledger of failure bits (DataFrame functions alone).
 
 Every rule is evaluated once; its failure is one bit of ``fail_bits`` beside the
-measurements it used.  A policy is a versioned mask over these bits, so changing a policy
-or asking what a rule costs (``ablation``) never reads the texts again.
+measurements it used.  ``write_ledger`` stores both under the version of the rule set.  A policy
+is a versioned mask over the bits, so another policy (``verdicts``, ``policy_counts``) or what a
+rule costs (``ablation``) is read from the stored ledger and never from the texts.
+``apply_policy`` filters a table in the pass that measures it, where no ledger is wanted.
 
 Defined cases: a null text has no words and fails ``few_words``; an empty table gives an
 empty ledger; repeated rows are judged one by one; a very long text is judged whole.  In
@@ -12,12 +14,13 @@ measurement, which then wins; ``apply_policy`` and ``report`` never mix theirs w
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACES, let, split_words
+from skein.llm.common import SPACES, let, new_path, split_words
 
 #: Words of a window in which repetition is looked for.
 WINDOW = 5
@@ -131,6 +134,23 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("fail_bits", sum(bits[1:], bits[0]).cast("long"))
 
 
+def version() -> str:
+    """Of the rule set: how many rules, and a digest of their names and conditions."""
+    return f"{len(RULES)}-{hashlib.sha256(repr([(r.name, r.fails) for r in RULES]).encode()).hexdigest()[:12]}"
+
+
+def write_ledger(docs: DataFrame, folder: str | None = None) -> str:
+    """Stores doc_id, measurements and failure bits of ``docs`` in ``folder``, under the rule set's version; gives the folder."""
+    folder = folder or new_path(docs.sparkSession, "quality-ledger")
+    ledger(docs.select("doc_id", "text")).drop("text").write.mode("overwrite").parquet(f"{folder}/rules={version()}")
+    return folder
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored ledger of this rule set; an error where the folder has another one's alone."""
+    return spark.read.parquet(f"{folder}/rules={version()}")
+
+
 def rejected(policy: str) -> Column:
     """True where the policy's mask meets a failure bit."""
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
@@ -156,8 +176,21 @@ def ablation(led: DataFrame, policy: str = POLICY) -> DataFrame:
     return each.groupBy(F.col("r.rule").alias("rule")).agg(count(hit)("n_failed"), count(F.col("bits") == F.col("r.bit"))("n_only"))
 
 
-def report(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """Contract rows of ``documents``: doc_id, measurements, base_failed, kept; and fail_bits."""
+def verdicts(led: DataFrame, policy: str = POLICY) -> DataFrame:
+    """Of a ledger: its rows with base_failed, and kept by the base rules and the policy."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
-    found = ledger(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~(base | rejected(policy))).alias("kept"), "fail_bits")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~(base | rejected(policy))).alias("kept"), "fail_bits")
+
+
+def policy_counts(led: DataFrame) -> DataFrame:
+    """policy, n_kept, n_rejected: what each policy makes of a ledger, in one pass over its bits."""
+    by_bits = led.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    every = F.array(*[F.struct(F.lit(name).alias("policy"), F.lit(mask(rules)).cast("long").alias("mask")) for name, rules in POLICIES.items()])
+    out = F.col("fail_bits").bitwiseAND(F.col("p.mask")) != 0
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return by_bits.select("fail_bits", "n", F.explode(every).alias("p")).groupBy(F.col("p.policy").alias("policy")).agg(count(~out).alias("n_kept"), count(out).alias("n_rejected"))
+
+
+def report(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """Contract rows of ``documents``, read from its stored ledger: doc_id, measurements, base_failed, kept; and fail_bits."""
+    return verdicts(read_ledger(docs.sparkSession, write_ledger(docs)), policy)

@@ -64,6 +64,11 @@ rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('word_leng
 SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM rules LEFT JOIN bits ON true GROUP BY rule
 """
 
+QUALITY_POLICIES = f"""
+WITH {_MEASURES.format(source="documents")}, policies(policy, mask) AS (VALUES ('base-1', 3), ('full-1', 31), ('full-2', 511))
+SELECT policy, count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected FROM policies, bits GROUP BY policy
+"""
+
 _ESC = r"replace(replace(replace({}, '\', '\\'), '<', '\<'), '>', '\>')"
 
 CHAT = rf"""
@@ -80,6 +85,19 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 FROM a
 """
 
+CHAT_LAYOUTS = rf"""
+WITH c AS (SELECT conv_id, turn // 2 AS k, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+g AS (
+  SELECT conv_id, count(*) = 2 AND list(role ORDER BY turn NULLS FIRST, role, text) = ['user', 'assistant'] AS pair,
+    string_agg('<turn ' || {_ESC.format("role")} || '>' || chr(10) || {_ESC.format("text")} || '</turn>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS formatted,
+    coalesce(sum(length({_ESC.format("text")})) FILTER (role = 'assistant'), 0) AS loss
+  FROM c GROUP BY conv_id, k)
+SELECT conv_id, substr(sha256(CASE WHEN NOT pair THEN 'messages[].content' || chr(10) || 'messages[].role' ELSE [
+    'messages[].content' || chr(10) || 'messages[].role', 'conversations[].from' || chr(10) || 'conversations[].value', 'prompt' || chr(10) || 'response', 'input' || chr(10) || 'instruction' || chr(10) || 'output'][conv_id % 4 + 1] END), 1, 16) AS layout,
+  sha256(formatted) AS formatted_sha256, CAST(loss AS BIGINT) AS loss_chars
+FROM g
+"""
+
 NGRAM_JACCARD = r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,

@@ -47,6 +47,28 @@ def test_policy_and_ablation(docs, no_docs):
     assert quality_rules.report(no_docs).count() == 0
 
 
+def test_policies_read_the_stored_ledger_alone(docs, no_docs, spark):
+    folder = quality_rules.write_ledger(docs)
+    led = quality_rules.read_ledger(spark, folder)
+    assert "text" not in led.columns and led.count() == docs.count()
+    for asked in (quality_rules.verdicts(led, "full-1"), quality_rules.ablation(led), quality_rules.policy_counts(led)):
+        assert all(folder.split("/")[-1] in f for f in asked.inputFiles())
+    kept = {r.policy: (r.n_kept, r.n_rejected) for r in quality_rules.policy_counts(led).collect()}
+    for policy in quality_rules.POLICIES:
+        n = quality_rules.apply_policy(docs, policy).count()
+        assert kept[policy] == (n, docs.count() - n)
+    assert quality_rules.policy_counts(quality_rules.read_ledger(spark, quality_rules.write_ledger(no_docs))).count() == 0
+
+
+def test_another_rule_set_has_a_ledger_of_its_own(docs, spark, monkeypatch):
+    folder = quality_rules.write_ledger(docs)
+    monkeypatch.setattr(quality_rules, "RULES", (*quality_rules.RULES, quality_rules.Rule("no_lines", "n_lines = 0")))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        quality_rules.read_ledger(spark, folder)
+    quality_rules.write_ledger(docs, folder)
+    assert quality_rules.read_ledger(spark, folder).filter("fail_bits >= 512").count() > 0
+
+
 def test_columns_of_the_tables_own(spark, docs):
     """Columns that bear names of the operators come through as they were."""
     clash = docs.select("doc_id", "text", *[F.lit(-99).alias(c) for c in ("_words", "_lines", "n_words", "fail_bits", "row", "key", "bad", "d", "t", "_d", "_t", "node", "start")])

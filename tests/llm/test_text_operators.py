@@ -66,6 +66,20 @@ def test_conversations(spark):
     assert chat.report(df.limit(0)).count() == 1
 
 
+def test_four_layouts_are_formatted_alike(spark):
+    rows = [(c, t, r, f"<{c}>\\{t}") for c in range(8) for t, r in enumerate(("user", "assistant", "user", "assistant", "assistant"))] + [(8, 0, "user", None), (8, 1, "assistant", ""), (9, None, "user", "x"), (None, 0, "user", "y"), (5, 0, "user", "<5>\\0")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_records(chat.dealt_layouts(df)).collect()
+    assert {len({r.layout for r in got}), len([r for r in got if r.formatted is None])} == {4, 0}
+    want = Counter()
+    for c in {r[0] for r in rows}:
+        own = sorted((t is not None, t or 0, r, x or "") for k, t, r, x in rows if k == c)
+        for k in {(f, t // 2) for f, t, *_ in own}:
+            want[(c, tuple((r, x) for f, t, r, x in own if (f, t // 2) == k))] += 1
+    assert Counter((r.conv_id, tuple(chat.read(r.formatted))) for r in got) == want
+    assert chat.layout_report(df.limit(0)).count() == 0
+
+
 # ---- URLs
 
 
