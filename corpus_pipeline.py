@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
-from skein.llm.common import store
+from skein.llm.common import discard, scratch, store
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +65,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage made for itself goes when its result is stored, and that when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            made = keep(store(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
