@@ -41,11 +41,15 @@ def tier_rates(df: DataFrame, group: str, tier: Column, tiers: list[str], matche
     return named.groupBy(group).agg(F.count("*").alias("n"), *counts, rate.alias("rate"))
 
 
-def histogram(df: DataFrame, score: Column) -> DataFrame:
-    """Five buckets (right-open, the last closed), all of them, scores clamped to 0..1."""
+def confidence_bucket(score: Column) -> Column:
+    """The label of a score's bucket (right-open, the last closed), clamped to 0..1."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    label = F.coalesce(*[F.when(s < hi, F.lit(n)) for n, _, hi in CONFIDENCE_BUCKETS[:-1]], F.lit(CONFIDENCE_BUCKETS[-1][0]))
-    found = df.filter(score.isNotNull()).groupBy(label.alias("bucket")).agg(F.count("*").alias("n"))
+    return F.coalesce(*[F.when(s < hi, F.lit(n)) for n, _, hi in CONFIDENCE_BUCKETS[:-1]], F.lit(CONFIDENCE_BUCKETS[-1][0]))
+
+
+def histogram(df: DataFrame, score: Column) -> DataFrame:
+    """Five buckets (``confidence_bucket``), all of them."""
+    found = df.filter(score.isNotNull()).groupBy(confidence_bucket(score).alias("bucket")).agg(F.count("*").alias("n"))
     every = df.sparkSession.createDataFrame([(n,) for n, _, _ in CONFIDENCE_BUCKETS], "bucket string")
     return every.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -76,3 +80,48 @@ def shares(df: DataFrame, group: str, key: str) -> DataFrame:
     counts = df.groupBy(group, key).agg(F.count("*").alias("n"))
     total = counts.groupBy(group).agg(F.sum("n").alias("t"))
     return counts.join(total, group).select(group, key, "n", (F.lit(100.0).cast("decimal(4,1)") * F.col("n") / F.col("t")).cast("double").alias("pct"))
+
+
+def backfill_report(before: DataFrame, after: DataFrame, sport: str) -> DataFrame:
+    """Measure, sport, n: rows and rows without a sport before and after a backfill, how many it recovered, and rows by sport.
+
+    Each version is counted once, by sport; the report is made of these counts.
+    """
+    counts = lambda d, w: d.groupBy(F.nullif(F.trim(sport), F.lit("")).alias("sport")).agg(F.count("*").alias("k")).withColumn("w", F.lit(w))
+    both = counts(before, "before").unionByName(counts(after, "after"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    is_, none = lambda w: F.col("w") == w, F.col("sport").isNull()
+    totals = both.agg(n(is_("before")).alias("rows_before"), n(is_("before") & none).alias("null_before"), n(is_("after")).alias("rows_after"), n(is_("after") & none).alias("null_after"))
+    totals = totals.withColumn("recovered", F.col("null_before") - F.col("null_after"))
+    each = totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit(None).cast("string").alias("sport"), F.col(c).alias("n")) for c in totals.columns])))
+    return each.unionByName(both.filter(is_("after") & ~none).select(F.lit("coverage").alias("measure"), "sport", F.col("k").alias("n")))
+
+
+def fan_out_snapshot(sends: DataFrame, connections: DataFrame, now: Column, top_n: int = 10, recent: int = 20) -> DataFrame:
+    """Measure, key, n, bytes, messages, tickers, age (whole seconds) of a fan-out's state.
+
+    sends: subscriber, channel, ticker, bytes, messages.  connections: subscriber, event, ts, seq.
+    Rows: ``connections`` (different subscribers), ``channel`` totals, the ``top_n`` ``subscriber`` rows by bytes
+    (of equals the smaller one) with the age of their first connect, ``max_tickers`` of one subscriber,
+    ``reconnects_1h`` before ``now``, and the last ``recent`` events by seq.
+    """
+    none = lambda kind="long": F.lit(None).cast(kind)
+    row = lambda d, measure, **c: d.select(F.lit(measure).alias("measure"), *[(c[k] if k in c else none("string" if k == "key" else "long")).cast("string" if k == "key" else "long").alias(k) for k in ("key", "n", "bytes", "messages", "tickers", "age")])
+    by_ticker = sends.groupBy("subscriber", "channel", "ticker").agg(F.sum("bytes").alias("bytes"), F.sum("messages").alias("messages"))
+    channel = by_ticker.groupBy("channel").agg(F.sum("bytes").alias("bytes"), F.sum("messages").alias("messages"))
+    each = by_ticker.groupBy("subscriber").agg(F.sum("bytes").alias("bytes"), F.sum("messages").alias("messages"), F.count_distinct("ticker").alias("tickers"))
+    since = connections.filter("event = 'connect'").groupBy("subscriber").agg(F.min("ts").alias("since"))
+    first = each.orderBy(F.col("bytes").desc(), "subscriber").limit(top_n).join(since, "subscriber", "left")
+    last = connections.orderBy(F.col("seq").desc()).limit(recent)
+    sec = lambda c: F.floor(F.timestamp_diff("MICROSECOND", F.col(c), now) / 1e6)
+    again = connections.filter((F.col("event") == "connect") & (F.col("ts") >= now - F.expr("INTERVAL 1 HOUR")))
+    parts = [
+        row(each.agg(F.count("*").alias("n")), "connections", n=F.col("n")), row(channel, "channel", key=F.col("channel"), bytes=F.col("bytes"), messages=F.col("messages")),
+        row(first, "subscriber", key=F.col("subscriber"), bytes=F.col("bytes"), messages=F.col("messages"), tickers=F.col("tickers"), age=sec("since")),
+        row(each.agg(F.coalesce(F.max("tickers"), F.lit(0)).alias("m")), "max_tickers", tickers=F.col("m")), row(again.agg(F.count("*").alias("n")), "reconnects_1h", n=F.col("n")),
+        row(last, "recent", key=F.concat_ws(":", "event", F.col("subscriber").cast("string")), n=F.col("seq"), age=sec("ts")),
+    ]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found

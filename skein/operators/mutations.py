@@ -12,10 +12,14 @@ def payload_hash(*columns: Column) -> Column:
 
 
 def classified_merge(previous: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
-    """The next version, with ``action``: insert, update, unchanged or kept (not in the batch)."""
-    new = incoming.select(*[F.col(c).alias(f"_{c}") for c in incoming.columns])
-    both = previous.join(new, previous[key].eqNullSafe(new[f"_{key}"]), "full")
-    action = F.when(F.col(key).isNull(), "insert").when(F.col(f"_{key}").isNull(), "kept").when(F.col(digest) == F.col(f"_{digest}"), "unchanged").otherwise("update")
+    """The next version, with ``action``: insert, update, unchanged or kept (not in the batch).
+
+    A null key is a key like others, and equal digests, two nulls too, mean no change.
+    """
+    old = previous.withColumn("__was", F.lit(True))
+    new = incoming.select(*[F.col(c).alias(f"_{c}") for c in incoming.columns], F.lit(True).alias("__is"))
+    both = old.join(new, F.col(key).eqNullSafe(F.col(f"_{key}")), "full")
+    action = F.when(F.col("__was").isNull(), "insert").when(F.col("__is").isNull(), "kept").when(F.col(digest).eqNullSafe(F.col(f"_{digest}")), "unchanged").otherwise("update")
     use_new = F.col("action").isin("insert", "update")
     return both.withColumn("action", action).select(*[F.when(use_new, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in previous.columns], "action")
 

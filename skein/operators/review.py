@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.graph import components
 from skein.functions.text import format_match, name_format, normalize_name
-from skein.operators.joins import collision_pairs, latest
+from skein.operators.joins import collision_pairs, latest, top
 
 # The reference's fields of a log row's detail, and how many rows it mines.
 NAME_KEYS = ("home_provider_normalized", "away_provider_normalized", "home_provider_raw", "away_provider_raw", "home_canonical", "away_canonical", "home_name", "away_name", "home", "away")
@@ -114,6 +114,34 @@ def merge_groups(clusters: DataFrame, teams: DataFrame) -> DataFrame:
     return both.select(F.least("class_f", "class_s")["id"].alias("canonical"), F.greatest("class_f", "class_s")["id"].alias("dupe"))
 
 
+def phase_report(clusters: DataFrame, teams: DataFrame, aliases: DataFrame, fixtures: DataFrame, queue: DataFrame, only: int | None = None) -> DataFrame:
+    """The dry run of a merge phase: section, canonical, dupe, aliases, fixtures, queued, names.
+
+    A ``merge_group`` (``merge_groups``) has the duplicate's aliases that the canonical team lacks, its fixtures and
+    its rows in the queue (team_id, status; pending ones); a ``skipped`` cluster has its number of members as
+    ``dupe``, its root as ``canonical`` and the names of its first 20 members by id.  With ``only``, one canonical's group;
+    ValueError if there is none.
+    """
+    groups = merge_groups(clusters, teams)
+    merged = clusters.join(groups.select(F.col("dupe").alias("node")), "node", "left_semi").select("root")
+    skipped = clusters.join(merged, "root", "left_anti").join(teams.select(F.col("id").alias("node"), "name"), "node", "left")
+    if only is not None:
+        groups = groups.filter(F.col("canonical") == only)
+        if groups.isEmpty():
+            raise ValueError(f"no merge group has the canonical team {only}")
+    held = aliases.select(F.col("team_id").alias("canonical"), "alias").distinct()
+    moving = aliases.select(F.col("team_id").alias("dupe"), "alias").distinct().join(groups, "dupe").join(held, ["canonical", "alias"], "left_anti").groupBy("dupe").agg(F.count("*").alias("aliases"))
+    sides = fixtures.select("fixture_id", F.explode(F.array("home_id", "away_id")).alias("dupe")).distinct().groupBy("dupe").agg(F.count("*").alias("fixtures"))
+    waits = queue.filter("status = 'pending'").groupBy(F.col("team_id").alias("dupe")).agg(F.count("*").alias("queued"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    done = groups.join(moving, "dupe", "left").join(sides, "dupe", "left").join(waits, "dupe", "left")
+    done = done.select(F.lit("merge_group").alias("section"), "canonical", "dupe", zero("aliases"), zero("fixtures"), zero("queued"), F.lit(None).cast("array<string>").alias("names"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("node", "name"))), lambda x: F.coalesce(x["name"], x["node"].cast("string")))
+    shown = top(skipped, ["root"], 20, F.col("node")).groupBy("root").agg(names.alias("names"))
+    left = skipped.groupBy("root").agg(F.count("*").alias("dupe")).join(shown, "root")
+    return done.unionByName(left.select(F.lit("skipped").alias("section"), F.col("root").alias("canonical"), "dupe", *[F.lit(None).cast("long").alias(c) for c in ("aliases", "fixtures", "queued")], "names"))
+
+
 def pre_state(mapping: DataFrame, aliases: DataFrame, fixtures: DataFrame) -> DataFrame:
     """What a merge changes, before it: for each duplicate its aliases and fixtures (sorted arrays)."""
     dup = mapping.filter("id <> canonical")
@@ -198,11 +226,36 @@ def all_stages(stages: DataFrame, hints: DataFrame) -> DataFrame:
     return exact.unionByName(scored.join(exact.select("hint").distinct(), "hint", "left_anti")).select("hint", "stage")
 
 
+def _runs(name: Column, sizes: tuple[int, ...]) -> Column:
+    """The different runs of so many characters in a name."""
+    of = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substr(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
+
+
+def holding(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """whole, part: the names that hold a part anywhere (columns whole, part; each name once).
+
+    A part is looked up by that of its runs of three characters (the part itself if it is shorter) that the fewest
+    names have, so it meets few names; without characters it is in all.
+    """
+    blank = F.array(F.lit(""))
+    runs = whole.select("whole", F.explode(F.concat(_runs(F.col("whole"), (1, 2, 3)), blank)).alias("run"))
+    own = F.when(F.length("part") >= 3, _runs(F.col("part"), (3,))).otherwise(F.array("part"))
+    asked = part.select("part", F.explode(own).alias("run"))
+    lengths = runs.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    rarest = asked.join(lengths, "run").groupBy("part").agg(F.min(F.struct("n", "run")).alias("r")).select("part", "r.run")
+    return runs.join(rarest, "run").filter(F.contains("whole", "part")).select("whole", "part")
+
+
 def _by_league(stages: DataFrame, hints: DataFrame) -> DataFrame:
-    """Stages and hints (a few) with the score of the league's name."""
+    """Stages and hints with the score of the league's name; different names and hints meet once."""
     league, h = F.lower(F.trim("league")), F.lower(F.trim("hint"))
-    score = F.when(league == h, 100).when(F.contains(league, h), 80).when(F.contains(h, league), 60)
-    return stages.filter(F.trim("league") != "").join(F.broadcast(hints), score.isNotNull()).withColumn("score", score)
+    leagues, asked = stages.filter(F.trim("league") != "").select(league.alias("_l")).distinct(), hints.filter("hint is not null").select(h.alias("_h")).distinct()
+    there = holding(leagues.select(F.col("_l").alias("whole")), asked.select(F.col("_h").alias("part"))).select(F.col("whole").alias("_l"), F.col("part").alias("_h"))
+    back = holding(asked.select(F.col("_h").alias("whole")), leagues.select(F.col("_l").alias("part"))).select(F.col("part").alias("_l"), F.col("whole").alias("_h"))
+    score = F.when(F.col("_l") == F.col("_h"), 100).when(F.contains("_l", "_h"), 80).otherwise(60)
+    met = there.unionByName(back).distinct().withColumn("score", score)
+    return stages.withColumn("_l", league).join(met, "_l").join(hints.withColumn("_h", h), "_h").drop("_l", "_h")
 
 
 def markdown(rows: list, columns: list[str], title: str) -> str:

@@ -42,13 +42,19 @@ def dimensions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, D
     return records, teams, aliases, fixtures, competitions
 
 
-#: What was resolved, by application and folder: the result, its log and the records, as stored tables.
-_DONE: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+#: What was resolved, by application, folder and state of its files: the result, its log and the records, as stored tables.
+_DONE: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def _state(t: Tables) -> int:
+    """A digest of the files that ``dimensions`` reads: their paths, lengths and times (their contents are not read)."""
+    files = t.spark.read.format("binaryFile").load([f"{t.folder}/{n}.parquet" for n in ("orders", "lineitem", "part")])
+    return files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
 
 
 def resolved(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The resolver's result, log and records; it runs once for each folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """The resolver's result, log and records; it runs once for each state of a folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, _state(t))
     if key not in _DONE:
         records, *others = dimensions(t)
         final, log = resolve.resolve(records, *others)
