@@ -9,7 +9,7 @@ from skein.functions.domain import scope
 from skein.functions.prices import safe_rate
 from skein.functions.text import INDIVIDUAL_SPORTS
 from skein.operators.joins import top
-from skein.operators.measures import confidence_bucket, nearest_place, value_at_rank
+from skein.operators.measures import confidence_bucket, nearest_place, values_at_ranks
 
 # Reasons that apply without review, and that of a record without a result.
 APPLIED = ("strict", "alias", "fuzzy")
@@ -69,9 +69,8 @@ def queue_measures(queue: DataFrame, now: Column, abandoned_days: int = 14) -> D
     aged = queue.filter("status = 'pending'").select(F.trim(F.coalesce("sport", F.lit(""))).alias("sport"), (F.timestamp_diff("MICROSECOND", F.col("created_at"), now) / 1e6).alias("age"))
     depth = aged.groupBy("sport").agg(F.count("*").alias("n"), F.count_if(F.col("age") >= abandoned_days * 86400).alias("old"))
     n = F.col("n") - 1
-    at = lambda place: value_at_rank(aged, ["sport"], "age", place)
-    median = at(F.floor(n / 2)).unionByName(at(F.ceil(n / 2))).groupBy("sport").agg(F.avg("age").alias("age"))
-    parts = [_rows(depth, "queue_depth", sport="sport", n="n"), _rows(median, "queue_median", sport="sport", value="age"), _rows(at(nearest_place(0.95)), "queue_p95", sport="sport", value="age")]
+    at = values_at_ranks(aged, ["sport"], "age", {"low": F.floor(n / 2), "high": F.ceil(n / 2), "p95": nearest_place(0.95)})
+    parts = [_rows(depth, "queue_depth", sport="sport", n="n"), _rows(at, "queue_median", sport="sport", value=(F.col("low") + F.col("high")) / 2), _rows(at, "queue_p95", sport="sport", value="p95")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(_rows(depth, "queue_abandonment", sport="sport", value=safe_rate(F.col("old"), F.col("n"))))
 
 

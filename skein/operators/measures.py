@@ -6,21 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.prices import safe_rate
+from skein.operators.storage import stored
 
 # Confidence buckets (label, from, to).
 CONFIDENCE_BUCKETS = (("0.00-0.50", 0.00, 0.50), ("0.50-0.70", 0.50, 0.70), ("0.70-0.85", 0.70, 0.85), ("0.85-0.95", 0.85, 0.95), ("0.95-1.00", 0.95, 1.00))
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
-    """Keys, value: the element at ``place`` (from 0, a Column of n, the key's rows) of the key's values in order.
+def values_at_ranks(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Keys, and for each name of ``places`` the element at that place (from 0, a Column of n, the key's rows) of the key's values in order.
 
-    Rows are first counted by value, so no key's values are gathered: ranks come from running
-    sums over the different ones.  Nulls have no rank.
+    Rows are counted by value and dealt by ranges of key and value; sums of the ranges say in which of a key's
+    ranges a place is, and only that one is gone through.  So a key's values, however many, are never in one task.
+    Nulls have no rank, and rows without a key count for none.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
-    running = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v")))
-    total = counts.groupBy(*keys).agg(F.sum("_k").alias("n"))
-    return running.join(total, keys).filter(F.col("_upto") > place).groupBy(*keys).agg(F.min("_v").alias(value))
+    kept = df.filter(F.col(value).isNotNull())
+    for k in keys:
+        kept = kept.filter(F.col(k).isNotNull())
+    counts = kept.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    dealt = stored(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy(*keys, "_part").agg(F.sum("_k").alias("_s"))
+    each = Window.partitionBy(*keys)
+    upto = ranges.select(*keys, "_part", (F.sum("_s").over(each.orderBy("_part")) - F.col("_s")).alias("_before"), "_s", F.sum("_s").over(each).alias("n"))
+    asked = upto.select("*", F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), place.cast("long").alias("_at")) for name, place in places.items()])))
+    asked = asked.filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_s"))).select(*keys, "_part", "_name", (F.col("_at") - F.col("_before")).alias("_at"))
+    running = dealt.join(asked.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi").withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys, "_part").orderBy("_v")))
+    found = running.join(asked, [*keys, "_part"]).filter(F.col("_upto") > F.col("_at"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
+
+
+def value_at_rank(df: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+    """Keys, value: the element at one place (``values_at_ranks``)."""
+    return values_at_ranks(df, keys, value, {value: place})
 
 
 def nearest_place(p: float) -> Column:
