@@ -1,6 +1,7 @@
 """Pages of JSON as a Spark data source, read by one task each, in batch or as a stream.
 
-``path`` has ``{page}`` where a page's number goes: a file or folder of a shared store, or an address.  A page
+``path`` has ``{page}`` where a page's number goes: a file or folder of a shared store, or an address; or it has
+``{shelf}``, a folder of tables of a thousand pages each (``land_pages``).  A page
 is an object with its events under ``data`` or ``events``, and ``next`` or ``has_more`` where others follow.
 A page that cannot be read after ``tries`` attempts is an empty one that ends the feed, as one without events
 does; how many there are is not known before, so all up to the cap are asked for at once and ``bounded`` keeps
@@ -21,6 +22,8 @@ from skein.operators.storage import stored
 
 #: Fixed value: pages that are asked for at most.
 CAP = 100
+#: Fixed value: pages that share a folder of a landed feed.
+SHELF = 1000
 #: event is null in the row of a page without events.
 ROW = "page int, place int, more boolean, failed boolean, event string"
 
@@ -32,12 +35,13 @@ class Page(InputPartition):
 
 
 def _fetch(template: str, number: int) -> bytes:
-    path = template.replace("{page}", str(number))
+    path = template.replace("{page}", str(number)).replace("{shelf}", str(number // SHELF))
     if path.startswith(("http://", "https://")):
         import urllib.request
 
         with urllib.request.urlopen(path, timeout=30) as answer:
             return answer.read()
+    import pyarrow.dataset
     from pyarrow.fs import FileSelector, FileSystem, FileType
 
     fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
@@ -45,6 +49,12 @@ def _fetch(template: str, number: int) -> bytes:
     if found.type == FileType.NotFound:
         raise FileNotFoundError(path)
     files = sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", "."))) if found.type == FileType.Directory else [at]
+    if "{shelf}" in template:
+        page = pyarrow.dataset.field("page") == number
+        values = pyarrow.dataset.dataset(files, filesystem=fs, format="parquet").to_table(columns=["value"], filter=page)["value"].to_pylist() if files else []
+        if not values:
+            raise FileNotFoundError(f"page {number} of {path}")
+        return "".join(values).encode()
     parts = []
     for f in files:
         with fs.open_input_stream(f) as stream:
@@ -162,9 +172,10 @@ def sport_counts(events: DataFrame) -> DataFrame:
 
 
 def land_pages(events: DataFrame, page: str, folder: str) -> str:
-    """Writes ``events`` as pages of a feed, each by one task; gives the template of their paths."""
+    """Writes ``events`` as pages of a feed, all of them, ``SHELF`` to a folder, which one task writes; gives the template of their paths."""
     rest = F.struct(*[c for c in events.columns if c != page])
     last = events.agg(F.max(page)).first()[0]
     body = events.groupBy(page).agg(F.sort_array(F.collect_list(rest)).alias("data")).select(F.col(page).alias("page"), F.to_json(F.struct("data", (F.col(page) < F.lit(last)).alias("has_more"))).alias("value"))
-    body.repartition("page").write.mode("append").partitionBy("page").text(folder)
-    return f"{folder}/page={{page}}"
+    shelved = body.withColumn("shelf", F.floor(F.col("page") / SHELF))
+    shelved.repartition("shelf").sortWithinPartitions("shelf", "page").write.mode("append").partitionBy("shelf").parquet(folder)
+    return f"{folder}/shelf={{shelf}}"
