@@ -55,17 +55,22 @@ def fixture_of(pairs: DataFrame, fixtures: DataFrame, seconds: int) -> DataFrame
     """Rec, fixture_id, fixture_competition, turned: the nearest fixture of (home_id, away_id) within the drift.
 
     Swapped sides count only where the straight ones miss.  Where pairs have a competition_id, a
-    fixture must have the same or none.
+    fixture must have the same or none.  Pairs of equal ids, kickoff and competition are looked up once, and of
+    fixtures that are equal in these the smallest id alone, so copies on both sides form no products.
     """
     none = F.lit(None).cast("string")
     fx = fixtures.select("home_id", "away_id", "fixture_id", "fixture_at", (F.col("competition_id") if "competition_id" in fixtures.columns else none).alias("fixture_competition"))
-    p = pairs if "competition_id" in pairs.columns else pairs.withColumn("competition_id", none)
-    turned = p.withColumns({"home_id": F.col("away_id"), "away_id": F.col("home_id")})
+    fx = fx.groupBy("home_id", "away_id", "fixture_at", "fixture_competition").agg(F.min("fixture_id").alias("fixture_id"))
+    p = (pairs if "competition_id" in pairs.columns else pairs.withColumn("competition_id", none)).select("rec", "home_id", "away_id", "kickoff", "competition_id")
+    asked = p.select("home_id", "away_id", "kickoff", "competition_id").distinct().select("*", F.col("home_id").alias("_x"), F.col("away_id").alias("_y"))
+    turned = asked.withColumns({"home_id": F.col("away_id"), "away_id": F.col("home_id")})
     near = lambda d, r: within(d, fx, ["home_id", "away_id"], "kickoff", "fixture_at", seconds).withColumn("turned", F.lit(r))
     fits = F.col("competition_id").isNull() | F.col("fixture_competition").isNull() | (F.col("competition_id") == F.col("fixture_competition"))
-    gap = F.abs(micros(F.col("kickoff")) - micros(F.col("fixture_at")))
-    both = near(p, False).unionByName(near(turned, True)).filter(fits)
-    return latest(both, ["rec"], F.col("turned"), gap, F.col("fixture_id")).select("rec", "fixture_id", "fixture_competition", "turned")
+    order = F.col("turned"), F.abs(micros(F.col("kickoff")) - micros(F.col("fixture_at"))), F.col("fixture_id")
+    both = near(asked, False).unionByName(near(turned, True)).filter(fits)
+    best = latest(both, ["_x", "_y", "kickoff", "competition_id"], *order).select("_x", "_y", F.col("kickoff").alias("_at"), F.col("competition_id").alias("_c"), "fixture_id", "fixture_at", "fixture_competition", "turned")
+    same = (F.col("home_id") == F.col("_x")) & (F.col("away_id") == F.col("_y")) & (F.col("kickoff") == F.col("_at")) & F.col("competition_id").eqNullSafe(F.col("_c"))
+    return latest(p.join(best, same), ["rec"], *order).select("rec", "fixture_id", "fixture_competition", "turned")
 
 
 def competition_of(records: DataFrame, competitions: DataFrame | None) -> DataFrame:
@@ -321,7 +326,7 @@ def resolve(records: DataFrame, teams: DataFrame, aliases: DataFrame, fixtures:
     for step in (lambda r: strict_tier(r, aliases, fixtures, competitions), lambda r: alias_tier(r, teams, fixtures), lambda r: fuzzy_tier(r, teams, fixtures)):
         tried = stored(step(left), "tier")
         log = tried if log is None else log.unionByName(tried)
-        left = left.join(tried.filter("reason <> 'no_match'").select("rec"), "rec", "left_anti")
+        left = left.join(tried.filter("reason <> 'no_match'").select("rec").hint("merge"), "rec", "left_anti")  # a file of few bytes may have many rows
     rank = F.when(F.col("reason") != "no_match", 0).otherwise(1)
     order = F.when(F.col("tier") == "strict", 0).when(F.col("tier") == "alias", 1).otherwise(2)
     final = latest(log, ["rec"], rank, F.when(rank == 0, order).otherwise(-order))

@@ -24,7 +24,7 @@ def dimensions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, D
     teams = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("team_id")).withColumn("sport", sport_of("name"))
     aliases = teams.filter(F.col("team_id") % 2 == 0).select(F.col("name").alias("alias"), "sport", "team_id")
     line = t.lineitem.filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.min("l_partkey").alias("h"), F.max("l_partkey").alias("a"))
-    name = lambda k, c: t.part.select(F.col("p_partkey").alias(k), F.col("p_name").alias(c))
+    name = lambda k, c: t.part.select(F.col("p_partkey").alias(k), F.col("p_name").alias(c)).hint("merge")  # noqa: E731  (many rows in a small file: not for the driver)
     games = t.orders.join(line, F.col("l_orderkey") == F.col("o_orderkey")).join(name("h", "home"), "h").join(name("a", "away"), "a").filter("home <> away")
     kickoff = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
     team = lambda c, i: teams.select(F.col("name").alias(c), F.col("team_id").alias(i))
