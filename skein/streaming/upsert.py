@@ -132,6 +132,10 @@ class KeyedStore:
         added = acts.filter("action = 'insert'").withColumns({"seen": at, "changed": at}).select(*self.schemas[name].names)
         return old.unionByName(added).withColumn("bucket", self._bucket(name)), dirty
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows by bucket; of a large bucket (adaptive execution) several tasks get a part each, and small ones share a task."""
+        return rows.hint("rebalance", F.col("bucket"))
+
     def upsert(self, batch: int, now: datetime.datetime, changes: dict[str, Incoming], bump_after: int = BUMP_AFTER) -> DataFrame:
         """Writes a batch's rows into their tables, all or none; gives batch, table, action, n. A batch that was committed before does nothing."""
         before = self.manifest()
@@ -143,7 +147,7 @@ class KeyedStore:
                 rows, dirty = self._next(before, name, acts, new.fields, now)
                 if dirty:
                     path = f"{self.folder}/{name}/{after['version']}-{uuid.uuid4().hex}"
-                    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+                    self.dealt(rows).write.partitionBy("bucket").parquet(path)
                     after["tables"][name] |= {str(b): f"{path}/bucket={b}" for b in dirty}
             after["history"] = after["history"][-KEPT:]
             self._commit(after)
