@@ -34,7 +34,9 @@ from skein.llm.tokens import chunks, encoder, tokenizer_path
 MAGIC = b"SKNIDS1\n"
 END_ID = 1
 #: Ids after which a writer begins its next file: bounds memory and a file's rows.
-FILE_IDS = 2 << 20
+FILE_IDS = 8 << 20
+#: Bytes of text that are encoded at once: a batch mostly, so known pieces are looked through once for it.
+ENCODED = 8 << 20
 _HEAD = struct.Struct("<8sQQIIIIII")  # magic, docs, ids, vocabulary, block, blocks, index bytes, index CRC, table CRC
 
 
@@ -109,7 +111,7 @@ def _write(folder: str, path: str, kind: str):
 
         for b in batches:
             own = b.column("doc_id").to_pylist()
-            for at, texts in chunks(b.column("text")):
+            for at, texts in chunks(b.column("text"), ENCODED):
                 ids, starts, counts = e.encode(texts)
                 for i, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
                     names.append(own[at + i])
