@@ -215,15 +215,15 @@ def _order0(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kinds = int(rank.max()) + 1
     flat = rank + np.arange(lanes)[:, None] * kinds
     counts = np.zeros(lanes * kinds, np.int32)
-    below, equal = np.zeros((block, lanes), np.int32), np.zeros((block, lanes), np.int32)
+    below, equal = np.zeros((2, lanes, block), np.int32)
     marks = [0, *snapshots(block), block]
     for i in range(1, len(marks) - 1):
         counts += np.bincount(flat[:, marks[i - 1] : marks[i]].ravel(), minlength=lanes * kinds).astype(np.int32)
         upto = np.cumsum(counts.reshape(lanes, kinds), axis=1, dtype=np.int32).ravel()
-        own = flat[:, marks[i] : marks[i + 1]].T
-        equal[marks[i] : marks[i + 1]] = counts.take(own)
-        below[marks[i] : marks[i + 1]] = upto.take(own) - equal[marks[i] : marks[i + 1]]
-    return below, equal
+        own = slice(marks[i], marks[i + 1])
+        equal[:, own] = counts.take(flat[:, own])
+        below[:, own] = upto.take(flat[:, own]) - equal[:, own]
+    return np.ascontiguousarray(below.T), np.ascontiguousarray(equal.T)
 
 
 def _totals(block: int) -> np.ndarray:

@@ -92,10 +92,10 @@ class _Encoder:
         """Where each piece of ``text`` ends, in bytes behind tokens."""
         raise NotImplementedError
 
-    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, pieces: pa.Array, tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """``alone`` for plain pieces: one library call, whose tokens are cut where the pieces end."""
         whole = bytes(memoryview(pieces.buffers()[2])[: pc.sum(pc.binary_length(pieces)).as_py()]).decode()  # ``take`` left them one after another
-        [found] = self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)
+        [found] = (tokenizer or self.tokenizer).encode_batch_fast([whole], add_special_tokens=False)
         ids, ends = np.array(found.ids, np.uint32), self.ends(pieces, whole)
         reach = np.cumsum(_widths(self.path)[ids])
         cuts = np.searchsorted(reach, ends) + 1
@@ -103,12 +103,17 @@ class _Encoder:
             return self.alone(pieces)
         return ids, np.diff(cuts, prepend=0)
 
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``alone`` for plain pieces of the letters a-z."""
+        return self._joined(pieces)
+
     def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of ``pieces`` in the order of learning, their ids, and the numbers of ids."""
+        words = pc.match_substring_regex(pieces, r"\A[ \n][a-z]+\z").to_numpy(zero_copy_only=False)
         plain = pc.match_substring_regex(pieces, self.plain).to_numpy(zero_copy_only=False)
         ascii_ = pc.equal(pc.binary_length(pieces), pc.utf8_length(pieces)).to_numpy(zero_copy_only=False)
         order, ids, sizes = [], [], []
-        for group, by in ((plain & ascii_, self._joined), (plain & ~ascii_, self._joined), (~plain, self.alone)):
+        for group, by in ((words, self._words), (plain & ascii_ & ~words, self._joined), (plain & ~ascii_, self._joined), (~plain, self.alone)):
             at = np.flatnonzero(group)
             for part in np.split(at, range(CALL, len(at), CALL)) if len(at) else ():
                 found, n = by(pieces.take(pa.array(part)))
@@ -193,6 +198,38 @@ class WordEncoder(_Encoder):
     """Word BPE that drops white space: every space and line break is a cut, whatever is beside it."""
 
     plain = rf"\A[ \n][^{_BLANK}]+\z"
+    #: Letters (without İ, whose small form ends in a mark) with a full stop or comma behind, which is a token of its own.
+    marked = r"\A[ \n]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]\z"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        #: The same model for words of a-z, which the normalizer leaves as they are and the pattern cuts at blanks alone.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.marks = np.array([self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"], np.uint32)[:, 0]
+
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._joined(pieces, self.bare)
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that differ in A-Z and a-z (in ASCII alone, as NFC has some marks for one of them) or in a mark behind are encoded once."""
+        pieces = pc.if_else(pc.equal(pc.binary_length(pieces), pc.utf8_length(pieces)), pc.ascii_lower(pieces), pieces)
+        marked = pc.match_substring_regex(pieces, self.marked).to_numpy(zero_copy_only=False)
+        order, n = np.argsort(marked, kind="stable"), int(marked.sum())
+        ordered = pieces.take(pa.array(order))
+        cut = ordered.slice(len(pieces) - n)
+        coded = pa.concat_arrays([ordered.slice(0, len(pieces) - n), pc.utf8_slice_codeunits(cut, 0, -1)]).dictionary_encode()
+        flat, starts, sizes = super()._ids_of(coded.dictionary)
+        which = np.empty(len(pieces), np.int64)
+        which[order] = coded.indices.to_numpy()
+        starts, sizes = starts[which], sizes[which] + marked
+        ends = np.cumsum(sizes)
+        own = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        ids = flat.take(own, mode="clip") if len(own) else flat[:0]  # a mark's place is overwritten
+        ids[ends[order[len(pieces) - n :]] - 1] = self.marks[pc.ends_with(cut, ",").to_numpy(zero_copy_only=False).astype(int)]
+        return ids, ends - sizes, sizes
 
     def odd(self, texts: pa.Array) -> np.ndarray:
         return pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
