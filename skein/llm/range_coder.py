@@ -23,12 +23,12 @@ import numpy as np
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded in step.
-LANES = 2048
+LANES = 4096
 #: Ids after which the weights are renewed.
-RENEW = 64
+RENEW = 128
 #: Ids that a range of 32 bits can be dealt to after the weights' share.
 MOST_IDS = 1 << 20
-_SLOTS2, _SLOTS1 = 512, 256
+_SLOTS2, _SLOTS1 = 256, 128
 _TOP, _WORD, _FULL = 2.0**32, 65536.0, 2.0**48
 #: What the four weights add up to, and the bits of a field that holds an end of their shares.
 _ONE, _FIELD = 2048, 12
