@@ -230,6 +230,7 @@ class TreeEncoder(WordEncoder):
         self.vocab, self.specials = self.merges.size, list(self.merges.added)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known = _Known(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self.marks = self.merges.by_byte[1][[ord("."), ord(",")]].astype(np.uint32)  # words of their own
 
     def _ascii_words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all words, the words' sizes, and each word's piece."""
