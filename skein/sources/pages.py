@@ -5,11 +5,13 @@
 is an object with its events under ``data`` or ``events``, and ``next`` or ``has_more`` where others follow.
 A page that cannot be read after ``tries`` attempts is an empty one that ends the feed, as one without events
 does; how many there are is not known before, so all up to the cap are asked for at once and ``bounded`` keeps
-those up to the end.
+those up to the end.  How many pages a landed feed has is known from its folders: with ``whole`` all of them are
+read, a folder by one task, and no cap holds.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 from collections.abc import Iterator
@@ -34,6 +36,21 @@ class Page(InputPartition):
         self.number = number
 
 
+class Shelf(Page):
+    """All pages of one folder of a landed feed."""
+
+
+def _listed(path: str) -> tuple:
+    """The file system of ``path``, its type there, and its files: of a folder those without a mark before their names."""
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    found = fs.get_file_info(at)
+    if found.type == FileType.Directory:
+        return fs, found.type, sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", ".")))
+    return fs, found.type, [at]
+
+
 def _fetch(template: str, number: int) -> bytes:
     path = template.replace("{page}", str(number)).replace("{shelf}", str(number // SHELF))
     if path.startswith(("http://", "https://")):
@@ -42,13 +59,11 @@ def _fetch(template: str, number: int) -> bytes:
         with urllib.request.urlopen(path, timeout=30) as answer:
             return answer.read()
     import pyarrow.dataset
-    from pyarrow.fs import FileSelector, FileSystem, FileType
+    from pyarrow.fs import FileType
 
-    fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    found = fs.get_file_info(at)
-    if found.type == FileType.NotFound:
+    fs, kind, files = _listed(path)
+    if kind == FileType.NotFound:
         raise FileNotFoundError(path)
-    files = sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", "."))) if found.type == FileType.Directory else [at]
     if "{shelf}" in template:
         page = pyarrow.dataset.field("page") == number
         values = pyarrow.dataset.dataset(files, filesystem=fs, format="parquet").to_table(columns=["value"], filter=page)["value"].to_pylist() if files else []
@@ -62,6 +77,42 @@ def _fetch(template: str, number: int) -> bytes:
     return b"".join(parts)
 
 
+def _shelves(template: str) -> int:
+    """The number of the last folder of a landed feed, 0 if there is none."""
+    from pyarrow.fs import FileSelector, FileSystem
+
+    folder, _, prefix = template.partition("{shelf}")[0].rpartition("/")
+    fs, at = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    said = [f.base_name.removeprefix(prefix) for f in fs.get_file_info(FileSelector(at, allow_not_found=True)) if f.base_name.startswith(prefix)]
+    return max((int(n) for n in said if n.isdigit()), default=0)
+
+
+def shelf_rows(template: str, shelf: int) -> Iterator[tuple]:
+    """The rows of all pages of one folder; one that is not there ends the feed.
+
+    A folder that cannot be read is an error, as more than a page would be missing.
+    """
+    import pyarrow.dataset
+    from pyarrow.fs import FileType
+
+    fs, kind, files = _listed(template.replace("{shelf}", str(shelf)))
+    wanted = max(1, shelf * SHELF)
+    if kind != FileType.NotFound and files:
+        table = pyarrow.dataset.dataset(files, filesystem=fs, format="parquet").to_table(columns=["page", "value"]).sort_by("page")
+        found = zip(table["page"].to_pylist(), table["value"].to_pylist(), strict=True)
+        for number, parts in itertools.groupby(found, lambda r: r[0]):
+            if number > wanted:
+                yield wanted, 0, False, True, None
+            try:
+                said = json.loads("".join(value for _, value in parts))
+            except ValueError:
+                said = None
+            yield from _said_rows(number, said)
+            wanted = number + 1
+    if wanted < (shelf + 1) * SHELF:
+        yield wanted, 0, False, True, None
+
+
 def page_rows(template: str, number: int, tries: int, gap: float) -> Iterator[tuple]:
     """The rows of one page."""
     said: object = None
@@ -72,6 +123,11 @@ def page_rows(template: str, number: int, tries: int, gap: float) -> Iterator[tu
         except (OSError, ValueError):  # what a feed may do; the page is marked as failed
             if attempt + 1 < tries:
                 time.sleep(gap)
+    yield from _said_rows(number, said)
+
+
+def _said_rows(number: int, said: object) -> Iterator[tuple]:
+    """The rows of a page that says ``said``; what is no object is a page that failed."""
     if not isinstance(said, dict):
         yield number, 0, False, True, None
         return
@@ -84,14 +140,19 @@ def page_rows(template: str, number: int, tries: int, gap: float) -> Iterator[tu
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, template: str, cap: int, tries: int, gap: float):
-        self.template, self.cap, self.tries, self.gap = template, cap, tries, gap
+    def __init__(self, template: str, cap: int, tries: int, gap: float, whole: bool):
+        self.template, self.cap, self.tries, self.gap, self.whole = template, cap, tries, gap, whole
 
     def partitions(self) -> list[Page]:
+        if self.whole:
+            return [Shelf(n) for n in range(_shelves(self.template) + 1)]
         return [Page(n) for n in range(1, self.cap + 1)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        yield from page_rows(self.template, partition.number, self.tries, self.gap)
+        if isinstance(partition, Shelf):
+            yield from shelf_rows(self.template, partition.number)
+        else:
+            yield from page_rows(self.template, partition.number, self.tries, self.gap)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -124,7 +185,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class PageSource(DataSource):
-    """``spark.read.format("pages")``; options: path, cap (100), tries (3), gap (seconds between attempts, 0.2)."""
+    """``spark.read.format("pages")``; options: path, cap (100), tries (3), gap (seconds between attempts, 0.2), whole (false; all pages of a landed feed, in batch)."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,7 +199,10 @@ class PageSource(DataSource):
         return given("path", ""), min(CAP, int(given("cap", CAP))), int(given("tries", 3)), float(given("gap", 0.2))
 
     def reader(self, schema) -> _Reader:
-        return _Reader(*self._given())
+        whole = self.options.get("whole", "false").lower() == "true"
+        if whole and "{shelf}" not in self.options.get("path", ""):
+            raise ValueError("only a landed feed can be read as a whole: how many pages another one has is not known")
+        return _Reader(*self._given(), whole)
 
     def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(*self._given())
